@@ -4,6 +4,8 @@ Label entries are ``array<struct<key, label, alternatives: array<string>, type>>
 order of the re-annotation.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,12 +55,12 @@ def _greedy(predicted: Column, truths: Column) -> Column:
         F.array().cast("array<string>").alias("taken"), F.lit(0.0).cast("double").alias("total")
     )
 
-    def best(acc: Column, text: Column) -> Column:
+    def best(bound: Column, acc: Column, text: Column) -> Column:
         return let(
             words(F.lower(text)),
             lambda w: F.array_max(
                 F.transform(
-                    truths,
+                    bound,
                     lambda t, i: F.struct(
                         F.when(F.array_contains(acc["taken"], t["key"]), F.lit(0.0))
                         .otherwise(F.array_max(F.transform(t["forms"], lambda f: word_f1(w, f))))
@@ -70,9 +72,9 @@ def _greedy(predicted: Column, truths: Column) -> Column:
             ),
         )
 
-    def step(acc: Column, text: Column) -> Column:
-        return let(
-            best(acc, text),
+    def step(bound: Column) -> Callable[[Column, Column], Column]:
+        return lambda acc, text: let(
+            best(bound, acc, text),
             lambda b: F.when(
                 b["f1"] > 0,
                 F.struct(
@@ -82,7 +84,7 @@ def _greedy(predicted: Column, truths: Column) -> Column:
             ).otherwise(acc),
         )
 
-    return F.aggregate(predicted, start, step)
+    return let(truths, lambda bound: F.aggregate(predicted, start, step(bound)))
 
 
 def entity_f1(prediction: Column, label: Column) -> Column:
@@ -179,19 +181,30 @@ def flat_labels(entries: Column, other_texts: Column) -> Column:
 
 def set_iou(a: Column, b: Column) -> Column:
     """Shared over united size of two distinct lists; NULL if both are empty."""
-    return F.try_divide(
-        F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")
+    return let(
+        F.struct(a.alias("a"), b.alias("b")),
+        lambda s: F.try_divide(
+            F.size(F.array_intersect(s["a"], s["b"])).cast("double"),
+            F.size(F.array_union(s["a"], s["b"])).cast("double"),
+        ),
     )
 
 
 def contained_pair_ratio(a: Column, b: Column) -> Column:
     """Pairs equal or contained either way, over the united size. May exceed 1."""
-    pairs = F.aggregate(
-        a,
-        F.lit(0),
-        lambda n, x: n + F.size(F.filter(b, lambda y: F.contains(x, y) | F.contains(y, x))),
-    )
-    return F.try_divide(pairs.cast("double"), F.size(F.array_union(a, b)).cast("double"))
+
+    def ratio(s: Column) -> Column:
+        pairs = F.aggregate(
+            s["a"],
+            F.lit(0),
+            lambda n, x: n
+            + F.size(F.filter(s["b"], lambda y: F.contains(x, y) | F.contains(y, x))),
+        )
+        return F.try_divide(
+            pairs.cast("double"), F.size(F.array_union(s["a"], s["b"])).cast("double")
+        )
+
+    return let(F.struct(a.alias("a"), b.alias("b")), ratio)
 
 
 def entity_iou(a: Column, b: Column, labels_only: bool = False) -> Column:
