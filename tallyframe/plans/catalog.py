@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.prompts import MessageTemplate
 from tallyframe.sources.registry import Prompt, prompts_table
+from tallyframe.sources.tables import spread
 
 MODELS = ["m0", "m1", "m2", "m3"]
 PROMPTS = [
@@ -33,6 +34,9 @@ CHECK_TEMPLATES = [
 ]
 
 
+TEXT_TABLES = ("documents", "conversations")
+
+
 class Tables:
     """The given tables, and the audit tables Spark derives from them."""
 
@@ -41,7 +45,8 @@ class Tables:
         self.folder = folder
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
 
     @cached_property
     def prompts(self) -> DataFrame:

@@ -11,6 +11,16 @@ from tallyframe.operators.flatten import annotation_texts, parse_question_pairs
 from tallyframe.session import materialise
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table with fewer splits than cores one partition per core.
+
+    Meant for text-heavy work on a small or single file; a table that already has enough
+    splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """One record per line; keys a record lacks are NULL and nothing is coerced."""
     return spark.read.schema(schema).json(path)
