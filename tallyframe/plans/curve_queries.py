@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import curves, metrics, relational, search
 from tallyframe.plans.catalog import MODELS, PROMPT_NAMES, query, rounded
-from tallyframe.plans.vote_queries import RATE_SQL, RATES, _confusion_sql
+from tallyframe.plans.vote_queries import RATE_SQL, RATES, confusion_sql
 
 CURVE_SQL = """, ranked AS (
  SELECT s.curve, s.id, s.score, NOT coalesce(l.matches_original, FALSE) AS wrong,
@@ -58,7 +58,7 @@ def auc_pr_complete(t):
 
 def _sweep_sql(source: str, by: str) -> str:
     return f"""SELECT {by}, t.i AS t_idx, t.i * 0.05E0 AS threshold,
-      {_confusion_sql("(NOT coalesce(score <= t.i * 0.05E0, FALSE))")}
+      {confusion_sql("(NOT coalesce(score <= t.i * 0.05E0, FALSE))")}
      FROM {source}, (SELECT unnest(range(21))::INT AS i) t GROUP BY {by}, t.i"""
 
 
@@ -180,7 +180,7 @@ long AS (
 """
 SUBSET_METRICS_SQL = (
     SUBSET_SQL
-    + f"""counts AS (SELECT model_mask, prompt_mask, c, {_confusion_sql("vote")} FROM long GROUP BY 1, 2, 3),
+    + f"""counts AS (SELECT model_mask, prompt_mask, c, {confusion_sql("vote")} FROM long GROUP BY 1, 2, 3),
 measured AS (SELECT model_mask, prompt_mask, c AS "column", tp, fp, tn, fn, none_fn, none_fp, {RATE_SQL} FROM counts)
 """
 )

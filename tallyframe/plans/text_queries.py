@@ -4,10 +4,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tallyframe.constants import RETRY_LIMIT
+from tallyframe.constants import FORMAT_REMINDER, RETRY_LIMIT
 from tallyframe.functions import parsing, prompts, text
 from tallyframe.operators import flatten, generation, relational, textjobs
 from tallyframe.plans.catalog import CHECK_TEMPLATES, query, rounded
+from tallyframe.plans.vote_queries import vote_sql
 from tallyframe.session import ensure_checkpoint_dir
 from tallyframe.streaming.votes import VoteTables, read_output_stream, start_votes
 
@@ -128,35 +129,31 @@ def retry_plan(t):
 
 
 @query(
-    f"""SELECT id, CASE WHEN doc_id % 5 < 3 THEN 'item <answer>' || lang || '</answer>' END AS output,
-     CASE WHEN doc_id % 5 < 3 THEN CAST(doc_id % 5 + 1 AS INT) ELSE 3 END AS attempts
-    FROM (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, lang FROM documents)"""
+    """SELECT CAST(doc_id AS VARCHAR) AS id,
+     CASE WHEN doc_id % 4 < 3 THEN 'item <answer>' || lang || '</answer>' END AS output,
+     CASE doc_id % 4 WHEN 0 THEN 1 WHEN 3 THEN 3 ELSE 2 END AS attempts FROM documents"""
 )
 def generate_with_retries(t):
     """Generation rounds over all documents with a stand-in for a model.
 
-    The stand-in answers once it has seen as many reminders or repeats as the item needs.
+    By item, the stand-in answers at once, after a reminder, after a repetitive text on the
+    fresh try, or never.
     """
 
     def factory():
-        import re
-
-        from tallyframe.constants import FORMAT_REMINDER
-
-        def answer(prompt, retry):
-            need, lang = re.search(r"need (\d) lang (\w+)", prompt).groups()
-            tries = 0 if not retry else 1 + prompt.count(f"seen {FORMAT_REMINDER[:6]}")
-            if tries >= int(need):
+        def answer(prompt: str, retry: bool) -> str:
+            kind, lang = prompt.split("kind ")[-1].split()[:2]
+            reminded = FORMAT_REMINDER in prompt
+            if kind == "0" or (kind == "1" and reminded) or (kind == "2" and retry and not reminded):
                 return f"item <answer>{lang}</answer>"
-            return f"seen {FORMAT_REMINDER[:6]} nothing"
+            return "so " * 20 if kind == "2" else "no tag here"
 
         return lambda texts, retry: [answer(p, retry) for p in texts]
 
     template = prompts.MessageTemplate(
-        "user", "{text}\nneed {need} lang {lang}",
-        {"text": "text", "need": "need", "lang": "lang"},
+        "user", "{text} kind {kind} {lang} .", {"text": "text", "kind": "kind", "lang": "lang"}
     )
-    items = t["documents"].withColumn("need", F.col("doc_id") % 5).select(
+    items = t["documents"].withColumn("kind", F.col("doc_id") % 4).select(
         F.col("doc_id").cast("string").alias("id"),
         prompts.render_messages([template]).alias("messages"),
     )
@@ -333,7 +330,7 @@ def json_audit(t):
     return textjobs.audit_json(rows, EVENT_SCHEMA)
 
 
-@query("SELECT id, prompt, majority_vote, unanimous_vote, round(percentage_vote, 9) AS percentage_vote FROM fx_votes")
+@query(vote_sql("fx_verdicts"))
 def stream_votes(t):
     """Outputs arriving as files in two waves, voted incrementally: equal to the batch votes.
 

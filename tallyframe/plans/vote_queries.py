@@ -15,7 +15,7 @@ MERGED = [
 ]
 
 
-def _vote_sql(source: str, strict: bool = False) -> str:
+def vote_sql(source: str, strict: bool = False) -> str:
     rule = "count(vote) = count(*)" if strict else "TRUE"
     return f"""SELECT id, prompt,
      CASE WHEN {rule} THEN (count(*) FILTER (WHERE vote)) > (count(*) FILTER (WHERE NOT vote)) END AS majority_vote,
@@ -26,12 +26,12 @@ def _vote_sql(source: str, strict: bool = False) -> str:
      FROM {source} GROUP BY id, prompt"""
 
 
-@query(_vote_sql("fx_pred"))
+@query(vote_sql("fx_pred"))
 def prompt_votes(t):
     return rounded(votes.prompt_votes(t.verdicts), "percentage_vote")
 
 
-@query(_vote_sql("fx_pred", strict=True))
+@query(vote_sql("fx_pred", strict=True))
 def prompt_votes_strict(t):
     return rounded(votes.prompt_votes(t.verdicts, strict=True), "percentage_vote")
 
@@ -54,7 +54,7 @@ def votes_without_voters(t):
     return rounded(votes.prompt_votes(voted, expected=expected), "percentage_vote")
 
 
-@query(_vote_sql("fx_line_votes"))
+@query(vote_sql("fx_line_votes"))
 def line_votes(t):
     return rounded(votes.prompt_votes(t.line_votes), "percentage_vote")
 
@@ -77,7 +77,7 @@ def merged_votes(t):
      CASE WHEN count(majority_vote) = count(*) THEN (count(*) FILTER (WHERE majority_vote)) = count(*) END
       AS model_majority_prompt_unanimous_vote
     FROM ("""
-    + _vote_sql("fx_pred", strict=True)
+    + vote_sql("fx_pred", strict=True)
     + ") GROUP BY id"
 )
 def merged_votes_strict(t):
@@ -168,7 +168,7 @@ def multi_column_parse(t):
     return parsing.transform_columns(wide, columns, parsing.raw_answer).drop("m0", "m1")
 
 
-def _confusion_sql(vote: str, n: str = "1") -> str:
+def confusion_sql(vote: str, n: str = "1") -> str:
     wrong = "coalesce(NOT matches_original, FALSE)"
 
     def total(condition: str, name: str) -> str:
@@ -198,7 +198,7 @@ RATE_SQL = """
 @query(
     f""", joined AS (SELECT m.*, l.matches_original FROM fx_merged m JOIN fx_truth l ON l.id = m.id),
     long AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, {c} AS vote, matches_original FROM joined" for c in MERGED)}),
-    counts AS (SELECT c, {_confusion_sql("vote")} FROM long GROUP BY c)
+    counts AS (SELECT c, {confusion_sql("vote")} FROM long GROUP BY c)
     SELECT c AS "column", tp, fp, tn, fn, none_fn, none_fp, {RATE_SQL} FROM counts"""
 )
 def vote_metrics(t):
@@ -207,9 +207,9 @@ def vote_metrics(t):
 
 
 @query(
-    f""", v AS ({_vote_sql("fx_verdicts")}),
+    f""", v AS ({vote_sql("fx_verdicts")}),
     joined AS (SELECT prompt, majority_vote AS vote, matches_original FROM v JOIN fx_truth l ON l.id = v.id),
-    counts AS (SELECT prompt, {_confusion_sql("vote")} FROM joined GROUP BY prompt)
+    counts AS (SELECT prompt, {confusion_sql("vote")} FROM joined GROUP BY prompt)
     SELECT prompt, 'majority_vote' AS "column", tp, fp, tn, fn, none_fn, none_fp, {RATE_SQL} FROM counts"""
 )
 def text_to_metrics(t):
