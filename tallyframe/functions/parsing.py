@@ -11,16 +11,16 @@ from tallyframe.constants import (
     ANSWER_PATTERN,
     EMPTY_LABEL_TEXT,
     NO_ANSWER_MARKERS,
-    PYTHON_BLANKS,
     UNANSWERABLE_TEXT,
     YES_NO_PATTERN,
     YES_NO_STRICT_PATTERN,
 )
-from tallyframe.functions.text import let, split_list, words
+from tallyframe.functions.text import BLANK, let, split_list, words
 
-# (?d): only a newline ends a line for `.`, as in Python.
-_ANSWER = "(?d)" + ANSWER_PATTERN
-_YES_NO = YES_NO_PATTERN.replace(r"\s", f"[{PYTHON_BLANKS}]")
+# (?d): only a newline ends a line for `.`, as in Python. The look-ahead lets the scan pass
+# over all characters no alternative starts with in one step.
+_ANSWER = f"(?d)(?=[<(])(?:{ANSWER_PATTERN})"
+_YES_NO = "(?U)" + YES_NO_PATTERN.replace(r"\s", BLANK)
 
 
 def _last_match(text: Column, pattern: str, group: int) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyframe.constants import PYTHON_BLANKS, REPETITION_SHARE
 
-BLANK_RUN = f"[{PYTHON_BLANKS}]+"
+# The same characters as PYTHON_BLANKS, in the form Java matches fastest.
+BLANK = r"[\s\x1c-\x1f]"
+BLANK_RUN = f"(?U){BLANK}+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

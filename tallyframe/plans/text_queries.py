@@ -10,6 +10,7 @@ from tallyframe.operators import flatten, generation, relational, textjobs
 from tallyframe.plans.catalog import CHECK_TEMPLATES, query, rounded
 from tallyframe.plans.vote_queries import vote_sql
 from tallyframe.session import ensure_checkpoint_dir
+from tallyframe.sources.tables import spread
 from tallyframe.streaming.votes import VoteTables, read_output_stream, start_votes
 
 WORDS = "list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
@@ -269,17 +270,14 @@ SELECT CAST(c.doc_id AS VARCHAR) AS id, n_tokens, begins, coalesce(starts, 0) AS
 def bio_tags(t):
     """Tags of all tokens, summed up per document."""
     items = t.items.withColumn("label", F.lit(" ; ".join(ENTITIES)))
-    tokens = textjobs.bio_tags(items).where(F.size("tokens") > 0)
-    total = lambda f: F.aggregate(
-        "tokens", F.lit(0).cast("long"), lambda acc, x: acc + f(x).cast("long")
-    )
-    return tokens.select(
-        "id",
-        F.size("tokens").cast("long").alias("n_tokens"),
-        total(lambda x: x["begin"]).alias("begins"),
-        total(lambda x: (x["tag"] == 1).cast("int")).alias("starts"),
-        total(lambda x: (x["tag"] == 2).cast("int")).alias("insides"),
-        total(lambda x: x["tag"] * x["begin"]).alias("weighted"),
+    tokens = textjobs.bio_tags(items).select("id", F.inline("tokens"))
+    tag, begin = F.col("tag"), F.col("begin").cast("long")
+    return tokens.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n_tokens"),
+        F.sum(begin).alias("begins"),
+        F.count_if(tag == 1).alias("starts"),
+        F.count_if(tag == 2).alias("insides"),
+        F.sum(tag * begin).alias("weighted"),
     )
 
 
@@ -326,7 +324,9 @@ def json_audit(t):
         .when(n % 2 == 0, F.concat(cut, F.lit("}]}")))
         .otherwise(cut)
     )
-    rows = t["events"].select(F.col("event_id").cast("string").alias("id"), output.alias("output"))
+    rows = spread(t["events"]).select(
+        F.col("event_id").cast("string").alias("id"), output.alias("output")
+    )
     return textjobs.audit_json(rows, EVENT_SCHEMA)
 
 
