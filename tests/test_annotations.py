@@ -1,0 +1,206 @@
+"""Annotation import against the rules written once more as plain functions."""
+
+import json
+import random
+
+import pytest
+
+from tallyframe import schemas
+from tallyframe.operators import annotations
+from tallyframe.sources import annotations as folders
+
+LABELS = [
+    "label", "label", "label_part", "alternative_label", "alternative_label_part",
+    "alternative_label_part", "label_candidate", "label_candidate_part", "unanswerable",
+    "erroneous_question", "likely answer", None,
+]
+
+
+def random_document(rng, name):
+    text = " ".join(rng.choice(["al", "be .", "ga", "de", "al"]) for _ in range(40))
+    n = rng.randint(0, 7)
+    spans = []
+    for i in range(n):
+        begin = rng.randint(0, len(text) - 10)
+        spans.append(
+            {"%ID": i + 1, "%TYPE": "custom.Span", "begin": begin, "end": begin + rng.randint(2, 9),
+             "label": rng.choice(LABELS)}
+        )
+    links = [
+        {"%ID": 100 + k, "%TYPE": "webanno.custom.AlternativeLabel",
+         "@Governor": rng.randint(1, n + 1), "@Dependent": rng.randint(1, n + 1)}
+        for k in range(rng.randint(0, 8) if n else 0)
+    ]
+    return name, spans + links + [{"%ID": 500, "%TYPE": "uima.cas.Sofa", "sofaString": text}]
+
+
+def expected_row(features):
+    text = features[-1]["sofaString"]
+    spans = {}
+    for f in features:
+        if f["%TYPE"] == "custom.Span":
+            cut = text[f["begin"]:f["end"]].replace(" .", ".")
+            spans[f["%ID"]] = (f["label"] or "unlabeled", cut, f["begin"], f["end"])
+    links = [
+        (spans[f["@Governor"]], spans[f["@Dependent"]])
+        for f in features
+        if "@Governor" in f and f["@Governor"] in spans and f["@Dependent"] in spans
+    ]
+    spans = list(spans.values())
+    of = lambda *names: [s for s in spans if s[0] in names]
+    mains = of("label", "label_part")
+    entries = {s[1]: (s[1], [], "label") for s in mains}
+    for s in of("label_candidate"):
+        entries[s[1]] = (s[1], [], "label_candidate")
+    unanswerable = any("unanswerable" in s[0] for s in spans)
+    erroneous = bool(of("erronous_question", "erroneous_question"))
+    for s in of("alternative_label"):
+        homes = [b[1] for a, b in links if a[1] == s[1] and b[0] == "label"]
+        homes = homes or ([mains[0][1]] if len(mains) == 1 else [])
+        for home in homes:
+            entries[home][1].append(s[1])
+        if not homes and (unanswerable or erroneous):
+            entries[s[1]] = (s[1], [], "alternative_label")
+    parts = sorted(of("alternative_label_part"), key=lambda s: s[2])
+    texts = {p[1] for p in parts}
+    only = of("label")
+    for key in list(entries):
+        seeds = [a[1] for a, b in links
+                 if a[0] == "alternative_label_part" and b[0] == "label" and b[1] == key]
+        if len(only) == 1 and only[0][1] == key:
+            seeds = [p[1] for p in parts]
+        component = {t: {t} for t in texts}
+        for a, b in links:
+            if {a[0], b[0]} == {"alternative_label_part"}:
+                both = component[a[1]] | component[b[1]]
+                for t in both:
+                    component[t] = both
+        done = set()
+        for seed in seeds:
+            if seed not in done:
+                done |= component[seed]
+                entries[key][1].append(", ".join(p[1] for p in parts if p[1] in component[seed]))
+    for s in of("label_candidate_part"):
+        joined = ", ".join(
+            t for _, t in sorted((b[2], b[1]) for a, b in links if a[1] == s[1] and b[0] == "label_candidate")
+        )
+        if joined:
+            entries[joined] = (joined, [], "label_candidate_part")
+    skipped = ("label", "alternative_label", "alternative_label_part", "label_candidate",
+               "label_candidate_part", "likely answer")
+    others = [(s[1], s[2], s[3], s[0]) for s in spans if s[0] not in skipped]
+    return {k: (v[0], sorted(v[1]), v[2]) for k, v in entries.items()}, others, unanswerable, erroneous
+
+
+def ambiguous(features):
+    """Texts shared by spans of different labels make the order of writing matter."""
+    text = features[-1]["sofaString"]
+    seen = {}
+    for f in features:
+        if f["%TYPE"] == "custom.Span":
+            cut = text[f["begin"]:f["end"]].replace(" .", ".")
+            seen.setdefault(cut, set()).add(f["label"])
+    return any(len(v) > 1 for v in seen.values())
+
+
+def test_import_equals_the_rules(spark):
+    rng = random.Random(8)
+    documents = [random_document(rng, f"d{i}") for i in range(600)]
+    documents = [d for d in documents if not ambiguous(d[1])]
+    schema = f"id string, features {schemas.ANNOTATION_FEATURES.split(' ', 1)[1]}"
+    rows = [
+        (name, [tuple(f.get(k) for k in ("%ID", "%TYPE", "begin", "end", "label", "@Governor", "@Dependent", "sofaString"))
+                for f in features])
+        for name, features in documents
+    ]
+    imported = annotations.import_annotations(spark.createDataFrame(rows, schema))
+    got = {
+        r.id: (
+            {e.key: (e.label, sorted(e.alternatives), e.type) for e in r.entries},
+            [tuple(o) for o in r.other_labels], r.unanswerable, r.erronous_question,
+        )
+        for r in imported.collect()
+    }
+    want = {name: expected_row(f) for name, f in documents if len(f) > 1}
+    assert got == want and len(want) > 300
+    assert any(len(alts) for row in want.values() for _, alts, _ in row[0].values())
+
+
+def by_hand(spark, spans, links, text):
+    features = [
+        (i, "custom.Span", text.index(t), text.index(t) + len(t), label, None, None, None)
+        for i, (t, label) in enumerate(spans)
+    ]
+    features += [
+        (90 + k, "webanno.custom.AlternativeLabel", None, None, None, a, b, None)
+        for k, (a, b) in enumerate(links)
+    ]
+    features.append((99, "uima.cas.Sofa", None, None, None, None, None, text))
+    schema = f"id string, features {schemas.ANNOTATION_FEATURES.split(' ', 1)[1]}"
+    row = annotations.import_annotations(spark.createDataFrame([("x", features)], schema)).first()
+    return {e.key: (e.alternatives, e.type) for e in row.entries}
+
+
+def test_chain_of_parts_and_two_labels(spark):
+    text = "one two three four five six"
+    spans = [("one", "label"), ("two", "label"), ("six", "alternative_label_part"),
+             ("three", "alternative_label_part"), ("four", "alternative_label_part"),
+             ("five", "alternative_label_part")]
+    # six -> one directly; three - four - six in a chain; five -> two
+    got = by_hand(spark, spans, [(2, 0), (3, 4), (4, 2), (5, 1)], text)
+    assert got == {"one": (["three, four, six"], "label"), "two": (["five"], "label")}
+
+
+def test_part_linked_to_two_labels(spark):
+    spans = [("one", "label"), ("two", "label"), ("three", "alternative_label_part")]
+    got = by_hand(spark, spans, [(2, 0), (2, 1)], "one two three")
+    assert got == {"one": (["three"], "label"), "two": (["three"], "label")}
+
+
+def test_single_label_takes_everything(spark):
+    spans = [("one", "label"), ("two", "alternative_label"), ("three", "alternative_label_part"),
+             ("four", "alternative_label_part")]
+    got = by_hand(spark, spans, [], "one two three four")
+    assert got == {"one": (["two", "three", "four"], "label")}
+
+
+def test_homeless_alternatives(spark):
+    spans = [("one", "label"), ("two", "label"), ("three", "alternative_label")]
+    assert set(by_hand(spark, spans, [], "one two three")) == {"one", "two"}
+    spans.append(("four", "unanswerable"))
+    got = by_hand(spark, spans, [], "one two three four")
+    assert got["three"] == ([], "alternative_label")
+
+
+@pytest.fixture()
+def annotation_folder(tmp_path):
+    def save(document, annotator, text):
+        target = tmp_path / document
+        target.mkdir(exist_ok=True)
+        features = [
+            {"%ID": 1, "%TYPE": "custom.Span", "begin": 0, "end": 3, "label": "label"},
+            {"%ID": 2, "%TYPE": "uima.cas.Sofa", "sofaString": text, "extra": {"a": 1}},
+            {"%ID": 3, "%TYPE": "custom.Span", "begin": 4, "end": 7},
+        ]
+        (target / f"{annotator}.json").write_text(json.dumps({"%FEATURE_STRUCTURES": features}, indent=1))
+
+    save("1_0.txt", "ann", "one two")
+    save("1_0.txt", "bob", "uno dos")
+    save("2_0.txt", "bob", "eins zwei")
+    return tmp_path, save
+
+
+def test_annotator_choice(spark, annotation_folder):
+    path, save = annotation_folder
+    files = folders.read_annotation_files(spark, str(path))
+    pick = lambda who: sorted(
+        (r.id, r.annotator) for r in folders.choose_annotator(files, who).collect()
+    )
+    assert pick("ann") == [("1_0", "ann")]
+    assert pick(["ann", "bob"]) == [("1_0", "ann"), ("2_0", "bob")]
+    assert pick(["zoe", "bob"]) == [("1_0", "bob"), ("2_0", "bob")]
+    with pytest.raises(ValueError, match="1_0"):
+        folders.choose_annotator(files)
+    row = annotations.import_annotations(folders.choose_annotator(files, "ann")).first()
+    assert [(e.key, e.type) for e in row.entries] == [("one", "label")]
+    assert [(o.text, o.label) for o in row.other_labels] == [("two", "unlabeled")]

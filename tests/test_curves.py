@@ -1,0 +1,153 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyframe.operators import curves, metrics, relational
+
+SCORES = "curve string, id string, score double"
+LABELS = "id string, matches_original boolean"
+
+
+def make(seed, n, values=None):
+    """One curve holds most rows, scores tie, some scores and labels are missing."""
+    rng = random.Random(seed)
+    ids = [str(i) for i in range(n)]
+    pick = lambda: rng.choice(values) if values else round(rng.random(), 3)
+    rows = [("big", i, pick()) for i in ids] + [("small", i, pick()) for i in ids[: n // 10]]
+    rows += [("one", "0", 0.5), ("none", "1", None)]
+    rows[3] = ("big", rows[3][1], None)
+    rows[4] = ("big", rows[4][1], float("nan"))
+    labels = [(i, rng.choice([True, True, False, None])) for i in ids if rng.random() < 0.9]
+    return rows, labels
+
+
+def reference_curve(rows, labels, name):
+    truth = dict(labels)
+    kept = sorted(
+        (s, i) for c, i, s in rows if c == name and s is not None and s == s and i in truth
+    )
+    wrong = np.array([truth[i] is not True for _, i in kept], dtype=float)
+    tp = np.cumsum(wrong)
+    precision = tp / np.arange(1, len(kept) + 1)
+    recall = tp / wrong.sum() if wrong.sum() else np.zeros(len(kept))
+    return [i for _, i in kept], precision, recall
+
+
+def area(precision, recall):
+    return float(np.sum(np.diff(recall) * (precision[1:] + precision[:-1]) / 2))
+
+
+@pytest.mark.parametrize("values", [None, [0.0, 0.25, 0.5, 0.75, 1.0], [0.5]])
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_areas_and_curves(spark, values, partitions):
+    rows, labels = make(7, 900, values)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        shaped = curves.curve_rows(
+            spark.createDataFrame(rows, SCORES), spark.createDataFrame(labels, LABELS)
+        )
+        got = {r.curve: r.auc_pr for r in curves.auc_pr(shaped).collect()}
+        points = curves.pr_curve(shaped).orderBy("curve", "rank").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    names = {c for c, i, s in rows if s is not None and s == s and i in dict(labels)}
+    assert set(got) == names
+    for name in names:
+        ids, precision, recall = reference_curve(rows, labels, name)
+        mine = [p for p in points if p.curve == name]
+        assert [p.id for p in mine] == ids
+        assert [p["rank"] for p in mine] == list(range(1, len(ids) + 1))
+        assert np.allclose([p.precision for p in mine], precision)
+        assert np.allclose([p.recall for p in mine], recall)
+        assert got[name] == pytest.approx(area(precision, recall), abs=1e-12)
+
+
+def test_curve_without_wrong_labels(spark):
+    rows = [("c", str(i), i / 10) for i in range(5)]
+    labels = [(str(i), True) for i in range(5)]
+    shaped = curves.curve_rows(
+        spark.createDataFrame(rows, SCORES), spark.createDataFrame(labels, LABELS)
+    )
+    assert curves.auc_pr(shaped).first().auc_pr == 0.0
+    assert {p.recall for p in curves.pr_curve(shaped).collect()} == {0.0}
+
+
+def test_threshold_index_equals_testing_each(evaluate):
+    rng = random.Random(9)
+    for steps, step in ((21, 0.05), (101, 0.01)):
+        grid = [i * step for i in range(steps)]
+        values = grid + [rng.uniform(-0.2, 1.4) for _ in range(500)]
+        values += [np.nextafter(g, d).item() for g in grid for d in (-9, 9)] + [1e300, -1e300]
+        got = evaluate(
+            [(float(v),) for v in values], "s double", curves.threshold_index(F.col("s"), steps, step)
+        )
+        assert got == [next((i for i, g in enumerate(grid) if v <= g), steps) for v in values]
+
+
+def test_grids_are_numpys():
+    assert [i * 0.05 for i in range(21)] == np.arange(0.0, 1.05, 0.05).tolist()
+    assert [i * 0.01 for i in range(101)] == np.arange(0, 1.01, 0.01).tolist()
+
+
+def ratio(a, b):
+    return a / b if b else None
+
+
+def test_sweeps(spark):
+    rows, labels = make(11, 300)
+    truth = dict(labels)
+    scores = spark.createDataFrame(rows, SCORES)
+    label_df = spark.createDataFrame(labels, LABELS)
+    sweep = {(r.curve, r.t_idx): r for r in curves.threshold_sweep(scores, label_df).collect()}
+    ranking = {(r.curve, r.t_idx): r for r in curves.f1_sweep(scores, label_df).collect()}
+    known = [(c, s, truth[i]) for c, i, s in rows if i in truth]
+    valid = lambda s: s is not None and s == s
+    for (name, k), row in sweep.items():
+        t = k * 0.05
+        here = [(valid(s) and s <= t, y is False) for c, s, y in known if c == name]
+        counts = [sum(1 for p, w in here if (p, w) == q) for q in
+                  ((True, True), (True, False), (False, False), (False, True))]
+        assert [row.tp, row.fp, row.tn, row.fn, row.none_fn, row.none_fp] == [*counts, 0, 0]
+    for (name, k), row in ranking.items():
+        t = k * 0.01
+        here = [(valid(s) and s > t, y is True) for c, s, y in known if c == name]
+        tn = sum(1 for p, y in here if not p and not y)
+        fn = sum(1 for p, y in here if not p and y)
+        fp = sum(1 for p, y in here if p and not y)
+        assert (row.tn, row.fn, row.fp) == (tn, fn, fp)
+        p, r = ratio(tn, tn + fn), ratio(tn, tn + fp)
+        assert (row.precision, row.recall) == (p, r)
+        assert row.f1_score == (2 * (p * r) / (p + r) if p is not None and r is not None and p + r else None)
+    assert len([k for k in sweep if k[0] == "big"]) == 21
+    assert len([k for k in ranking if k[0] == "big"]) == 101
+
+
+def test_summary_filters_rows_not_positions(spark):
+    rows = [
+        ("c", 0, 0.0, None, None, 0.0), ("c", 1, 0.1, None, 1.0, 0.5),
+        ("c", 2, 0.2, 0.8, 1.0, 0.9), ("c", 3, 0.3, 0.7, 0.9, 1.0), ("c", 4, 0.4, 0.6, 0.8, 1.0),
+    ]
+    df = spark.createDataFrame(
+        rows, "curve string, t_idx int, threshold double, f1_score double, precision double, recall double"
+    )
+    row = curves.f1_summary(df).first()
+    assert (row.max_f1, row.full_recall_from, row.full_precision_to) == (0.8, 0.3, 0.2)
+
+
+def test_f1_at(spark):
+    rows = [("c", "1", 0.5), ("c", "2", 0.4), ("c", "3", 0.2), ("c", "4", None), ("c", "5", 0.9)]
+    labels = [("1", True), ("2", False), ("3", True), ("4", False), ("5", False)]
+    row = metrics.f1_at(
+        spark.createDataFrame(rows, SCORES), spark.createDataFrame(labels, LABELS)
+    ).first()
+    assert (row.tn, row.fp, row.fn) == (2, 1, 1)
+    assert row.precision == 2 / 3 and row.recall == 2 / 3 and row.f1_score == pytest.approx(2 / 3)
+
+
+def test_complete_rows(spark):
+    rows = [("a", "1", 0.1), ("b", "1", 0.2), ("a", "2", 0.1), ("b", "2", None), ("x", "2", 0.3),
+            ("a", "3", float("nan")), ("b", "3", 0.1)]
+    kept = relational.complete_rows(spark.createDataFrame(rows, SCORES), ["a", "b"])
+    assert sorted((r.curve, r.id) for r in kept.collect()) == [("a", "1"), ("b", "1")]
