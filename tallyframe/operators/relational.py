@@ -1,9 +1,9 @@
 """Filters, id joins, contract checks and name keys over item tables."""
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.parsing import is_valid_output
@@ -22,17 +22,17 @@ def drop_empty_labels(df: DataFrame, label: str = "label") -> DataFrame:
     return df.where(~F.col(label).eqNullSafe(""))
 
 
-def apply_filters(df: DataFrame, steps: Iterable[Step]) -> tuple[DataFrame, list[Observation]]:
-    """Apply filters in order; each observation yields the rows left after its step.
+def apply_filters(df: DataFrame, steps: Sequence[Step]) -> tuple[DataFrame, DataFrame]:
+    """Apply filters in order; also ``(step, rows)``: what is left after each of them.
 
-    The counts are taken while the final result is computed, not by extra jobs.
+    The count table costs nothing unless it is read. (Observed metrics would give the counts
+    along the way, but a session that has used them cannot run ML evaluators any more.)
     """
-    observations: list[Observation] = []
-    for step in steps:
-        seen = Observation()
-        df = df.transform(step).observe(seen, F.count(F.lit(1)).alias("rows"))
-        observations.append(seen)
-    return df, observations
+    counts = []
+    for number, step in enumerate(steps, start=1):
+        df = df.transform(step)
+        counts.append(df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(number).alias("step"), "rows"))
+    return df, union_all(counts)
 
 
 def restrict_to(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

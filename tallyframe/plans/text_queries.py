@@ -28,21 +28,34 @@ def replace_empty_label(t):
     return t.items.select("id", parsing.replace_empty_label(F.col("label")).alias("label"))
 
 
-@query(
-    f"""SELECT i.id, label FROM fx_items i WHERE label <> '' AND len({WORDS.format(x="context")}) <= 600
-    AND i.id IN (SELECT id FROM fx_truth)"""
-)
-def filter_chain(t):
-    """Filters applied in order; the rows left after each step come with the same job."""
-    kept, _counts = relational.apply_filters(
-        t.items,
+FILTER_SQL = f""", s1 AS (SELECT id, label, context FROM fx_items WHERE label <> ''),
+ s2 AS (SELECT id, label FROM s1 WHERE len({WORDS.format(x="context")}) <= 600),
+ s3 AS (SELECT id, label FROM s2 WHERE id IN (SELECT id FROM fx_truth))"""
+
+
+def _filtered(t):
+    return relational.apply_filters(
+        t.items.select("id", "label", "context"),
         [
             relational.drop_empty_labels,
             lambda df: relational.over_long(df, "context", 600)[0],
             lambda df: relational.restrict_to(df, t.truth),
         ],
     )
-    return kept.select("id", "label")
+
+
+@query(FILTER_SQL + "SELECT id, label FROM s3")
+def filter_chain(t):
+    return _filtered(t)[0].select("id", "label")
+
+
+@query(
+    FILTER_SQL
+    + """SELECT 1 AS step, count(*) AS rows FROM s1 UNION ALL SELECT 2, count(*) FROM s2
+    UNION ALL SELECT 3, count(*) FROM s3"""
+)
+def filter_chain_counts(t):
+    return _filtered(t)[1]
 
 
 @query(
