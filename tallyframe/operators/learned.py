@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import ratio, ratio_or_zero
@@ -27,12 +27,31 @@ HIDDEN_LAYERS = (1, 3)
 HIDDEN_UNITS = (5, 15)
 
 
-def _negative_f1() -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(
-        labelCol="y", predictionCol="prediction", metricName="fMeasureByLabel", metricLabel=0.0
+def _negative_f1_of(rows: DataFrame, guess: Column) -> DataFrame:
+    """Rows, right guesses and F1 of class 0; an F1 nothing defines is 0."""
+    counts = rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("y") == guess).alias("n_right"),
+        F.count_if((F.col("y") == 0) & (guess == 0)).alias("tn"),
+        F.count_if((F.col("y") == 0) & (guess == 1)).alias("fp"),
+        F.count_if((F.col("y") == 1) & (guess == 0)).alias("fn"),
+    )
+    return counts.select(
+        "n",
+        ratio(F.col("n_right"), F.col("n")).alias("accuracy"),
+        ratio_or_zero(F.col("tn") * 2, F.col("tn") * 2 + F.col("fp") + F.col("fn")).alias(
+            "negative_f1"
+        ),
     )
 
 
+class NegativeF1(Evaluator):
+    """Spark ML evaluator for the F1 of class 0, also where a fold lacks that class."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return _negative_f1_of(dataset, F.col("prediction")).first()["negative_f1"]
+
+
 def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="x")
 
@@ -68,13 +87,13 @@ def train_forest(
         validator = CrossValidator(
             estimator=Pipeline(stages=[_assembler(features), forest]),
             estimatorParamMaps=grid,
-            evaluator=_negative_f1(),
+            evaluator=NegativeF1(),
             numFolds=folds,
             foldCol="fold",
             parallelism=parallelism,
         )
         model = validator.fit(train).bestModel
-        held_out = _negative_f1().evaluate(model.transform(parts.where("part = 'validation'")))
+        held_out = NegativeF1().evaluate(model.transform(parts.where("part = 'validation'")))
         runs.append((r, held_out))
         if best is None or held_out > best[0]:
             best = (held_out, model)
@@ -109,7 +128,7 @@ def train_perceptron(
         search = TrainValidationSplit(
             estimator=Pipeline(stages=stages),
             estimatorParamMaps=ParamGridBuilder().addGrid(network.layers, shapes).build(),
-            evaluator=_negative_f1(),
+            evaluator=NegativeF1(),
             trainRatio=0.8,
             parallelism=parallelism,
             seed=seed + r,
@@ -146,18 +165,4 @@ def load_model(path: str) -> PipelineModel:
 
 def training_report(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Accuracy and negative-class F1 of ``(y, score)`` rows."""
-    guess = (F.col("score") > threshold).cast("double")
-    counts = scored.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("y") == guess).alias("n_right"),
-        F.count_if((F.col("y") == 0) & (guess == 0)).alias("tn"),
-        F.count_if((F.col("y") == 0) & (guess == 1)).alias("fp"),
-        F.count_if((F.col("y") == 1) & (guess == 0)).alias("fn"),
-    )
-    return counts.select(
-        "n",
-        ratio(F.col("n_right"), F.col("n")).alias("accuracy"),
-        ratio_or_zero(F.col("tn") * 2, F.col("tn") * 2 + F.col("fp") + F.col("fn")).alias(
-            "negative_f1"
-        ),
-    )
+    return _negative_f1_of(scored, (F.col("score") > threshold).cast("double"))
