@@ -52,6 +52,11 @@ class NegativeF1(Evaluator):
         return _negative_f1_of(dataset, F.col("prediction")).first()["negative_f1"]
 
 
+def _with_truth(matrix: DataFrame) -> DataFrame:
+    """Rows to learn from: those whose truth is known."""
+    return matrix.where(F.col("y").isin(0.0, 1.0))
+
+
 def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="x")
 
@@ -70,6 +75,7 @@ def train_forest(
 
     Returns the fitted pipeline and ``(round, hold-out F1)`` of every round.
     """
+    matrix = _with_truth(matrix)
     forest = RandomForestClassifier(featuresCol="x", labelCol="y", seed=seed)
     combinations = list(itertools.product(*space.values()))
     runs: list[tuple[int, float]] = []
@@ -110,6 +116,7 @@ def train_perceptron(
     seed: int = 42,
 ) -> tuple[PipelineModel, list[tuple[int, float]]]:
     """Sampled layer sizes, chosen by hold-out negative F1, then refitted on all rows."""
+    matrix = _with_truth(matrix)
     network = MultilayerPerceptronClassifier(
         featuresCol="scaled", labelCol="y", maxIter=max_iter, seed=seed
     )
