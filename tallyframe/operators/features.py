@@ -13,21 +13,20 @@ from tallyframe.functions.parsing import (
     judge,
     word_precision_recall,
 )
+from tallyframe.sources.registry import Prompt, family_of
 
 
 def _uses_word_scores(family: str, method: str) -> bool:
     return method == "precision_recall" and FAMILIES[family].word_scores
 
 
-def feature_names(
-    prompts: Sequence[tuple[str, str]], models: Sequence[str], method: str
-) -> list[str]:
-    """Feature columns in prompt, then model order; ``prompts`` holds (prompt, family)."""
+def feature_names(prompts: Sequence[Prompt], models: Sequence[str], method: str) -> list[str]:
+    """Feature columns in prompt, then model order."""
     names = []
-    for prompt, family in prompts:
+    for prompt in prompts:
         for model in models:
-            base = f"{model}_{prompt}"
-            if _uses_word_scores(family, method):
+            base = f"{model}_{prompt.name}"
+            if _uses_word_scores(prompt.family, method):
                 names += [f"{base}_precision", f"{base}_recall"]
             else:
                 names.append(base)
@@ -35,13 +34,14 @@ def feature_names(
 
 
 def feature_rows(
-    outputs: DataFrame, prompts: DataFrame, labels: DataFrame, method: str = "bool"
+    outputs: DataFrame, prompts: Sequence[Prompt], labels: DataFrame, method: str = "bool"
 ) -> DataFrame:
     """``(id, feature, value)``: a verdict, or word precision and recall of an answer.
 
     Texts are parsed before the join with the labels, so only short answers are shuffled.
     """
-    answers = outputs.join(F.broadcast(prompts.select("prompt", "family")), "prompt").select(
+    listed = outputs.where(F.col("prompt").isin(*[p.name for p in prompts]))
+    answers = listed.withColumn("family", family_of(prompts, F.col("prompt"))).select(
         "id", "family",
         F.concat_ws("_", "model", "prompt").alias("base"),
         feature_answer(F.col("family"), F.col("output")).alias("answer"),
@@ -78,16 +78,12 @@ def feature_rows(
 def feature_matrix(
     rows: DataFrame, names: Sequence[str], labels: DataFrame | None = None
 ) -> DataFrame:
-    """One column per feature; a verdict without a row is one half.
+    """One column per feature, in one shuffle; a verdict without a row is one half.
 
     ``labels(id, matches_original)`` keeps the labelled items and adds ``y`` (missing: 0.5).
     """
-    matrix = (
-        rows.groupBy("id")
-        .pivot("feature", list(names))
-        .agg(F.first("value"))
-        .select("id", *[F.coalesce(F.col(f"`{n}`"), F.lit(0.5)).alias(n) for n in names])
-    )
+    of = lambda n: F.max(F.when(F.col("feature") == n, F.col("value")))
+    matrix = rows.groupBy("id").agg(*[F.coalesce(of(n), F.lit(0.5)).alias(n) for n in names])
     if labels is None:
         return matrix
     return matrix.join(

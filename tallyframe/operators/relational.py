@@ -159,6 +159,11 @@ def missing_members(df: DataFrame, column: str, expected: Sequence[str]) -> Data
     return wanted.join(df.select(column).distinct(), column, "left_anti")
 
 
+def small_side(stored: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+    """A materialised table, hinted for broadcast only if its counted rows allow it."""
+    return F.broadcast(stored) if stored.count() <= broadcast_rows else stored
+
+
 def attach_statistics(
     rows: DataFrame, statistics: DataFrame, keys: Sequence[str], broadcast_rows: int = 100_000
 ) -> DataFrame:
@@ -167,6 +172,4 @@ def attach_statistics(
     The statistics are written out once and counted; only a table within ``broadcast_rows``
     is broadcast, a larger one goes through a shuffled join that AQE can split.
     """
-    stored = materialise(statistics)
-    small = stored.count() <= broadcast_rows
-    return rows.join(F.broadcast(stored) if small else stored, list(keys))
+    return rows.join(small_side(materialise(statistics), broadcast_rows), list(keys))

@@ -49,12 +49,10 @@ def random_baseline(df: DataFrame, key: str = "id", seed: int = 42) -> DataFrame
 
 def first_correct_model(verdicts: DataFrame, preference: Sequence[str]) -> DataFrame:
     """Per item the first model of the preference list whose verdict is TRUE."""
-    rank = F.array_position(F.lit(list(preference)), F.col("model"))
-    return (
-        verdicts.where(F.col("vote") & (rank > 0))
-        .groupBy("id")
-        .agg(F.min_by("model", rank).alias("model"))
-    )
+    order = F.lit(list(preference))
+    rank = F.array_position(order, F.col("model"))
+    first = verdicts.where(F.col("vote") & (rank > 0)).groupBy("id").agg(F.min(rank).alias("r"))
+    return first.select("id", F.element_at(order, F.col("r").cast("int")).alias("model"))
 
 
 def finetune_rows(

@@ -11,16 +11,15 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import ratio
 from tallyframe.functions.parsing import judge, parse_output
+from tallyframe.sources.registry import Prompt, family_of
 
 
 def parse_outputs(
-    outputs: DataFrame, prompts: DataFrame, extra: Sequence[str] = ()
+    outputs: DataFrame, prompts: Sequence[Prompt], extra: Sequence[str] = ()
 ) -> DataFrame:
-    """``(id, prompt, model, family, answer)`` from raw outputs, and the extra columns.
-
-    ``prompts(prompt, family)`` is the registry table, a few rows made on the driver.
-    """
-    return outputs.join(F.broadcast(prompts.select("prompt", "family")), "prompt").select(
+    """``(id, prompt, model, family, answer)`` of the listed prompts, and the extra columns."""
+    listed = outputs.where(F.col("prompt").isin(*[p.name for p in prompts]))
+    return listed.withColumn("family", family_of(prompts, F.col("prompt"))).select(
         "id", "prompt", "model", "family",
         parse_output(F.col("family"), F.col("output")).alias("answer"),
         *extra,
@@ -28,7 +27,7 @@ def parse_outputs(
 
 
 def verdicts(
-    outputs: DataFrame, prompts: DataFrame, labels: DataFrame, extra: Sequence[str] = ()
+    outputs: DataFrame, prompts: Sequence[Prompt], labels: DataFrame, extra: Sequence[str] = ()
 ) -> DataFrame:
     """``(id, prompt, model, vote)``: parse first, so the join moves answers, not texts."""
     answers = parse_outputs(outputs, prompts, extra)
@@ -155,9 +154,6 @@ def wide_to_verdicts(df: DataFrame, models: Sequence[str], keys: Sequence[str])
 
 
 def verdicts_to_wide(verdict_rows: DataFrame, models: Sequence[str]) -> DataFrame:
-    """One boolean column per model, for files in that layout."""
-    return (
-        verdict_rows.groupBy("id", "prompt")
-        .pivot("model", list(models))
-        .agg(F.first("vote", ignorenulls=True))
-    )
+    """One boolean column per model, for files in that layout, in one shuffle."""
+    columns = [F.max(F.when(F.col("model") == m, F.col("vote"))).alias(m) for m in models]
+    return verdict_rows.groupBy("id", "prompt").agg(*columns)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions.prompts import MessageTemplate
-from tallyframe.sources.registry import Prompt, prompts_table
+from tallyframe.sources.registry import Prompt
 from tallyframe.sources.tables import spread
 
 MODELS = ["m0", "m1", "m2", "m3"]
@@ -18,7 +18,8 @@ PROMPTS = [
     Prompt("answer_b", ("main", "answers"), "answer"),
 ]
 PROMPT_NAMES = [p.name for p in PROMPTS]
-FAMILIES = [(p.name, p.family) for p in PROMPTS]
+ANSWER_PROMPTS = [p for p in PROMPTS if p.family == "answer"]
+CHECK_PROMPTS = [p for p in PROMPTS if p.family == "yes_no"]
 
 QUESTION_TEMPLATE = MessageTemplate(
     "user",
@@ -48,10 +49,6 @@ class Tables:
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return spread(table) if name in TEXT_TABLES else table
 
-    @cached_property
-    def prompts(self) -> DataFrame:
-        return prompts_table(self.spark, PROMPTS)
-
     @cached_property
     def items(self) -> DataFrame:
         """Every document as an item; its label is ``lang ; source``, empty for every tenth."""

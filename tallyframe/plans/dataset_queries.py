@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from tallyframe.functions.numbers import verdict_number
 from tallyframe.operators import features, learned, metrics, relational, sampling
 from tallyframe.plans.catalog import (
-    FAMILIES,
     MODELS,
+    PROMPTS,
     QUESTION_TEMPLATE,
     query,
     rounded,
@@ -122,7 +122,7 @@ def finetune_chats(t):
 
 def _feature_sql(method: str) -> str:
     """One row per (id, feature), then one aggregate per feature column."""
-    names = features.feature_names(FAMILIES, MODELS, method)
+    names = features.feature_names(PROMPTS, MODELS, method)
     words = "list_distinct(list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda w: w <> ''))"
     parts = ["SELECT id, model || '_' || prompt AS feature, CASE WHEN vote IS NULL THEN NULL ELSE CAST(vote AS INT) END::DOUBLE AS value FROM yes_no"]
     if method == "bool":
@@ -146,8 +146,8 @@ def _feature_sql(method: str) -> str:
 
 
 def _matrix(t, method, labels=None):
-    names = features.feature_names(FAMILIES, MODELS, method)
-    rows = features.feature_rows(t.outputs, t.prompts, t.items, method)
+    names = features.feature_names(PROMPTS, MODELS, method)
+    rows = features.feature_rows(t.outputs, PROMPTS, t.items, method)
     return names, features.feature_matrix(rows, names, labels)
 
 

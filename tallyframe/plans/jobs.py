@@ -25,7 +25,7 @@ from tallyframe.operators import (
     votes,
 )
 from tallyframe.sources.annotations import choose_annotator, read_annotation_files
-from tallyframe.sources.registry import Model, Prompt, names_in, prompts_table
+from tallyframe.sources.registry import Model, Prompt, names_in
 
 VOTE_METHODS = (
     "majority_vote",
@@ -139,7 +139,7 @@ def aggregate_votes(
     models, prompts = ws.group(model_group, prompt_group)
     outputs = ws.outputs(dataset, models, prompts)
     judged = votes.verdicts(
-        outputs, prompts_table(ws.spark, prompts), ws.read("items", dataset)
+        outputs, prompts, ws.read("items", dataset)
     )
     ws.store("verdicts", judged, dataset, "prompt", "model")
     chosen = ws.read("verdicts", dataset).where(
@@ -164,10 +164,9 @@ def aggregate_votes(
 def _matrix(ws: Workspace, dataset: str, model_group: str, prompt_group: str, eval_method: str):
     models, prompts = ws.group(model_group, prompt_group)
     rows = features.feature_rows(
-        ws.outputs(dataset, models, prompts), prompts_table(ws.spark, prompts),
-        ws.read("items", dataset), eval_method,
+        ws.outputs(dataset, models, prompts), prompts, ws.read("items", dataset), eval_method,
     )
-    names = features.feature_names([(p.name, p.family) for p in prompts], models, eval_method)
+    names = features.feature_names(prompts, models, eval_method)
     return names, rows
 
 
@@ -332,7 +331,7 @@ def prediction_quality(
     """Exact match and F1 per model, against the original or an annotator's labels."""
     models = names_in(ws.models, model_group.split(","))
     answers = votes.parse_outputs(
-        ws.outputs(dataset, models, [prompt]), prompts_table(ws.spark, [prompt])
+        ws.outputs(dataset, models, [prompt]), [prompt]
     )
     if annotator is None:
         return agreement.prediction_scores(answers, ws.read("items", dataset))

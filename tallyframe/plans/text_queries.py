@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tallyframe.constants import FORMAT_REMINDER, RETRY_LIMIT
 from tallyframe.functions import parsing, prompts, text
 from tallyframe.operators import flatten, generation, relational, textjobs
-from tallyframe.plans.catalog import CHECK_TEMPLATES, query, rounded
+from tallyframe.plans.catalog import CHECK_TEMPLATES, PROMPTS, query, rounded
 from tallyframe.plans.vote_queries import vote_sql
 from tallyframe.session import ensure_checkpoint_dir
+from tallyframe.sources.registry import family_of
 from tallyframe.sources.tables import spread
 from tallyframe.streaming.votes import VoteTables, read_output_stream, start_votes
 
@@ -133,10 +134,9 @@ def repetition_flag(t):
      ELSE 'append' END AS action FROM o"""
 )
 def retry_plan(t):
-    outputs = t.outputs.join(F.broadcast(t.prompts), "prompt")
-    valid = parsing.is_valid_output(F.col("family"), F.col("output"))
+    valid = parsing.is_valid_output(family_of(PROMPTS, F.col("prompt")), F.col("output"))
     attempt = F.col("id").cast("long") % RETRY_LIMIT + 1
-    return outputs.select(
+    return t.outputs.select(
         "id", "prompt", "model",
         generation.retry_action(F.col("output"), valid, attempt).alias("action"),
     )
@@ -363,5 +363,5 @@ def stream_votes(t):
     for arriving in waves:
         arriving.write.mode("append").json(f"{base}/in")
         outputs = read_output_stream(t.spark, f"{base}/in")
-        start_votes(outputs, t.prompts, t.items, tables, f"{base}/state").awaitTermination()
+        start_votes(outputs, PROMPTS, t.items, tables, f"{base}/state").awaitTermination()
     return rounded(tables.votes(t.spark), "percentage_vote")

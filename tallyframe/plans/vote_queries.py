@@ -4,7 +4,16 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import parsing
 from tallyframe.operators import metrics, relational, votes
-from tallyframe.plans.catalog import MODELS, PROMPT_NAMES, query, rounded
+from tallyframe.plans.catalog import (
+    ANSWER_PROMPTS,
+    CHECK_PROMPTS,
+    MODELS,
+    PROMPT_NAMES,
+    PROMPTS,
+    query,
+    rounded,
+)
+from tallyframe.sources.registry import family_of
 
 RATES = ("accuracy", "precision", "recall", "f1_score", "no_prediction")
 MERGED = [
@@ -103,12 +112,12 @@ def merged_votes_compat(t):
 
 @query("SELECT id, prompt, model, answer FROM fx_answers")
 def parse_answers(t):
-    return votes.parse_outputs(t.outputs, t.prompts.where("family = 'answer'")).drop("family")
+    return votes.parse_outputs(t.outputs, ANSWER_PROMPTS).drop("family")
 
 
 @query("SELECT id, prompt, model, answer FROM fx_yes_no")
 def parse_yes_no(t):
-    return votes.parse_outputs(t.outputs, t.prompts.where("family = 'yes_no'")).drop("family")
+    return votes.parse_outputs(t.outputs, CHECK_PROMPTS).drop("family")
 
 
 @query(
@@ -118,17 +127,16 @@ def parse_yes_no(t):
     FROM fx_out GROUP BY prompt, model"""
 )
 def output_validity(t):
-    valid = parsing.is_valid_output(F.col("family"), F.col("output"))
+    valid = parsing.is_valid_output(family_of(PROMPTS, F.col("prompt")), F.col("output"))
     return (
-        t.outputs.join(F.broadcast(t.prompts), "prompt")
-        .groupBy("prompt", "model")
+        t.outputs.groupBy("prompt", "model")
         .agg(F.count_if(valid).alias("n_valid"), F.count(F.lit(1)).alias("n"))
     )
 
 
 @query("SELECT id, prompt, model, vote FROM fx_verdicts")
 def verdicts(t):
-    return votes.verdicts(t.outputs, t.prompts, t.items)
+    return votes.verdicts(t.outputs, PROMPTS, t.items)
 
 
 @query(
@@ -138,7 +146,7 @@ def verdicts(t):
 )
 def yes_no_against_label(t):
     label = F.when(F.col("matches_original"), "yes").otherwise("no")
-    answers = votes.parse_outputs(t.outputs, t.prompts.where("family = 'yes_no'"))
+    answers = votes.parse_outputs(t.outputs, CHECK_PROMPTS)
     return answers.join(t.truth, "id").select(
         "id", "prompt", "model", "answer",
         parsing.yes_no_equals_label(F.col("answer"), label).alias("agrees"),
@@ -214,7 +222,7 @@ def vote_metrics(t):
 )
 def text_to_metrics(t):
     """End to end: raw texts, parsed, judged, voted and measured per prompt."""
-    rows = votes.prompt_votes(votes.verdicts(t.outputs, t.prompts, t.items))
+    rows = votes.prompt_votes(votes.verdicts(t.outputs, PROMPTS, t.items))
     return rounded(metrics.vote_metrics(rows, t.truth, ["majority_vote"], ["prompt"]), *RATES)
 
 

@@ -3,7 +3,7 @@
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions.prompts import MessageTemplate
@@ -42,6 +42,20 @@ def names_in(members: Iterable[Model | Prompt], groups: Sequence[str]) -> list[s
     return names
 
 
+def family_of(prompts: Iterable[Prompt], prompt: Column) -> Column:
+    """Family of a prompt name as an expression; NULL for a prompt not listed.
+
+    The registry is configuration, so it becomes part of the plan instead of a joined table.
+    """
+    families: dict[str, list[str]] = {}
+    for p in prompts:
+        families.setdefault(p.family, []).append(p.name)
+    out = F.lit(None).cast("string")
+    for family, names in families.items():
+        out = F.when(prompt.isin(*names), family).otherwise(out)
+    return out
+
+
 def prompts_table(spark: SparkSession, prompts: Iterable[Prompt]) -> DataFrame:
     return spark.createDataFrame(
         [(p.name, p.family) for p in prompts], "prompt string, family string"

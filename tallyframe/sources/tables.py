@@ -106,7 +106,8 @@ def replace_column(
     before = existing.join(touched, list(partition), "left_semi").select(*keys)
     known = touched.join(before.select(*partition).distinct(), list(partition), "left_semi")
     after = new.join(known, list(partition), "left_semi").select(*keys)
-    if before.exceptAll(after).union(after.exceptAll(before)).limit(1).count():
+    signed = before.withColumn("sign", F.lit(1)).unionByName(after.withColumn("sign", F.lit(-1)))
+    if signed.groupBy(*keys).agg(F.sum("sign").alias("sign")).where("sign != 0").limit(1).count():
         raise ValueError(f"the new column covers other {ids} than the stored one")
     return upsert(existing, new, keys)
 

@@ -6,12 +6,15 @@ votes of the (id, prompt) keys a batch touched. A batch reads only the buckets i
 overwrites only its own partitions, so running it again after a failure changes nothing.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyframe.operators.sampling import hash_bucket
 from tallyframe.operators.votes import prompt_votes, verdicts
+from tallyframe.sources.registry import Prompt
 
 OUTPUT_STREAM = "id string, prompt string, model string, output string, ts timestamp"
 BUCKETS = 64
@@ -79,7 +82,11 @@ class VoteTables:
 
 
 def start_votes(
-    outputs: DataFrame, prompts: DataFrame, labels: DataFrame, tables: VoteTables, checkpoint: str
+    outputs: DataFrame,
+    prompts: Sequence[Prompt],
+    labels: DataFrame,
+    tables: VoteTables,
+    checkpoint: str,
 ) -> StreamingQuery:
     """Parse arriving outputs, judge them against the labels and refresh the votes.
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.prompts import MessageTemplate
 from tallyframe.operators import agreement, features, learned, relational, sampling
 from tallyframe.operators.relational import attach_statistics
+from tallyframe.sources.registry import Prompt
 
 
 def test_most_uncertain(spark):
@@ -101,7 +102,7 @@ def test_finetune_rows(spark):
 
 
 def test_feature_rules(spark):
-    prompts = spark.createDataFrame([("a", "answer"), ("y", "yes_no")], "prompt string, family string")
+    prompts = [Prompt("a", (), "answer"), Prompt("y", (), "yes_no")]
     labels = spark.createDataFrame([("1", "x ; y"), ("2", ""), ("3", None)], "id string, label string")
     outputs = spark.createDataFrame(
         [
@@ -112,7 +113,7 @@ def test_feature_rules(spark):
         "id string, prompt string, model string, output string",
     )
     def matrix(method):
-        names = features.feature_names([("a", "answer"), ("y", "yes_no")], ["m"], method)
+        names = features.feature_names(prompts, ["m"], method)
         rows = features.feature_rows(outputs, prompts, labels, method)
         return names, {r.id: tuple(r)[1:] for r in features.feature_matrix(rows, names).collect()}
 

@@ -131,6 +131,7 @@ def test_registry(spark, tmp_path):
     assert registry.names_in(prompts, ["x", "main"]) == ["p0", "p1"]
     with pytest.raises(ValueError):
         registry.names_in(prompts, ["nobody"])
+    assert {r.prompt: r.family for r in registry.prompts_table(spark, prompts).collect()}["p1"] == "answer"
     models = registry.registry_table(spark, [registry.Model("m", ("g",))])
     assert models.first().family is None
     (tmp_path / "a.txt").write_text("Hello\n")
@@ -154,7 +155,7 @@ def test_verdicts_from_wide_file(spark, tmp_path):
     path = tmp_path / "p.json"
     path.write_text("\n".join(json.dumps(x) for x in lines))
     outputs = tables.read_outputs(spark, str(path), "p", ["m0", "m1"])
-    prompts = registry.prompts_table(spark, [registry.Prompt("p", (), "answer")])
+    prompts = [registry.Prompt("p", (), "answer")]
     labels = outputs.select("id", "label").distinct()
     rows = votes.prompt_votes(votes.verdicts(outputs, prompts, labels))
     assert {r.id: (r.majority_vote, r.unanimous_vote, r.percentage_vote) for r in rows.collect()} == {

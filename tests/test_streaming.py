@@ -10,7 +10,7 @@ def rows_of(df):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    prompts = registry.prompts_table(spark, [registry.Prompt("p", (), "yes_no")])
+    prompts = [registry.Prompt("p", (), "yes_no")]
     labels = spark.createDataFrame([(str(i), "x") for i in range(20)], "id string, label string")
     base = spark.range(80).select(
         (F.col("id") % 20).cast("string").alias("id"), F.lit("p").alias("prompt"),
