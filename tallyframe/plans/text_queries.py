@@ -246,7 +246,36 @@ def annotation_texts(t):
     return flatten.annotation_texts(_source_documents(t))
 
 
-@query()
+REDUCE_SQL = """, it AS (SELECT id, context, p[-2] || ' ' || p[-1] || ' ; ' || p[1] AS label
+ FROM (SELECT id, context, string_split(context, ' ') AS p FROM fx_items) WHERE len(p) > 2),
+labels_of AS (SELECT id, raw, trim(raw, blanks) AS t FROM (
+  SELECT id, unnest(string_split(label, ';')) AS raw, ' ' || chr(9) || chr(10) || chr(13) AS blanks FROM it) WHERE trim(raw, blanks) <> ''),
+sized AS (SELECT id, raw, t, greatest(length(t) // 3, length(regexp_extract(t, '^\\S+')), 1) AS m FROM labels_of),
+starts AS (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM sized),
+subs AS (SELECT id, substr(t, i, n) AS piece FROM (SELECT *, unnest(range(m, length(t) - i + 2)) AS n FROM starts)
+ WHERE contains(substr(t, i, n), ' ') UNION SELECT id, raw FROM sized),
+found AS (SELECT s.id, s.piece, it.context FROM subs s JOIN it ON it.id = s.id WHERE contains(it.context, s.piece)),
+cut AS (SELECT id, piece, unnest(string_split(context, piece)) AS part, unnest(range(len(string_split(context, piece)))) AS k FROM found),
+hits AS (SELECT DISTINCT id, b, b + length(piece) AS e FROM (SELECT id, piece, k, (sum(length(part) + length(piece)) OVER (
+   PARTITION BY id, piece ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - length(piece))::BIGINT AS b FROM cut) WHERE k > 0),
+split AS (SELECT id, context, string_split(regexp_replace(context, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM it),
+sentences AS (SELECT id, k, s, strpos(context, s) - 1 AS st, strpos(context, s) - 1 + length(s) AS en FROM (
+  SELECT id, context, unnest(ss) AS s, unnest(range(len(ss))) AS k FROM split)),
+touched AS (SELECT DISTINCT s.id, s.k FROM sentences s JOIN hits h ON h.id = s.id
+ WHERE (s.st <= h.b AND h.b < s.en) OR (s.st < h.e AND h.e <= s.en)),
+seeds AS (SELECT id, k FROM touched UNION SELECT id, k FROM sentences WHERE k < 10 AND id IN (SELECT id FROM touched)),
+kept AS (SELECT DISTINCT s.id, s.k, s.s FROM seeds x JOIN sentences s ON s.id = x.id AND s.k BETWEEN x.k - 5 AND x.k + 5),
+gaps AS (SELECT id, k, trim(s, ' ' || chr(9) || chr(10) || chr(13)) AS s,
+  k > coalesce(lag(k) OVER (PARTITION BY id ORDER BY k), 0) + 1 AS gap FROM kept),
+reduced AS (SELECT id, string_agg(CASE WHEN gap THEN '[...] ' ELSE '' END || s, ' ' ORDER BY k) AS context,
+  count(*) + count(*) FILTER (WHERE gap) AS n_kept FROM gaps GROUP BY id)
+SELECT split.id, coalesce(r.context, split.context) AS context, len(ss)::INT AS n_sentences, coalesce(r.n_kept, len(ss))::INT AS n_kept,
+ round((length(split.context) - length(coalesce(r.context, split.context)))::DOUBLE / length(split.context), 9) AS reduction
+FROM split LEFT JOIN reduced r ON r.id = split.id
+"""
+
+
+@query(REDUCE_SQL)
 def reduce_context(t):
     """Contexts reduced to the sentences around ``word ; word pair`` labels of the text."""
     parts = F.split("context", " ")
