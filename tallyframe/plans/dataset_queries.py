@@ -244,9 +244,9 @@ def column_upsert(t):
 
 
 @query(
-    """SELECT (SELECT count(*) FROM fx_items) AS left_rows, 0 AS left_null_ids, 0 AS left_repeated_ids,
+    """SELECT (SELECT count(*) FROM fx_items) AS left_rows, 0::BIGINT AS left_null_ids, 0::BIGINT AS left_repeated_ids,
      (SELECT count(*) FROM fx_items WHERE id NOT IN (SELECT id FROM fx_truth)) AS left_only_ids,
-     (SELECT count(*) FROM fx_truth) AS right_rows, 0 AS right_null_ids,
+     (SELECT count(*) FROM fx_truth) AS right_rows, 0::BIGINT AS right_null_ids,
      (SELECT count(*) FROM (SELECT id FROM fx_truth GROUP BY id HAVING count(*) > 1)) AS right_repeated_ids,
      (SELECT count(*) FROM fx_truth WHERE id NOT IN (SELECT id FROM fx_items)) AS right_only_ids"""
 )
@@ -257,8 +257,8 @@ def contract_report(t):
 @query(
     """, k AS (SELECT l_orderkey AS id, l_linenumber AS n FROM lineitem),
     a AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT o_orderkey AS id FROM orders)
-    SELECT CAST(sum(a.n) AS BIGINT) AS left_rows, 0 AS left_null_ids, count(*) FILTER (a.n > 1) AS left_repeated_ids,
-     count(*) FILTER (a.id NOT IN (SELECT id FROM b)) AS left_only_ids, (SELECT count(*) FROM b) AS right_rows, 0 AS right_null_ids,
+    SELECT CAST(sum(a.n) AS BIGINT) AS left_rows, 0::BIGINT AS left_null_ids, count(*) FILTER (a.n > 1) AS left_repeated_ids,
+     count(*) FILTER (a.id NOT IN (SELECT id FROM b)) AS left_only_ids, (SELECT count(*) FROM b) AS right_rows, 0::BIGINT AS right_null_ids,
      (SELECT count(*) FROM (SELECT id FROM b GROUP BY id HAVING count(*) > 1)) AS right_repeated_ids,
      (SELECT count(*) FROM b WHERE id NOT IN (SELECT id FROM a)) AS right_only_ids FROM a"""
 )

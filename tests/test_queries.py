@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from check import connect, spark_rows, sql_rows
+from check import connect, schema_of, spark_rows, sql_rows
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables not here")
@@ -24,8 +24,8 @@ def test_query(spark, db, name):
     if name not in ORACLES:
         assert got
         return
-    columns, want = sql_rows(db, ORACLES[name])
-    assert sorted(df.columns) == sorted(columns)
+    schema, want = sql_rows(db, ORACLES[name])
+    assert schema_of(df) == schema
     assert got == want
 
 
