@@ -4,7 +4,7 @@ A verdict is TRUE, FALSE or NULL; NULL weighs one half. All rules follow from th
 per group, which Spark adds up map-side, so a hot item shuffles one row per task.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +78,20 @@ def prompt_votes(
     return counts.select(*keys, *_reduce(strict))
 
 
+def custom_votes(
+    verdict_rows: DataFrame,
+    reducer: Callable[[Column], Column],
+    name: str,
+    keys: Sequence[str] = ("id", "prompt"),
+) -> DataFrame:
+    """A vote of one's own per key: any aggregate of the verdict column.
+
+    ``reducer`` may be a built-in aggregate or a grouped-aggregate pandas UDF; the former
+    combines map-side.
+    """
+    return verdict_rows.groupBy(*keys).agg(reducer(F.col("vote")).alias(name))
+
+
 def _majority(vote: str) -> Column:
     seen = F.count(F.col(vote))
     return F.when(seen > 0, F.count_if(F.col(vote)) * 2 > seen)

@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions.prompts import MessageTemplate, render_messages
+from tallyframe.functions.prompts import MessageTemplate, chat_text, render_messages
 from tallyframe.functions.parsing import is_valid_output
 from tallyframe.operators import (
     agreement,
@@ -84,33 +84,44 @@ def run_generation(
     model: str,
     templates: Sequence[MessageTemplate],
     factory: Callable[[], generation.Generator],
+    preprocess: Sequence[relational.Step] = (),
     filters: Sequence[relational.Step] = (),
     only_failed: bool = False,
+    max_words: int | None = None,
     batch_size: int = 32,
-) -> None:
-    """Ask a model about every item and store its outputs; NULL where it failed for good.
+) -> DataFrame:
+    """Ask a model about every item, store its outputs, and return the over-long items.
 
-    ``only_failed`` asks again only where the stored output is invalid and keeps the rest.
+    Items a filter drops, over-long ones and final failures get a NULL output, so that every
+    item has a row. ``only_failed`` asks again only where the stored output is invalid.
     """
-    items = ws.read("items", dataset)
-    stored = None
+    every = ws.read("items", dataset)
+    items, kept = every, every.select("id", F.lit(None).cast("string").alias("kept"))
     if only_failed:
         stored = ws.read("outputs", dataset).where(
             (F.col("prompt") == prompt.name) & (F.col("model") == model)
         ).select("id", "output")
         items, _orphans = relational.invalid_rerun_set(items, stored, F.lit(prompt.family))
-    for step in filters:
+        kept = every.select("id").join(stored.withColumnRenamed("output", "kept"), "id", "left")
+    for step in (*preprocess, *filters):
         items = items.transform(step)
+    chats = items.select("id", render_messages(templates).alias("messages"))
+    prompts = chats.withColumn("prompt_text", chat_text(F.col("messages")))
+    skipped = prompts.select("id").limit(0).withColumn("n_words", F.lit(0))
+    if max_words is not None:
+        prompts, skipped = relational.over_long(prompts, "prompt_text", max_words)
     valid = lambda output: is_valid_output(F.lit(prompt.family), output)
     asked = generation.generate_with_retries(
-        items.select("id", render_messages(templates).alias("messages")), factory, valid,
-        batch_size=batch_size,
-    ).select("id", "output")
-    rows = asked
-    if stored is not None:
-        rows = stored.join(asked.select("id"), "id", "left_anti").unionByName(asked)
-    named = rows.withColumns({"prompt": F.lit(prompt.name), "model": F.lit(model)})
-    ws.store("outputs", named, dataset, "prompt", "model")
+        prompts.select("id", "messages"), factory, valid, batch_size=batch_size
+    ).select("id", "output", F.lit(True).alias("asked"))
+    rows = kept.join(asked, "id", "left").select(
+        "id",
+        F.when(F.col("asked"), F.col("output")).otherwise(F.col("kept")).alias("output"),
+        F.lit(prompt.name).alias("prompt"),
+        F.lit(model).alias("model"),
+    )
+    ws.store("outputs", rows, dataset, "prompt", "model")
+    return skipped
 
 
 def store_scores(

@@ -1,5 +1,6 @@
 """Models, prompts and templates as small driver-made tables."""
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -76,8 +77,11 @@ def load_templates(
         .collect()
     }
 
+    def plain(path: str) -> str:
+        return "/" + re.sub(r"^\w+:", "", path).lstrip("/")
+
     def text_of(path: str) -> str:
-        return next(v for k, v in texts.items() if k.endswith(path.removeprefix("file:")))
+        return texts[min((k for k in texts if plain(k).endswith(plain(path))), key=len)]
 
     return [MessageTemplate(role, text_of(path), names) for path, role, names in files]
 

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.matching import ENTRY_TYPE
 from tallyframe.functions.prompts import MessageTemplate
-from tallyframe.operators import relational
 from tallyframe.plans import jobs
 from tallyframe.sources.registry import Model, Prompt
 
@@ -133,18 +132,28 @@ def test_finetuning(ws):
 
 def test_generation_and_failed_reruns(ws):
     def factory():
-        return lambda texts, retry: ["###yes" if "ctx 1" in t else "hm" for t in texts]
+        return lambda texts, retry: ["###yes" if "CTX 1" in t else "hm" for t in texts]
 
     def later():
         return lambda texts, retry: ["### no" for _ in texts]
 
-    keep = [lambda df: relational.over_long(df, "context", 5)[0]]
-    jobs.run_generation(ws, "train", PROMPTS[0], "new", [TEMPLATE], factory, keep)
+    shout = [lambda df: df.withColumn("context", F.upper("context"))]
+    drop = [lambda df: df.where("id != '19'")]
+    skipped = jobs.run_generation(
+        ws, "train", PROMPTS[0], "new", [TEMPLATE], factory, shout, drop, max_words=5
+    )
+    assert skipped.count() == 0
     mine = lambda: {
         r.id: r.output for r in ws.read("outputs", "train").where("model = 'new'").collect()
     }
     first = mine()
-    assert len(first) == 60 and first["1"] == "###yes" and first["2"] is None
-    jobs.run_generation(ws, "train", PROMPTS[0], "new", [TEMPLATE], later, only_failed=True)
+    assert len(first) == 60 and first["1"] == "###yes" and first["2"] is None and first["19"] is None
+    jobs.run_generation(ws, "train", PROMPTS[0], "new", [TEMPLATE], later, filters=drop, only_failed=True)
     second = mine()
     assert len(second) == 60 and second["1"] == "###yes" and second["2"] == "### no"
+    assert second["19"] is None
+    skipped = jobs.run_generation(
+        ws, "train", PROMPTS[0], "none", [TEMPLATE], factory, max_words=2
+    )
+    assert skipped.count() == 60
+    assert ws.read("outputs", "train").where("model = 'none' AND output IS NULL").count() == 60

@@ -147,3 +147,40 @@ def test_best_and_mean_run(spark):
     row = metrics.best_and_mean_run(df).first()
     assert (row.best_run, row.best_score) == (1, 0.75)
     assert row.mean_score == pytest.approx(2 / 3)
+
+
+def test_custom_votes(spark, verdict_rows):
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    def any_no(votes: pd.Series) -> bool:
+        return bool((votes == False).any())  # noqa: E712
+
+    df = spark.createDataFrame(verdict_rows, SCHEMA)
+    own = F.pandas_udf(any_no, T.BooleanType())
+    a = {(r.id, r.prompt): r.veto for r in votes.custom_votes(df, own, "veto").collect()}
+    built_in = lambda v: F.coalesce(F.bool_or(~v), F.lit(False))
+    b = {(r.id, r.prompt): r.veto for r in votes.custom_votes(df, built_in, "veto").collect()}
+    assert a == b and any(a.values()) and not all(a.values())
+
+
+def test_a_hot_item(spark):
+    rows = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("id"),
+        F.lit("p").alias("prompt"), F.col("id").cast("string").alias("model"),
+        (F.col("id") % 2 == 0).alias("vote"),
+    )
+    hot = votes.prompt_votes(rows.repartition(8)).where("id = 'hot'").first()
+    assert (hot.majority_vote, hot.unanimous_vote, hot.percentage_vote) == (False, None, 0.5)
+
+
+def test_answerable_pairs(spark):
+    from tallyframe.operators import agreement
+
+    rows = [("1", "a", None), ("1", "b", False), ("2", "a", True), ("2", "b", False), ("3", "a", False)]
+    df = spark.createDataFrame(rows, "id string, annotator string, unanswerable boolean").withColumns(
+        {"entries": F.array(), "other_texts": F.array()}
+    )
+    pairs = agreement.annotator_pairs(df, "a", "b")
+    assert sorted(r.id for r in pairs.collect()) == ["1", "2"]
+    assert [r.id for r in agreement.answerable_pairs(pairs).collect()] == ["1"]
