@@ -1,9 +1,12 @@
 """Queries: samples, splits, fine-tuning rows, features, learned scores and table upkeep."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import verdict_number
 from tallyframe.operators import features, learned, metrics, relational, sampling
+from tallyframe.plans import jobs
 from tallyframe.plans.catalog import (
     MODELS,
     PROMPTS,
@@ -11,8 +14,10 @@ from tallyframe.plans.catalog import (
     query,
     rounded,
 )
-from tallyframe.sources import tables
+from tallyframe.plans.curve_queries import CURVE_SQL
 from tallyframe.session import ensure_checkpoint_dir
+from tallyframe.sources import tables
+from tallyframe.sources.registry import Model
 
 UNCERTAIN_SQL = """, answer_scores AS (SELECT id, score FROM fx_score WHERE curve = 'answer_a'),
 top AS (SELECT s.id, round(score, 4) AS score, round(abs(score - 0.5E0), 4) AS "distance_from_0.5"
@@ -163,6 +168,12 @@ def feature_matrix_bool(t):
     return rounded(matrix, *names)
 
 
+def _scratch(t) -> str:
+    """A new folder of its own under the shared checkpoint folder."""
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
+
+
 SMALL_FOREST = {
     "numTrees": [10, 20],
     "maxDepth": [5, 10],
@@ -210,10 +221,7 @@ def score_report(t):
     """A perceptron stored, loaded again, and reported on its training rows."""
     names, matrix = _vectors(t)
     model, _runs = learned.train_perceptron(matrix, names, rounds=1, tries=1, max_iter=30)
-    ensure_checkpoint_dir(t.spark)
-    path = learned.model_path(
-        f"{t.spark.sparkContext.getCheckpointDir()}/models", "mlp", "all", "main", "bool", "r1"
-    )
+    path = learned.model_path(_scratch(t), "mlp", "all", "main", "bool", "r1")
     learned.save_model(model, path)
     scored = learned.score(learned.load_model(path), matrix).join(matrix.select("id", "y"), "id")
     return learned.training_report(scored)
@@ -297,3 +305,50 @@ def score_names(t):
             F.col("score") == 0.5,
         ).alias("name"),
     )
+
+
+@query(
+    "SELECT id, prompt, model, length(output) AS n_chars, md5(output) AS digest FROM fx_out"
+)
+def outputs_from_files(t):
+    """Outputs written as JSON lines with one column per model, and read back as rows."""
+    folder = _scratch(t)
+    labels = t.items.select("id", "label")
+    read = []
+    for prompt in PROMPTS:
+        texts = t.outputs.where(F.col("prompt") == prompt.name)
+        of = lambda m: F.max(F.when(F.col("model") == m, F.col("output"))).alias(m)
+        wide = texts.groupBy("id").agg(*[of(m) for m in MODELS]).join(labels, "id")
+        tables.write_json_lines(wide, f"{folder}/{prompt.name}")
+        read.append(tables.read_outputs(t.spark, f"{folder}/{prompt.name}", prompt.name, MODELS))
+    return relational.union_all(read).select(
+        "id", "prompt", "model",
+        F.length("output").cast("long").alias("n_chars"), F.md5("output").alias("digest"),
+    )
+
+
+PROJECT_SQL = (
+    f""", project AS (
+     SELECT id, 'percentage_vote_main-all' AS curve, percentage_vote AS score FROM (
+      SELECT id, avg(p) AS percentage_vote FROM (SELECT id, prompt,
+       avg(CASE WHEN vote IS NULL THEN 0.5E0 WHEN vote THEN 1E0 ELSE 0E0 END) AS p FROM fx_verdicts GROUP BY id, prompt) GROUP BY id)
+     UNION ALL SELECT id, 'baseline_random', {HASH.format(key='id', seed=42, n=2)}::DOUBLE FROM fx_items),
+    """
+    + CURVE_SQL.lstrip(", ").replace("FROM fx_score s", "FROM project s")
+    + "SELECT curve, round(auc, 9) AS auc_pr FROM areas"
+)
+
+
+@query(PROJECT_SQL)
+def project_auc_pr(t):
+    """A whole project: stored items and outputs, vote scores, a baseline, their areas."""
+    ws = jobs.Workspace(
+        t.spark, _scratch(t), [Model(m, ("all",)) for m in MODELS], PROMPTS
+    )
+    ws.store("items", t.items, "docs")
+    ws.store("outputs", t.outputs, "docs", "prompt", "model")
+    ws.store("relabel_evaluation", t.truth.select("id", "matches_original"), "docs")
+    jobs.aggregate_votes(ws, "docs", "all", "main")
+    jobs.add_random_baseline(ws, "docs")
+    names = ["percentage_vote_main-all", "baseline_random"]
+    return rounded(jobs.evaluate_auc_pr(ws, "docs", names), "auc_pr")

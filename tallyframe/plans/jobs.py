@@ -47,7 +47,13 @@ class Workspace:
         return rows if dataset is None else rows.where(F.col("dataset") == dataset).drop("dataset")
 
     def store(self, table: str, rows: DataFrame, dataset: str, *partition: str) -> None:
-        """Write the dataset's partitions the rows belong to; others stay as they are."""
+        """Write the dataset's partitions the rows belong to; others stay as they are.
+
+        Narrow rows are rebalanced by partition first, so that not every task writes a small
+        file into every partition; outputs hold long texts and are written where they are.
+        """
+        if partition and table != "outputs":
+            rows = rows.hint("rebalance", *partition)
         (
             rows.withColumn("dataset", F.lit(dataset))
             .write.mode("overwrite")

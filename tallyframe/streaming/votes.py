@@ -17,6 +17,13 @@ from tallyframe.operators.votes import prompt_votes, verdicts
 from tallyframe.sources.registry import Prompt
 
 OUTPUT_STREAM = "id string, prompt string, model string, output string, ts timestamp"
+STORED_VERDICTS = (
+    "id string, prompt string, model string, vote boolean, ts timestamp, bucket int, batch long"
+)
+STORED_VOTES = (
+    "id string, prompt string, majority_vote boolean, unanimous_vote boolean, "
+    "percentage_vote double, bucket int, batch long"
+)
 BUCKETS = 64
 KEY = ["id", "prompt", "model"]
 
@@ -44,10 +51,12 @@ class VoteTables:
         self.buckets = buckets
 
     def _append(self, rows: DataFrame, batch: int, path: str) -> None:
+        """Write a batch's partitions; rebalancing keeps files few and splits large buckets."""
         (
             rows.withColumns(
                 {"bucket": hash_bucket(F.col("id"), self.buckets).cast("int"), "batch": F.lit(batch)}
             )
+            .hint("rebalance", "bucket")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("bucket", "batch")
@@ -58,7 +67,7 @@ class VoteTables:
         """Store a batch of ``(id, prompt, model, vote, ts)`` and refresh the touched votes."""
         spark = rows.sparkSession
         self._append(_newest(rows, F.col("ts")), batch, self.verdict_path)
-        stored = spark.read.parquet(self.verdict_path)
+        stored = spark.read.schema(STORED_VERDICTS).parquet(self.verdict_path)
         touched = stored.where(F.col("batch") == batch)
         buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
         if not buckets:
@@ -74,7 +83,7 @@ class VoteTables:
         """Current votes: those of the last batch that touched the key."""
         columns = ["majority_vote", "unanimous_vote", "percentage_vote"]
         return (
-            spark.read.parquet(self.vote_path)
+            spark.read.schema(STORED_VOTES).parquet(self.vote_path)
             .groupBy("id", "prompt")
             .agg(F.max_by(F.struct(*columns), "batch").alias("v"))
             .select("id", "prompt", "v.*")

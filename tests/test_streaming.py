@@ -50,3 +50,12 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     assert rows_of(tables.votes(spark)) == before == [
         ("a", "p", False, None, 0.5), ("b", "p", False, False, 0.0),
     ]
+
+
+def test_an_empty_first_batch(spark, tmp_path):
+    tables = VoteTables(str(tmp_path), buckets=4)
+    schema = "id string, prompt string, model string, vote boolean, ts timestamp"
+    tables.ingest(spark.createDataFrame([], schema), 0)
+    row = spark.createDataFrame([("a", "p", "m", True)], "id string, prompt string, model string, vote boolean")
+    tables.ingest(row.withColumn("ts", F.timestamp_seconds(F.lit(1))), 1)
+    assert rows_of(tables.votes(spark)) == [("a", "p", True, True, 1.0)]
