@@ -32,16 +32,18 @@ def curve_rows(
     )
 
 
-def _pieces(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+def _pieces(rows: DataFrame, by: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Rows in global ``(curve, score, id)`` order, with their piece and row number in it.
 
     The range bounds come from sampling, so the pieces are written out before they are used
-    twice.
+    twice, with no more columns than needed.
     """
     ordered = rows.repartitionByRange(*by, "score", "id").sortWithinPartitions(*by, "score", "id")
     return materialise(
-        ordered.withColumns(
-            {"piece": F.spark_partition_id(), "at": F.monotonically_increasing_id()}
+        ordered.select(
+            *by, *keep, "wrong",
+            F.spark_partition_id().alias("piece"),
+            F.monotonically_increasing_id().alias("at"),
         )
     )
 
@@ -74,7 +76,7 @@ def _place(number: str) -> Column:
 
 def pr_curve(rows: DataFrame, by: Sequence[str] = ("curve",)) -> DataFrame:
     """Running precision and recall of every row of ``curve_rows``, with its rank."""
-    pieces = _pieces(rows, by)
+    pieces = _pieces(rows, by, ["id", "score"])
     running = Window.partitionBy(*by, "piece").orderBy("at").rowsBetween(
         Window.unboundedPreceding, 0
     )
