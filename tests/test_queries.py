@@ -6,10 +6,12 @@ import pytest
 
 import __spark_entry__ as entry
 from check import connect, schema_of, spark_rows, sql_rows
+from tallyframe.plans import ORACLES
+from tallyframe.plans import QUERIES as NAMES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables not here")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = entry.queries()
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +19,7 @@ def db():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(NAMES))
 def test_query(spark, db, name):
     df = QUERIES[name](spark, FOLDER)
     got = spark_rows(df)
