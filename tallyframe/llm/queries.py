@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import line_runs, packing, token_rollup
+from tallyframe.llm import bottom_k, line_runs, packing, token_rollup
 from tallyframe.session import ensure_checkpoint_dir, materialise
 
 QUERIES = {}
@@ -72,6 +72,37 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op5_minhash_near_dedup",
+    r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS w
+  FROM documents),
+places AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * m >= 80 * (x.n + y.n - m)),
+reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+lowest AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id,
+  d.doc_id = c.component_id AS kept
+FROM documents d JOIN lowest c ON c.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_k.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 @query("op9_token_rollup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after a draft of every document (a quarter of its code points), a revision of every
