@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bottom_k, line_runs, packing, token_rollup
+from tallyframe.llm import bottom_k, decontamination, line_runs, packing, passages, token_rollup
 from tallyframe.session import ensure_checkpoint_dir, materialise
 
 QUERIES = {}
@@ -39,6 +39,52 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+@query(
+    "op2_spaced_seed_decontamination",
+    r"""
+WITH masks(mask, places) AS (VALUES
+  (0, [1, 2, 3, 6, 7, 10]), (1, [1, 2, 7, 8, 9, 10]), (2, [1, 2, 4, 5, 8, 10])),
+doc_words AS (
+  SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')),
+    '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+item_words AS (
+  SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')),
+    '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+doc_places AS (SELECT doc_id, w, unnest(range(0, len(w) - 9)) AS p FROM doc_words WHERE len(w) >= 10),
+item_places AS (
+  SELECT item_id, w, unnest(range(0, len(w) - 9)) AS p FROM item_words WHERE len(w) >= 10),
+doc_seeds AS (
+  SELECT doc_id, p, mask, list_transform(places, lambda i: w[p + i]) AS s FROM doc_places, masks),
+item_seeds AS (
+  SELECT item_id, p, mask, list_transform(places, lambda i: w[p + i]) AS s FROM item_places, masks),
+hits AS (
+  SELECT DISTINCT d.doc_id, i.item_id, d.p - i.p AS start_word
+  FROM doc_seeds d JOIN item_seeds i ON d.mask = i.mask AND d.s = i.s),
+points AS (
+  SELECT h.doc_id, h.item_id, h.start_word, len(i.w) AS item_words, j.j,
+    sum(CASE WHEN h.start_word + j.j >= 1 AND h.start_word + j.j <= len(d.w)
+      AND d.w[h.start_word + j.j] = i.w[j.j] THEN 1 ELSE -1 END)
+      OVER (PARTITION BY h.doc_id, h.item_id, h.start_word ORDER BY j.j) AS total
+  FROM hits h JOIN doc_words d ON d.doc_id = h.doc_id JOIN item_words i ON i.item_id = h.item_id,
+    range(1, 1000) j(j)
+  WHERE j.j <= len(i.w)),
+rises AS (
+  SELECT *, total - least(0, coalesce(min(total) OVER (PARTITION BY doc_id, item_id, start_word
+    ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rise FROM points),
+scores AS (
+  SELECT doc_id, item_id, item_words, start_word, max(rise) AS overlap
+  FROM rises GROUP BY ALL HAVING max(rise) >= least(10, item_words))
+SELECT doc_id, item_id, CAST(max(overlap) AS INTEGER) AS overlap,
+  CAST(item_words AS INTEGER) AS item_words,
+  CAST(arg_min(start_word, (-overlap) * 1000000 + start_word) AS INTEGER) AS start_word
+FROM scores GROUP BY doc_id, item_id, item_words""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *vocabulary("byte_bpe_50k"))
@@ -122,3 +168,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         rollup.commit(f"revised-{k}", token_rollup.revisions(draft, part))
     rollup.commit("draft-0", token_rollup.inserts(parts[0]))
     return rollup.totals()
+
+
+@query("op10_repeated_passages")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
