@@ -5,7 +5,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bottom_k, decontamination, line_runs, packing, passages, token_rollup
+from tallyframe.llm import (
+    bottom_k,
+    centroids,
+    decontamination,
+    line_runs,
+    multi_index,
+    packing,
+    passages,
+    tag_paths,
+    token_rollup,
+    toxicity,
+)
 from tallyframe.session import ensure_checkpoint_dir, materialise
 
 QUERIES = {}
@@ -39,6 +50,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labelled = toxicity.labelled_documents(documents, table(spark, sf_dir, "labels"))
+    return toxicity.grade_documents(documents, toxicity.learn(labelled))
+
+
 @query(
     "op2_spaced_seed_decontamination",
     r"""
@@ -149,6 +167,40 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottom_k.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = (centroids.fold(F.col("doc_id")) == 1).alias("held_out")
+    model = centroids.learn(documents.where(centroids.fold(F.col("doc_id")) != 1))
+    return centroids.predict(documents, model).select(
+        "doc_id", held_out, "lang_pred", "score", "rejected"
+    )
+
+
+@query("op7_tag_path_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_paths.extract(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op8_multi_index_top_k",
+    """
+WITH codes AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings),
+pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id,
+    CAST(len(list_filter(list_zip(q.bits, r.bits), lambda z: z[1] <> z[2])) AS INTEGER) AS distance
+  FROM codes q JOIN codes r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER)
+    AS rank FROM pairs)
+SELECT query_id, vec_id, distance, rank FROM ranked WHERE rank <= 10""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return multi_index.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=10)
+
+
 @query("op9_token_rollup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after a draft of every document (a quarter of its code points), a revision of every
