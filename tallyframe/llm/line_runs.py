@@ -128,23 +128,10 @@ def repeated_lines(
     )
 
 
-def drop_repeated_lines(
-    documents: DataFrame,
-    min_chars: int = 20,
-    min_documents: int = 3,
-    batches: int = 4,
-    fanout: int = 3,
-) -> DataFrame:
-    """Documents with their repeated lines taken out of ``text``, plus ``n_lines`` before,
-    ``n_dropped`` and ``kept_sha256``, the digest of the new text's UTF-8 bytes.
-
-    All other columns are carried along, whatever their names but for those three. Text splits at
-    \\n; a null or empty text is one empty line, and a null stays null. Lines whose key is shorter
-    than ``min_chars`` code points always stay. Rows that repeat a doc_id count as one document
-    each and share its decisions: lines go from all of them or from none.
-    """
+def _decided(documents: DataFrame, **parameters) -> DataFrame:
+    """Every row as ``row_`` with its new text, its numbers of lines and the new text's digest."""
     dropped = (
-        repeated_lines(documents, min_chars, min_documents, batches, fanout)
+        repeated_lines(documents, **parameters)
         .groupBy("doc_id")
         .agg(F.collect_set("digest").alias("dropped_"))
         .withColumnRenamed("doc_id", "id_")
@@ -173,13 +160,34 @@ def drop_repeated_lines(
         return work
 
     row_type = documents.schema.simpleString()
-    done = map_rows(
+    return map_rows(
         joined.select("row_", "text", "dropped_"),
         f"row_ {row_type}, kept_ string, n_lines bigint, n_dropped bigint, kept_sha256 string",
         make,
     )
-    columns = [
-        F.col("kept_").alias("text") if c == "text" else F.col(f"row_.`{c}`").alias(c)
-        for c in documents.columns
-    ]
-    return done.select(*columns, "n_lines", "n_dropped", "kept_sha256")
+
+
+def line_decisions(documents: DataFrame, **parameters) -> DataFrame:
+    """One row per document: doc_id, ``n_lines`` before, ``n_dropped`` and ``kept_sha256``, the
+    digest of the new text's UTF-8 bytes. See ``drop_repeated_lines``."""
+    return _decided(documents.select("doc_id", "text"), **parameters).select(
+        "row_.doc_id", "n_lines", "n_dropped", "kept_sha256"
+    )
+
+
+def drop_repeated_lines(documents: DataFrame, **parameters) -> DataFrame:
+    """Documents with their repeated lines taken out of ``text``; all other columns as they are.
+
+    Parameters are those of ``repeated_lines``. Text splits at \\n; a null or empty text is one
+    empty line, and a null stays null. Lines whose key is shorter than ``min_chars`` code points
+    always stay, and so does a document that loses all its lines, with an empty text. Rows that
+    repeat a doc_id count as one document each and share its decisions: a line goes from all of
+    them or from none. Rows without a doc_id keep their lines if the id found largest is theirs.
+    """
+    done = _decided(documents, **parameters)
+    return done.select(
+        *[
+            F.col("kept_").alias("text") if c == "text" else F.col(f"row_.`{c}`").alias(c)
+            for c in documents.columns
+        ]
+    )

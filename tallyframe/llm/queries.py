@@ -131,9 +131,7 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id""",
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_runs.drop_repeated_lines(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_lines", "n_dropped", "kept_sha256"
-    )
+    return line_runs.line_decisions(table(spark, sf_dir, "documents"))
 
 
 @query(

@@ -13,6 +13,7 @@ the fit itself uses a bounded sample of the labelled rows.
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,7 +180,7 @@ def _pack(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, at, value
 
 
-def fit(rows: list, grades: np.ndarray, vocabulary: np.ndarray, penalty: float = 1e-4,
+def fit(rows: list, grades: np.ndarray, vocabulary: np.ndarray, penalty: float = 1e-5,
         steps: int = 400, rate: float = 0.1) -> OrdinalModel:
     """Fit weights and thresholds to sparse rows by full-batch Adam on the mean log likelihood.
 
@@ -257,7 +258,15 @@ def learn(
     return fit(rows, grades, vocabulary)
 
 
-def grade_documents(documents: DataFrame, model: OrdinalModel, limit: float = 0.5) -> DataFrame:
+def _above(model: OrdinalModel, hasher: SpanHasher, texts: list[str | None]) -> np.ndarray:
+    scores = np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        at, counts = _places(model.vocabulary, *text_features(hasher, text))
+        scores[i] = np.log1p(counts) @ model.weights[at]
+    return model.above(scores)
+
+
+def grade_documents(documents: DataFrame, model: OrdinalModel, limit: float = 0.35) -> DataFrame:
     """One row per document: doc_id, expected_severity, p_toxic, grade and toxic.
 
     ``p_toxic`` is the probability of grade 1 or above, ``grade`` the likeliest grade (the lower
@@ -270,16 +279,9 @@ def grade_documents(documents: DataFrame, model: OrdinalModel, limit: float = 0.
         hasher = SpanHasher()
 
         def work(batch):
-            texts = batch["text"].to_pylist()
-            scores = np.zeros(len(texts))
-            for i, text in enumerate(texts):
-                values, counts = text_features(hasher, text)
-                at, held = _places(model.vocabulary, values, counts)
-                scores[i] = np.log1p(held) @ model.weights[at]
-            above = model.above(scores)
-            full = np.concatenate(
-                (np.ones((len(texts), 1)), above, np.zeros((len(texts), 1))), axis=1
-            )
+            above = _above(model, hasher, batch["text"].to_pylist())
+            full = np.pad(above, ((0, 0), (1, 1)))
+            full[:, 0] = 1
             return {
                 "doc_id": batch["doc_id"],
                 "expected_severity": above.sum(axis=1),
@@ -297,6 +299,18 @@ def grade_documents(documents: DataFrame, model: OrdinalModel, limit: float = 0.
     )
 
 
+def clean_documents(documents: DataFrame, model: OrdinalModel, limit: float = 0.35) -> DataFrame:
+    """The rows, with all their columns, whose ``p_toxic`` stays below ``limit``; no shuffle."""
+
+    def keep(batches):
+        hasher = SpanHasher()
+        for batch in batches:
+            above = _above(model, hasher, batch["text"].to_pylist())
+            yield batch.filter(pa.array(above[:, 0] < limit))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def labelled_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with a toxic flag as grade, joined once and written out for the passes over them."""
     flags = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(
