@@ -19,8 +19,13 @@ from tallyframe.session import materialise
 # a hit in 97 of 100 cases and 30 words with six in practically all.
 MASKS = ("1110011001", "1100001111", "1101100101")
 
-# Seeds up to this number, of some 50 bytes each, are broadcast; beyond it the join is shuffled.
-BROADCAST_SEEDS = 1_000_000
+# Tables up to this number of rows, of a few dozen bytes each, are broadcast; beyond it the joins
+# are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def _hinted(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def word_hashes(text: Column) -> Column:
@@ -30,31 +35,35 @@ def word_hashes(text: Column) -> Column:
 
 
 def _window_hash(words: Column, place: Column, mask: str) -> Column:
-    return F.xxhash64(*[words[place + i] for i, c in enumerate(mask) if c == "1"])
+    """Hash of the window at a place; null if it reaches beyond either end of the text."""
+    fits = (place >= 0) & (place + len(mask) <= F.size(words))
+    return F.when(
+        fits, F.xxhash64(*[F.get(words, place + i) for i, c in enumerate(mask) if c == "1"])
+    )
 
 
-def _windows(rows: DataFrame, masks: list[str], carried: list[str]) -> DataFrame:
-    """Every window of every row that the masks fit into: mask number, place and hash."""
-    parts = []
-    for span in sorted({len(m) for m in masks}):
-        numbered = [(i, m) for i, m in enumerate(masks) if len(m) == span]
-        places = rows.where(F.size("words") >= span).select(
-            *carried, "words", F.explode(F.expr(f"sequence(0, size(words) - {span})")).alias("place")
-        )
-        hashes = F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("mask"), _window_hash(F.col("words"), F.col("place"), m).alias("hash")
-                )
-                for i, m in numbered
-            ]
-        )
-        parts.append(
-            places.select(*carried, "words", "place", F.explode(hashes).alias("seed")).select(
-                *carried, "words", "place", "seed.mask", "seed.hash"
+def _windows(rows: DataFrame, masks: list[str], key: str) -> DataFrame:
+    """Every window of every row under every mask: key, number of words, mask, place, hash, and the
+    hash of the window one place before. The words themselves stay behind."""
+    shortest = min(len(m) for m in masks)
+    words, place = F.col("words"), F.col("place")
+    seeds = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("mask"),
+                _window_hash(words, place, m).alias("hash"),
+                _window_hash(words, place - 1, m).alias("before"),
             )
-        )
-    return reduce(DataFrame.unionByName, parts)
+            for i, m in enumerate(masks)
+        ]
+    )
+    return (
+        rows.where(F.size("words") >= shortest)
+        .select(key, "words", F.explode(F.expr(f"sequence(0, size(words) - {shortest})")).alias("place"))
+        .select(key, F.size("words").alias("n"), "place", F.explode(seeds).alias("seed"))
+        .select(key, "n", "place", "seed.*")
+        .where(F.col("hash").isNotNull())
+    )
 
 
 def _best_stretch(words: Column, item: Column, start: Column) -> Column:
@@ -107,45 +116,45 @@ def contaminated(
         .collect()
     ]
     all_masks = [*masks, *["1" * n for n in sorted(short)]]
-    named = items.select("item_id", F.col("item").alias("words"))
-    seeds = _windows(named, all_masks, ["item_id"])
-    whole = [i for i, m in enumerate(all_masks) if i >= len(masks)]
-    if whole:  # a short mask is for items of just that size
-        sizes = F.create_map(*[F.lit(x) for i in whole for x in (i, len(all_masks[i]))])
-        seeds = seeds.where(
-            ~F.col("mask").isin(whole) | (F.size("words") == F.try_element_at(sizes, "mask"))
-        )
-
-    def before(words, place, mask):
-        """Hash of the window one place earlier under the row's mask, null at the start."""
-        choice = F.lit(None).cast("bigint")
-        for i, m in enumerate(all_masks):
-            choice = F.when(mask == i, _window_hash(words, place - 1, m)).otherwise(choice)
-        return F.when(place > 0, choice)
-
+    seeds = _windows(items.withColumnRenamed("item", "words"), all_masks, "item_id")
+    for i, n in enumerate(sorted(short), len(masks)):  # such a mask is for items of just that size
+        seeds = seeds.where((F.col("mask") != i) | (F.col("n") == n))
     seeds = materialise(
         seeds.select(
-            F.col("hash"),
+            "hash",
             F.col("mask").alias("item_mask"),
             "item_id",
             F.col("place").alias("item_place"),
-            before(F.col("words"), F.col("place"), F.col("mask")).alias("item_before"),
+            F.col("before").alias("item_before"),
         ).distinct()
     )
-    small = seeds.count() <= BROADCAST_SEEDS
-    hint = F.broadcast if small else (lambda df: df)
     texts = documents.select("doc_id", word_hashes(F.col("text")).alias("words"))
-    windows = _windows(texts, all_masks, ["doc_id"])
-    first = F.coalesce(
-        before(F.col("words"), F.col("place"), F.col("mask")) != F.col("item_before"), F.lit(True)
+    windows = _windows(texts, all_masks, "doc_id")
+    first = F.coalesce(F.col("before") != F.col("item_before"), F.lit(True))
+    hits = materialise(
+        windows.join(
+            _hinted(seeds),
+            (windows["hash"] == seeds["hash"]) & (windows["mask"] == seeds["item_mask"]) & first,
+        )
+        .select(
+            F.col("doc_id").alias("hit_id"),
+            F.col("item_id").alias("hit_item"),
+            (F.col("place") - F.col("item_place")).alias("start_word"),
+        )
+        .distinct()
+    )
+    # only texts with hits are parsed again and moved
+    hit_ids = _hinted(materialise(hits.select("hit_id").distinct()))
+    followed = (
+        documents.join(hit_ids, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
+        .select("doc_id", word_hashes(F.col("text")).alias("words"))
+        .join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")))
     )
-    hits = windows.join(
-        hint(seeds),
-        (windows["hash"] == seeds["hash"]) & (windows["mask"] == seeds["item_mask"]) & first,
-    ).select("doc_id", "words", "item_id", (F.col("place") - F.col("item_place")).alias("start_word"))
-    compared = hits.join(hint(items), hits["item_id"].eqNullSafe(items["item_id"])).select(
+    compared = followed.join(
+        _hinted(items), F.col("hit_item").eqNullSafe(F.col("item_id"))
+    ).select(
         "doc_id",
-        hits["item_id"],
+        "item_id",
         "start_word",
         F.size("item").alias("item_words"),
         _best_stretch(F.col("words"), F.col("item"), F.col("start_word")).alias("overlap"),
