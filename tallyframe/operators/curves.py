@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyframe.constants import RANKING_SWEEP, VOTE_SWEEP
 from tallyframe.functions.numbers import harmonic, ratio, ratio_or_zero
 from tallyframe.operators.metrics import confusion_counts, rates, with_labels
-from tallyframe.operators.relational import attach_statistics, small_side
+from tallyframe.operators.relational import attach_statistics
 from tallyframe.session import materialise
 
 
@@ -105,7 +105,7 @@ def auc_pr(rows: DataFrame, by: Sequence[str] = ("curve",)) -> DataFrame:
     pieces = _pieces(rows, by)
     offsets = materialise(_offsets(pieces, by))
     wrong = pieces.where("wrong").withColumn("nth", F.monotonically_increasing_id())
-    placed = wrong.join(small_side(offsets), [*by, "piece"]).select(
+    placed = wrong.join(offsets, [*by, "piece"]).select(
         *by, "total_wrong",
         (F.col("rank_shift") + _place("at")).alias("rank"),
         (F.col("wrong_shift") + _place("nth")).alias("tp"),

@@ -2,9 +2,10 @@
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from tallyframe.constants import FORMAT_REMINDER, RETRY_LIMIT
 from tallyframe.functions.prompts import ChatFormat, chat_text
@@ -18,24 +19,31 @@ Generator = Callable[[Sequence[str], bool], Sequence[str]]
 def generate(
     prompts: DataFrame, factory: Callable[[], Generator], batch_size: int = 32, retry: bool = False
 ) -> DataFrame:
-    """``(id, output)`` for ``(id, prompt_text)`` rows.
+    """The rows with ``output`` and ``failed`` in place of ``prompt_text``.
 
-    ``factory`` runs once per task and returns a function of (texts, is this a retry?). A
-    failing batch gives an empty text per id, which counts as invalid.
+    ``factory`` runs once per task and returns a function of (texts, is this a retry?). All other
+    columns pass through beside their prompt, so repeated ids stay apart and nothing is joined. A
+    batch that raises gives an empty text per row, which counts as invalid, and is marked failed.
     """
+    passed = [f for f in prompts.schema if f.name != "prompt_text"]
+    schema = StructType([*passed, StructField("output", StringType()), StructField("failed", BooleanType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         generator = factory()
-        for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size]
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch_size):
+                part = whole.slice(start, batch_size)
                 try:
-                    texts = list(generator(part["prompt_text"].tolist(), retry))
+                    texts = list(generator(part["prompt_text"].to_pylist(), retry))
+                    failed = False
                 except Exception:
-                    texts = [""] * len(part)
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "output": texts})
+                    texts, failed = [""] * part.num_rows, True
+                rest = part.drop_columns(["prompt_text"])
+                rest = rest.append_column("output", pa.array(texts, pa.string()))
+                yield rest.append_column("failed", pa.array([failed] * part.num_rows))
 
-    return prompts.select("id", "prompt_text").mapInPandas(run, "id string, output string")
+    columns = [f.name for f in passed]
+    return prompts.select(*columns, "prompt_text").mapInArrow(run, schema)
 
 
 def retry_action(output: Column, is_valid: Column, attempt: Column) -> Column:
@@ -65,21 +73,25 @@ def generate_with_retries(
     layout: ChatFormat = ChatFormat(),
     batch_size: int = 32,
 ) -> DataFrame:
-    """``(id, output, attempts)`` for ``(id, messages)`` rows; NULL after the last failure.
+    """``(id, output, attempts, failures)`` for ``(id, messages)`` rows; NULL after the last
+    failure. Rows that share an id are asked one by one and each give a row.
 
     Each round generates only what is still open. Its result is written out, since running
-    the generator again would be expensive and need not repeat the same texts.
+    the generator again would be expensive and need not repeat the same texts. ``failures``
+    counts the tries in which the generator itself raised.
     """
-    open_rows = items.select("id", "messages", F.col("messages").alias("next_messages"))
+    open_rows = items.select(
+        "id", "messages", F.col("messages").alias("next_messages"), F.lit(0).alias("failures")
+    )
     finished = []
     for attempt in range(1, RETRY_LIMIT + 1):
-        prompts = open_rows.select(
-            "id", chat_text(F.col("next_messages"), layout).alias("prompt_text")
-        )
+        prompts = open_rows.withColumn("prompt_text", chat_text(F.col("next_messages"), layout))
         outputs = generate(prompts, factory, batch_size, retry=attempt > 1)
         action = retry_action(F.col("output"), is_valid(F.col("output")), F.lit(attempt))
         results = materialise(
-            open_rows.join(outputs, "id").withColumn("action", action)
+            outputs.withColumn("action", action).withColumn(
+                "failures", F.col("failures") + F.col("failed").cast("int")
+            )
         )
         done = F.col("action").isin("valid", "invalid")
         finished.append(
@@ -87,6 +99,7 @@ def generate_with_retries(
                 "id",
                 F.when(F.col("action") == "valid", F.col("output")).alias("output"),
                 F.lit(attempt).alias("attempts"),
+                "failures",
             )
         )
         open_rows = results.where(~done).select(
@@ -94,5 +107,6 @@ def generate_with_retries(
             retry_messages(F.col("messages"), F.col("output"), F.col("action")).alias(
                 "next_messages"
             ),
+            "failures",
         )
     return union_all(finished)

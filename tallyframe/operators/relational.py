@@ -79,12 +79,16 @@ def complete_rows(
 
 
 def confident(df: DataFrame, score: str, threshold: float) -> DataFrame:
-    return df.where(F.col(score) > threshold)
+    """Rows above the threshold; NULL and NaN are not confident."""
+    return df.where(~F.isnan(score) & (F.col(score) > threshold))
 
 
 def over_long(df: DataFrame, text: str, max_words: int) -> tuple[DataFrame, DataFrame]:
-    """Rows within the word limit, and ids with their length for the skipped ones."""
-    counted = df.withColumn("n_words", F.size(words(F.col(text))))
+    """Rows within the word limit, and ids with their length for the skipped ones.
+
+    A NULL text has no words, so it is within any limit.
+    """
+    counted = df.withColumn("n_words", F.coalesce(F.size(words(F.col(text))), F.lit(0)))
     return (
         counted.where(F.col("n_words") <= max_words).drop("n_words"),
         counted.where(F.col("n_words") > max_words).select("id", "n_words"),
@@ -159,17 +163,10 @@ def missing_members(df: DataFrame, column: str, expected: Sequence[str]) -> Data
     return wanted.join(df.select(column).distinct(), column, "left_anti")
 
 
-def small_side(stored: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
-    """A materialised table, hinted for broadcast only if its counted rows allow it."""
-    return F.broadcast(stored) if stored.count() <= broadcast_rows else stored
-
-
-def attach_statistics(
-    rows: DataFrame, statistics: DataFrame, keys: Sequence[str], broadcast_rows: int = 100_000
-) -> DataFrame:
-    """Join per-key statistics back to the rows.
+def attach_statistics(rows: DataFrame, statistics: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join per-key statistics, written out once, back to the rows.
 
-    The statistics are written out once and counted; only a table within ``broadcast_rows``
-    is broadcast, a larger one goes through a shuffled join that AQE can split.
+    AQE knows the bytes of both sides when it runs: it broadcasts statistics that are small
+    enough and splits skewed keys otherwise.
     """
-    return rows.join(small_side(materialise(statistics), broadcast_rows), list(keys))
+    return rows.join(materialise(statistics), list(keys))

@@ -4,7 +4,9 @@ A workspace is a folder of Parquet tables partitioned by dataset. Jobs overwrite
 partitions they produce, so a score or a prompt can be computed again on its own.
 """
 
+import uuid
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ from tallyframe.operators import (
     search,
     votes,
 )
+from tallyframe.session import materialise
 from tallyframe.sources.annotations import choose_annotator, read_annotation_files
 from tallyframe.sources.registry import Model, Prompt, names_in
 
@@ -46,22 +49,72 @@ class Workspace:
         rows = self.spark.read.parquet(f"{self.root}/{table}")
         return rows if dataset is None else rows.where(F.col("dataset") == dataset).drop("dataset")
 
-    def store(self, table: str, rows: DataFrame, dataset: str, *partition: str) -> None:
-        """Write the dataset's partitions the rows belong to; others stay as they are.
+    def store(
+        self, table: str, rows: DataFrame, dataset: str | None, *partition: str, staged: bool = False
+    ) -> None:
+        """Write the partitions the rows belong to; others stay as they are.
 
-        Narrow rows are rebalanced by partition first, so that not every task writes a small
-        file into every partition; outputs hold long texts and are written where they are.
+        Without a dataset the rows carry their own ``dataset`` column. Narrow rows are rebalanced
+        by partition first, so that not every task writes a small file into every partition;
+        outputs hold long texts and are written where they are.
+
+        ``staged`` is for jobs that replace what they read: the rows go to a folder of their own
+        first, which is complete before any partition is touched and stays until all are switched.
+        A job that breaks off in between loses nothing: ``recover`` does the switch again.
         """
+        if dataset is not None:
+            rows = rows.withColumn("dataset", F.lit(dataset))
+        if staged:
+            folder = f"{self.root}/_staged/{table}/{uuid.uuid4().hex}"
+            rows.write.partitionBy("dataset", *partition).parquet(folder)
+            self._switch(table, folder)
+            return
         if partition and table != "outputs":
             rows = rows.hint("rebalance", *partition)
+        self._overwrite(table, rows, ["dataset", *partition])
+
+    def _overwrite(self, table: str, rows: DataFrame, partition: Sequence[str]) -> None:
         (
-            rows.withColumn("dataset", F.lit(dataset))
-            .write.mode("overwrite")
+            rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("dataset", *partition)
+            .partitionBy(*partition)
             .parquet(f"{self.root}/{table}")
         )
 
+    def _files(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _listed(self, pattern: str) -> list[str]:
+        path, files = self._files(pattern)
+        return [s.getPath().toString() for s in files.globStatus(path) or []]
+
+    def _switch(self, table: str, folder: str) -> None:
+        """Replace partitions by those of a complete staged folder, then drop the folder."""
+        if self._listed(f"{folder}/dataset=*"):  # else it holds no rows
+            rows = self.spark.read.option("inferSchema", "false").parquet(folder)
+            levels = [part.split("=")[0] for part in self._first_leaf(folder)]
+            self._overwrite(table, rows, levels)
+        path, files = self._files(folder)
+        files.delete(path, True)
+
+    def _first_leaf(self, folder: str) -> list[str]:
+        """Partition folders, as ``column=value``, from a folder down to its files."""
+        below = [p for p in self._listed(f"{folder}/*=*")]
+        return [below[0].rsplit("/", 1)[1], *self._first_leaf(below[0])] if below else []
+
+    def drop(self, table: str, dataset: str) -> None:
+        path, files = self._files(f"{self.root}/{table}/dataset={dataset}")
+        files.delete(path, True)
+
+    def recover(self) -> int:
+        """Finish replacements that broke off; returns how many complete ones were found."""
+        done = self._listed(f"{self.root}/_staged/*/*/_SUCCESS")
+        for marker in done:
+            folder = marker.rsplit("/", 1)[0]
+            self._switch(folder.split("/")[-2], folder)
+        return len(done)
+
     def group(self, model_group: str, prompt_group: str) -> tuple[list[str], list[Prompt]]:
         names = set(names_in(self.prompts, prompt_group.split(",")))
         chosen = [p for p in self.prompts if p.name in names]
@@ -73,7 +126,10 @@ class Workspace:
         rows = self.read("outputs", dataset).where(
             F.col("model").isin(*models) & F.col("prompt").isin(*names)
         )
-        present = {(r["prompt"], r["model"]) for r in rows.select("prompt", "model").distinct().collect()}
+        # the partition folders say which there are; no file is opened for it
+        folders = self._listed(f"{self.root}/outputs/dataset={dataset}/prompt=*/model=*")
+        present = {tuple(part.split("=", 1)[1] for part in f.split("/")[-2:]) for f in folders}
+        present = {(unquote(p), unquote(m)) for p, m in present}
         missing = sorted({(p, m) for p in names for m in models} - present)
         if missing:
             raise ValueError(f"no outputs of {dataset} for (prompt, model) {missing}")
@@ -117,16 +173,22 @@ def run_generation(
     if max_words is not None:
         prompts, skipped = relational.over_long(prompts, "prompt_text", max_words)
     valid = lambda output: is_valid_output(F.lit(prompt.family), output)
-    asked = generation.generate_with_retries(
+    answers = generation.generate_with_retries(
         prompts.select("id", "messages"), factory, valid, batch_size=batch_size
-    ).select("id", "output", F.lit(True).alias("asked"))
+    )
+    broken = answers.agg(
+        F.count(F.lit(1)).alias("asked"), F.count_if(F.col("failures") == F.col("attempts")).alias("n")
+    ).first()
+    if broken.asked and broken.n == broken.asked:
+        raise RuntimeError(f"the generator of {model} raised for all {broken.n} items")
+    asked = answers.select("id", "output", F.lit(True).alias("asked"))
     rows = kept.join(asked, "id", "left").select(
         "id",
         F.when(F.col("asked"), F.col("output")).otherwise(F.col("kept")).alias("output"),
         F.lit(prompt.name).alias("prompt"),
         F.lit(model).alias("model"),
     )
-    ws.store("outputs", rows, dataset, "prompt", "model")
+    ws.store("outputs", rows, dataset, "prompt", "model", staged=only_failed)
     return skipped
 
 
@@ -330,7 +392,7 @@ def evaluate_relabeled(
     rows = agreement.evaluate_relabeling(
         relabeled, ws.read("items", dataset), prior, reviews, redo
     )
-    ws.store("relabel_evaluation", rows, dataset)
+    ws.store("relabel_evaluation", rows, dataset, staged=not first)
     return agreement.matched_share(ws.read("relabel_evaluation", dataset))
 
 
@@ -367,12 +429,20 @@ def sample_uncertain(ws: Workspace, dataset: str, score_name: str, n: int, run_i
 
 
 def move_sampled(ws: Workspace, dataset: str, kept_as: str, moved_as: str) -> None:
-    """Split the evaluated rows by whether a sample asked for them, under two new names."""
+    """Split the evaluated rows by whether a sample asked for them, under two names.
+
+    Either name may be the dataset's own: both sides are staged before a partition is replaced.
+    A side without rows leaves the partition of its name as it was, unless that is the dataset's
+    own, which must not keep rows that have moved.
+    """
     rows = relational.split_by_ids(
         ws.read("relabel_evaluation", dataset), ws.read("al_samples", dataset)
     )
-    ws.store("relabel_evaluation", rows.where("NOT moved").drop("moved"), kept_as)
-    ws.store("relabel_evaluation", rows.where("moved").drop("moved"), moved_as)
+    target = F.when(F.col("moved"), moved_as).otherwise(kept_as)
+    rows = materialise(rows.withColumn("dataset", target).drop("moved"))
+    ws.store("relabel_evaluation", rows, None, staged=True)
+    if dataset in (kept_as, moved_as) and rows.where(F.col("dataset") == dataset).isEmpty():
+        ws.drop("relabel_evaluation", dataset)  # all rows went to the other name
 
 
 def build_finetuning(

@@ -56,14 +56,18 @@ def test_contracts(spark):
     assert [r.model for r in relational.missing_members(rows, "model", ["m0", "m1"]).collect()] == ["m1"]
 
 
-def test_statistics_beyond_the_broadcast_bound(spark):
+def test_statistics_of_every_row(spark):
     rows = spark.range(100).withColumn("k", F.col("id") % 7)
     stats = rows.groupBy("k").agg(F.max("id").alias("top"))
-    small = attach_statistics(rows, stats, ["k"])
-    large = attach_statistics(rows, stats, ["k"], broadcast_rows=3)
-    plan = large._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" not in plan.lower()
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    found = attach_statistics(rows, stats, ["k"]).collect()
+    assert len(found) == 100 and all(r.top % 7 == r.k and r.top > 92 for r in found)
+
+
+def test_null_texts_and_nan_scores(spark):
+    rows = spark.createDataFrame([("1", "a b c", 0.7), ("2", None, float("nan")), ("3", "", None)], "id string, text string, score double")
+    kept, skipped = relational.over_long(rows, "text", 2)
+    assert sorted(r.id for r in kept.collect()) == ["2", "3"] and [r.id for r in skipped.collect()] == ["1"]
+    assert [r.id for r in relational.confident(rows, "score", 0.6).collect()] == ["1"]
 
 
 def test_hash_columns_do_not_depend_on_partitions(spark):

@@ -114,6 +114,43 @@ def test_moving_sampled_rows(ws):
     assert ws.read("relabel_evaluation", "rest").count() == 49
 
 
+def test_moving_in_place(ws):
+    evaluated = ws.read("relabel_evaluation", "train")
+    ids = [r.id for r in evaluated.orderBy("id").limit(12).collect()]
+    for name, moved in (("own", ids[:3]), ("all", ids)):
+        ws.store("relabel_evaluation", evaluated.where(F.col("id").isin(ids)), name)
+        ws.store("al_samples", ws.spark.createDataFrame([(i, 0.5, 0.0, "x") for i in moved], "id string, score double, distance double, run_id string"), name, "run_id")
+        jobs.move_sampled(ws, name, name, f"{name}_sampled")
+        left = {r.id for r in ws.read("relabel_evaluation", name).collect()}
+        gone = {r.id for r in ws.read("relabel_evaluation", f"{name}_sampled").collect()}
+        assert gone == set(moved) and left == set(ids) - gone
+    assert ws.recover() == 0
+
+
+def test_broken_off_replacement_is_finished(ws, monkeypatch):
+    rows = ws.read("relabel_evaluation", "train").limit(5)
+    ws.store("relabel_evaluation", rows, "broken")
+    kept = {r.id for r in ws.read("relabel_evaluation", "broken").collect()}
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs.Workspace, "_switch", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            ws.store("relabel_evaluation", ws.read("relabel_evaluation", "broken").limit(2), "broken", staged=True)
+    assert {r.id for r in ws.read("relabel_evaluation", "broken").collect()} == kept
+    assert ws.recover() == 1
+    assert ws.read("relabel_evaluation", "broken").count() == 2
+
+
+def test_generator_that_always_raises(ws):
+    def factory():
+        def fail(texts, retry):
+            raise ValueError("no model")
+
+        return fail
+
+    with pytest.raises(RuntimeError, match="raised for all 60"):
+        jobs.run_generation(ws, "train", PROMPTS[0], "dead", [TEMPLATE], factory)
+
+
 def test_quality_and_agreement(ws):
     rows = {r.model: r for r in jobs.prediction_quality(ws, "train", "all", PROMPTS[1]).collect()}
     right = sum((i % 3 > 0) != (i % 7 == 0) for i in range(60))
