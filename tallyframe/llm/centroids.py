@@ -106,7 +106,7 @@ def learn(
     doc_id; all counts cover all rows. The share ``rejected`` of the sample with the smallest cosine
     to any centroid sets the distance from which texts are rejected.
     """
-    texts = texts.where(F.col("lang").isNotNull())
+    texts = texts.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     found, n = _document_frequency(texts, places)
     idf = np.log((n + 1) / (found + 1)) + 1
     sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("rows_"))

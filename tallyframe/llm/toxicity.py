@@ -239,7 +239,7 @@ def learn(
     features (log odds over 2) among the flagged documents of the sample. A rate per word would not
     do: the scores add up features, so length would only blur the grades.
     """
-    labelled = labelled.where(F.col("grade").isNotNull())
+    labelled = labelled.where(F.col("grade").isNotNull()).select("doc_id", "text", "grade")
     vocabulary, odds = choose_vocabulary(labelled, max_features)
     total = labelled.count()
     buckets = 1 << 30

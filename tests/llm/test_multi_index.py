@@ -41,7 +41,7 @@ def test_against_all_rows(spark, n, k, dimensions):
 
 def test_few_rows(spark):
     rows = [(1, [1.0, -1.0]), (2, [-1.0, 1.0]), (3, [1.0, 1.0])]
-    assert run(spark, rows, {1, 2}, 10, 2) == plain(rows, {1, 2}, 10, 2)
+    assert run(spark, rows, {1, 2}, 10, 2) == sorted(plain(rows, {1, 2}, 10, 2))
     assert run(spark, rows[:1], {1}, 10, 2) == []
     assert run(spark, rows, {9}, 10, 2) == []
     assert run(spark, [(None, [1.0])], {1}, 10, 2) == []
