@@ -14,9 +14,18 @@ The order used is rarest first, so a value of a frequent passage is listed only
 hold little else, and a document most of whose values occur nowhere else has no entry at all.
 Entries meet only within neighbouring size classes, as similar sets have similar sizes.
 
-Large groups. First every entry of a list is compared with the list's smallest document only.
-Entries that end up in one component need no further comparison; what remains are lists that hold
-several components, and only their entries of different components are compared.
+Large groups. Entries of a list of up to ``SHORT_LIST`` meet one another. In a longer list they are
+only compared with one of them, the hub (the set with most entries, so in a group of copies one
+near the common original), and every set is written as its difference from the hub: the hub's
+shingles it lacks and its own that the hub lacks. Two sets linked to the hub need no comparison. If
+at least one is not linked, they can only be similar if their differences have elements in common,
+and how many follows from the sizes; so the same rarest-first listing is applied to the differences.
+Copies changed at random places share few of them, which leaves next to no pairs.
+
+The numbers, with p percent, set sizes A, B and H, and i the shingles in common with the hub:
+G(A) = p (A + H) - (100 + p) i(A) is at most 0 if and only if A is linked to the hub, and at least
+-(100 - p) H. A and B are similar if and only if their differences share at least
+(G(A) + G(B) + (100 - p) H) / (100 + p) elements.
 """
 
 import hashlib
@@ -30,6 +39,9 @@ from tallyframe.llm.components import components
 from tallyframe.llm.shared import SpanHasher, map_rows, shingle_hashes
 from tallyframe.session import materialise
 
+# Members of an inverted list that meet one another; longer lists go by their hub.
+SHORT_LIST = 32
+
 
 def sketches(documents: DataFrame, words: int, k: int) -> DataFrame:
     """(doc_id, n_shingles, digest of the set, sketch) of every row."""
@@ -80,6 +92,7 @@ def _entries(sets: DataFrame, percent: int, k: int) -> DataFrame:
     return listed.select(
         "id",
         "n",
+        "room",
         F.explode(F.slice("shared", F.lit(1), F.col("room"))).alias("entry"),
         size_class.alias("class"),
     ).select(
@@ -87,6 +100,7 @@ def _entries(sets: DataFrame, percent: int, k: int) -> DataFrame:
         F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"),
         "id",
         "n",
+        "room",
     )
 
 
@@ -124,11 +138,14 @@ def _estimated(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataF
     )
 
 
+def _sides(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    left = shingles.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a"))
+    right = shingles.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b")
+
+
 def _confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the similarity."""
-    both = pairs.join(
-        shingles.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a")), "a"
-    ).join(shingles.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b")), "b")
 
     def make():
         def work(batch):
@@ -144,12 +161,101 @@ def _confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame
         return work
 
     return (
-        map_rows(both.select("a", "b", "hashes_a", "hashes_b"), "a bigint, b bigint, keep boolean", make)
+        map_rows(_sides(pairs, shingles), "a bigint, b bigint, keep boolean", make)
         .where("keep")
         .select("a", "b")
     )
 
 
+def _differences(stars: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Hub a and set b with their difference, G of the set, and the size of the hub."""
+
+    def make():
+        def work(batch):
+            out = {"a": batch["a"], "b": batch["b"], "excess": [], "size": [], "elements": []}
+            for x, y in zip(batch["hashes_a"], batch["hashes_b"]):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                y = np.frombuffer(y.as_buffer(), np.uint64)
+                apart = np.setxor1d(x, y, assume_unique=True)
+                shared = (len(x) + len(y) - len(apart)) // 2
+                out["excess"].append(percent * (len(x) + len(y)) - (100 + percent) * shared)
+                out["size"].append(len(x))
+                out["elements"].append(apart.view(np.int64))
+            return out
+
+        return work
+
+    return map_rows(
+        _sides(stars, shingles),
+        "a bigint, b bigint, excess bigint, size bigint, elements array<bigint>",
+        make,
+    )
+
+
+def _rarest(differences: DataFrame, least) -> DataFrame:
+    """Lists (hub, element) of sets that must share ``least`` elements with a partner."""
+    single = differences.select("a", "b", "excess", "size", F.explode("elements").alias("element"))
+    often = (
+        single.groupBy("a", "element").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    )
+    return (
+        single.join(often, ["a", "element"])
+        .groupBy("a", "b", "excess", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("shared"))
+        .select(
+            "a", "b", "excess", "size", "shared", *[x.alias(name) for name, x in least.items()]
+        )
+    )
+
+
+def _pairs_by_difference(differences: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of one hub, not both linked to it, whose differences may share enough."""
+    whole = 100 + percent
+    base = (100 - percent) * F.col("size")
+    open_hubs = differences.where("excess > 0").select("a").distinct()
+    listed = materialise(
+        _rarest(
+            differences.join(open_hubs, "a", "left_semi"),
+            {
+                # with any partner, with one not linked to the hub
+                "any": F.ceil(F.col("excess") / whole),
+                "open": F.ceil((F.col("excess") + 1 + base) / whole),
+            },
+        )
+    )
+
+    def entries(least: str, linked: bool, side: str) -> DataFrame:
+        """Listed elements; ``left`` counts those from this one on."""
+        room = (F.size("shared") - F.greatest(F.col(least), F.lit(1)) + 1).cast("int")
+        return (
+            listed.where(F.col("excess") <= 0 if linked else F.col("excess") > 0)
+            .withColumn("room", room)
+            .where(F.col("room") > 0)
+            .select(
+                "a", "size", "shared", F.col("b").alias(f"id_{side}"),
+                F.col("excess").alias(f"excess_{side}"),
+                F.posexplode(F.slice("shared", F.lit(1), F.col("room"))).alias("place", "entry"),
+            )
+            .select(
+                "a", "size", F.col("entry.element").alias("element"), f"id_{side}",
+                f"excess_{side}", (F.size("shared") - F.col("place")).alias(f"left_{side}"),
+            )
+        )
+
+    # At their first common element, as many elements must be left as the two have to share.
+    enough = F.least("left_x", "left_y") * whole >= F.col("excess_x") + F.col("excess_y") + base
+    on = ["a", "size", "element"]
+    both_open = entries("open", False, "x").join(entries("open", False, "y"), on)
+    one_open = entries("any", False, "x").join(entries("open", True, "y"), on)
+    return (
+        both_open.where((F.col("id_x") < F.col("id_y")) & enough)
+        .select("id_x", "id_y")
+        .unionByName(one_open.where(enough).select("id_x", "id_y"))
+        .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+        .distinct()
+    )
+
+
 def _full_sets(documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     def make():
         hasher = SpanHasher()
@@ -193,49 +299,32 @@ def near_duplicates(
     ids = entries.select("id").distinct()
     shingles = materialise(_full_sets(documents, ids, words))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        likely = materialise(_estimated(pairs, sets, percent, k))
-        return materialise(_confirmed(likely, shingles, percent))
-
-    hubs = entries.groupBy("value", "class").agg(F.min(F.struct("id", "n")).alias("hub"))
-    stars = materialise(
-        entries.join(hubs, ["value", "class"])
-        .select(
-            F.col("hub.id").alias("a"), F.col("id").alias("b"),
-            F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"),
-        )
+    lists = entries.groupBy("value", "class").agg(
+        F.count(F.lit(1)).alias("members"),
+        F.min(F.struct(-F.col("room"), "n", "id")).alias("hub"),
+    )
+    met = entries.join(lists.where(F.col("members") > 1), ["value", "class"])
+    short = met.where(F.col("members") <= SHORT_LIST).select("value", "class", "id", "n")
+    pairs = (
+        short.withColumnsRenamed({"id": "a", "n": "n_a"})
+        .join(short.withColumnsRenamed({"id": "b", "n": "n_b"}), ["value", "class"])
         .where((F.col("a") < F.col("b")) & _similar_sizes(percent))
         .select("a", "b")
         .distinct()
     )
-    links = linked(stars)
-    labels = components(links)
-    named = materialise(
-        entries.join(labels, entries["id"] == labels["node"], "left").select(
-            "value", "class", "id", "n", F.coalesce("component", "id").alias("label")
-        )
-    )
-    mixed = (
-        named.groupBy("value", "class")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        .where(F.col("low") != F.col("high"))
-    )
-    open_lists = materialise(named.join(mixed.select("value", "class"), ["value", "class"]))
-    left, right = (
-        open_lists.select(
-            "value", "class", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label")]
-        )
-        for s in ("a", "b")
-    )
-    rest = (
-        left.join(right, ["value", "class"])
-        .where((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")))
-        .where(_similar_sizes(percent))
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    likely = materialise(_estimated(pairs, sets, percent, k))
+    stars = (
+        met.where((F.col("members") > SHORT_LIST) & (F.col("id") != F.col("hub.id")))
+        .select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")
     )
-    labels = components(links.unionByName(linked(rest)))
+    differences = materialise(_differences(stars, shingles, percent))
+    more = materialise(_estimated(_pairs_by_difference(differences, percent), sets, percent, k))
+    links = (
+        _confirmed(likely.unionByName(more), shingles, percent)
+        .unionByName(differences.where("excess <= 0").select("a", "b"))
+    )
+    labels = components(links)
     groups = sets.join(labels, sets["id"] == labels["node"], "left").select(
         "digest", F.coalesce("component", "id").alias("component")
     )

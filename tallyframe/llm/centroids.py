@@ -122,7 +122,7 @@ def learn(
         counted = [vectors.counts(t) for t in rows.sort_values("doc_id")["text"]]
         matrix = [_weigh(c, idf) for c in counted if c is not None]
         if not matrix:
-            return pd.DataFrame({"lang": [], "centroid": [], "low": []})
+            return pd.DataFrame(columns=["lang", "centroid", "low"], dtype=object)
         matrix = np.array(matrix)
         centres = cluster(matrix, groups)
         nearest = (matrix @ centres.T).max(axis=1)
