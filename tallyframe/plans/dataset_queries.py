@@ -30,6 +30,16 @@ def _answer_scores(t):
     return t.scores.where("curve = 'answer_a'").select("id", "score")
 
 
+def _scratch(t) -> str:
+    """A new folder of its own under the shared checkpoint folder."""
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
+
+
+def _project(t) -> jobs.Workspace:
+    return jobs.Workspace(t.spark, _scratch(t), [Model(m, ("all",)) for m in MODELS], PROMPTS)
+
+
 @query(UNCERTAIN_SQL + 'SELECT id, score, "distance_from_0.5" FROM top')
 def uncertainty_top_n(t):
     return sampling.most_uncertain(_answer_scores(t), t.truth, 100)
@@ -53,6 +63,32 @@ def al_split_moved(t):
     return _al_split(t).where("moved").drop("moved")
 
 
+@query(
+    """SELECT id, matches_original, CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN 'sampled' ELSE 'docs' END AS dataset
+    FROM fx_truth"""
+)
+def al_round_in_place(t):
+    """Sampled rows leave the stored table under its own name; both sides are read back."""
+    ws = _project(t)
+    ws.store("relabel_evaluation", t.truth.select("id", "matches_original"), "docs")
+    sampled = t.truth.where(F.col("id").cast("bigint") % 7 == 0).select("id")
+    ws.store("al_samples", sampled.withColumn("run_id", F.lit("al_1")), "docs", "run_id")
+    jobs.move_sampled(ws, "docs", "docs", "sampled")
+    return ws.read("relabel_evaluation").select("id", "matches_original", "dataset")
+
+
+@query(
+    """SELECT id FROM (SELECT id, CASE CAST(id AS BIGINT) % 5 WHEN 0 THEN NULL WHEN 1 THEN 0.5E0 ELSE score END AS score,
+      CAST(id AS BIGINT) % 5 AS k FROM fx_score WHERE curve = 'answer_a') WHERE k <> 2 AND score > 0.4E0"""
+)
+def confident_nan(t):
+    """Items above a score where others have none or NaN."""
+    k = F.col("id").cast("bigint") % 5
+    score = F.when(k == 1, 0.5).when(k == 2, float("nan")).when(k > 2, F.col("score"))
+    rows = _answer_scores(t).withColumn("score", score)
+    return relational.confident(rows, "score", 0.4).select("id")
+
+
 HASH = "CAST(('0x' || substr(md5({key} || ':{seed}'), 1, 8)) AS BIGINT) % {n}"
 
 
@@ -168,12 +204,6 @@ def feature_matrix_bool(t):
     return rounded(matrix, *names)
 
 
-def _scratch(t) -> str:
-    """A new folder of its own under the shared checkpoint folder."""
-    ensure_checkpoint_dir(t.spark)
-    return f"{t.spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
-
-
 SMALL_FOREST = {
     "numTrees": [10, 20],
     "maxDepth": [5, 10],
@@ -342,9 +372,7 @@ PROJECT_SQL = (
 @query(PROJECT_SQL)
 def project_auc_pr(t):
     """A whole project: stored items and outputs, vote scores, a baseline, their areas."""
-    ws = jobs.Workspace(
-        t.spark, _scratch(t), [Model(m, ("all",)) for m in MODELS], PROMPTS
-    )
+    ws = _project(t)
     ws.store("items", t.items, "docs")
     ws.store("outputs", t.outputs, "docs", "prompt", "model")
     ws.store("relabel_evaluation", t.truth.select("id", "matches_original"), "docs")

@@ -66,6 +66,20 @@ def over_long_inputs(t):
     return relational.over_long(t.items, "context", 600)[1]
 
 
+@query(
+    f"""SELECT id, CASE WHEN n > 600 THEN 'skipped' ELSE 'kept' END AS side FROM (SELECT id,
+     CASE WHEN "index" % 4 = 0 THEN 0 WHEN "index" % 4 = 1 THEN 0 ELSE len({WORDS.format(x="context")}) END AS n FROM fx_items)"""
+)
+def over_long_nulls(t):
+    """Every item is on one side of the limit, those without a text or with an empty one too."""
+    k = F.col("index") % 4
+    context = F.when(k == 0, F.lit(None)).when(k == 1, "").otherwise(F.col("context"))
+    kept, skipped = relational.over_long(t.items.withColumn("context", context), "context", 600)
+    return kept.select("id", F.lit("kept").alias("side")).unionByName(
+        skipped.select("id", F.lit("skipped").alias("side"))
+    )
+
+
 INVALID_SQL = """, invalid AS (SELECT DISTINCT id FROM fx_out WHERE prompt = 'answer_a' AND model = 'm1'
  AND NOT regexp_matches(output, '<answer>[^\\n]*?</answer>'))"""
 
@@ -142,17 +156,8 @@ def retry_plan(t):
     )
 
 
-@query(
-    """SELECT CAST(doc_id AS VARCHAR) AS id,
-     CASE WHEN doc_id % 4 < 3 THEN 'item <answer>' || lang || '</answer>' END AS output,
-     CASE doc_id % 4 WHEN 0 THEN 1 WHEN 3 THEN 3 ELSE 2 END AS attempts FROM documents"""
-)
-def generate_with_retries(t):
-    """Generation rounds over all documents with a stand-in for a model.
-
-    By item, the stand-in answers at once, after a reminder, after a repetitive text on the
-    fresh try, or never.
-    """
+def _answers(documents, id_column="doc_id"):
+    """Rounds with the stand-in described below."""
 
     def factory():
         def answer(prompt: str, retry: bool) -> str:
@@ -167,13 +172,39 @@ def generate_with_retries(t):
     template = prompts.MessageTemplate(
         "user", "{text} kind {kind} {lang} .", {"text": "text", "kind": "kind", "lang": "lang"}
     )
-    items = t["documents"].withColumn("kind", F.col("doc_id") % 4).select(
-        F.col("doc_id").cast("string").alias("id"),
+    items = documents.withColumn("kind", F.col("doc_id") % 4).select(
+        F.col(id_column).cast("string").alias("id"),
         prompts.render_messages([template]).alias("messages"),
     )
     return generation.generate_with_retries(items, factory, parsing.is_valid_answer)
 
 
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS id,
+     CASE WHEN doc_id % 4 < 3 THEN 'item <answer>' || lang || '</answer>' END AS output,
+     CASE doc_id % 4 WHEN 0 THEN 1 WHEN 3 THEN 3 ELSE 2 END AS attempts FROM documents"""
+)
+def generate_with_retries(t):
+    """Generation rounds over all documents with a stand-in for a model.
+
+    By item, the stand-in answers at once, after a reminder, after a repetitive text on the
+    fresh try, or never.
+    """
+
+    return _answers(t["documents"]).select("id", "output", "attempts")
+
+
+@query(
+    """SELECT lang AS id, CASE WHEN doc_id % 4 < 3 THEN 'item <answer>' || lang || '</answer>' END AS output,
+     CASE doc_id % 4 WHEN 0 THEN 1 WHEN 3 THEN 3 ELSE 2 END AS attempts, CAST(count(*) AS BIGINT) AS n
+    FROM documents GROUP BY ALL"""
+)
+def generate_repeated_ids(t):
+    """The same rounds where all documents of a language share one id: a row for each of them."""
+    rows = _answers(t["documents"], id_column="lang")
+    return rows.groupBy("id", "output", "attempts").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     """SELECT conv_id, turn, len(parts)::INT AS n, array_to_string(parts, '|') AS parts FROM (
      SELECT conv_id, turn, CASE WHEN text = '' THEN [] ELSE list_transform(string_split(text, ','),
@@ -246,8 +277,8 @@ def annotation_texts(t):
     return flatten.annotation_texts(_source_documents(t))
 
 
-REDUCE_SQL = """, it AS (SELECT id, context, p[-2] || ' ' || p[-1] || ' ; ' || p[1] AS label
- FROM (SELECT id, context, string_split(context, ' ') AS p FROM fx_items) WHERE len(p) > 2),
+REDUCE_SQL = """, it AS (SELECT id, context, concat_ws(' ; ', concat_ws(' ', p[-2], p[-1]), p[1]) AS label
+ FROM (SELECT id, context, string_split(context, ' ') AS p FROM fx_items)),
 labels_of AS (SELECT id, raw, trim(raw, blanks) AS t FROM (
   SELECT id, unnest(string_split(label, ';')) AS raw, ' ' || chr(9) || chr(10) || chr(13) AS blanks FROM it) WHERE trim(raw, blanks) <> ''),
 sized AS (SELECT id, raw, t, greatest(length(t) // 3, length(regexp_extract(t, '^\\S+')), 1) AS m FROM labels_of),
@@ -277,12 +308,17 @@ FROM split LEFT JOIN reduced r ON r.id = split.id
 
 @query(REDUCE_SQL)
 def reduce_context(t):
-    """Contexts reduced to the sentences around ``word ; word pair`` labels of the text."""
+    """Contexts reduced to the sentences around ``word ; word pair`` labels of the text.
+
+    Texts of one word or none have shorter labels, or the whole text as their label.
+    """
     parts = F.split("context", " ")
     label = F.concat_ws(
-        " ; ", F.concat_ws(" ", F.element_at(parts, -2), F.element_at(parts, -1)), parts[0]
+        " ; ",
+        F.concat_ws(" ", F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1))),
+        parts[0],
     )
-    items = t.items.where(F.size(parts) > 2).select("id", "context", label.alias("label"))
+    items = t.items.select("id", "context", label.alias("label"))
     return rounded(
         textjobs.reduce_contexts(items).select("id", "context", "n_sentences", "n_kept", "reduction"),
         "reduction",
