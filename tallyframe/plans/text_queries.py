@@ -12,7 +12,7 @@ from tallyframe.plans.vote_queries import vote_sql
 from tallyframe.session import ensure_checkpoint_dir
 from tallyframe.sources.registry import family_of
 from tallyframe.sources.tables import spread
-from tallyframe.streaming.votes import VoteTables, read_output_stream, start_votes
+from tallyframe.streaming.votes import ITEM_STREAM, VoteTable, read_stream, start_votes
 
 WORDS = "list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
 
@@ -410,23 +410,34 @@ def json_audit(t):
 
 @query(vote_sql("fx_verdicts"))
 def stream_votes(t):
-    """Outputs arriving as files in two waves, voted incrementally: equal to the batch votes.
+    """Outputs and items arriving as files in two waves, voted incrementally: equal to the batch.
 
-    The first wave holds a wrong earlier text for some rows, which the second one replaces.
+    The first wave holds earlier texts, at an earlier, the same or no time, that the second one
+    replaces, and outputs whose items only come with the second wave.
     """
     ensure_checkpoint_dir(t.spark)
     base = f"{t.spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    tables = VoteTables(f"{base}/tables", buckets=8)
-    wave = F.when(F.col("id").cast("long") % 2 == 0, 2).otherwise(1)
-    stamped = t.outputs.withColumn(
-        "ts", F.timestamp_seconds(F.lit(1_700_000_000) + wave * 3600)
+    table = VoteTable(f"{base}/tables")
+    number = F.col("id").cast("bigint")
+    stamped = t.outputs.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
+    early = F.col("ts") - F.expr("INTERVAL 1 HOUR")
+    stale = stamped.where(number % 2 == 0).withColumns(
+        {
+            "output": F.lit("no verdict yet"),
+            "ts": F.when(number % 6 == 0, early).when(number % 6 == 2, F.col("ts")),
+        }
     )
-    stale = stamped.where(wave == 2).withColumns(
-        {"output": F.lit("no verdict yet"), "ts": F.col("ts") - F.expr("INTERVAL 1 HOUR")}
-    )
-    waves = [stamped.where(wave == 1).unionByName(stale), stamped.where(wave == 2)]
-    for arriving in waves:
+    items = t.items.select("id", "label")
+    waves = [
+        (stamped.where(number % 2 == 1).unionByName(stale), items.where(number % 3 > 0)),
+        (stamped.where(number % 2 == 0), items.where(number % 3 == 0)),
+    ]
+    for arriving, known in waves:
         arriving.write.mode("append").json(f"{base}/in")
-        outputs = read_output_stream(t.spark, f"{base}/in")
-        start_votes(outputs, PROMPTS, t.items, tables, f"{base}/state").awaitTermination()
-    return rounded(tables.votes(t.spark), "percentage_vote")
+        known.write.mode("append").json(f"{base}/items")
+        start_votes(
+            read_stream(t.spark, f"{base}/in"),
+            read_stream(t.spark, f"{base}/items", ITEM_STREAM),
+            PROMPTS, table, f"{base}/state",
+        ).awaitTermination()
+    return rounded(table.votes(t.spark), "percentage_vote")

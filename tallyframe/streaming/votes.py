@@ -1,109 +1,153 @@
-"""Keep votes up to date while files of new model outputs arrive.
+"""Keep votes up to date while files of new model outputs and of items arrive.
 
-Two append-only Parquet tables, partitioned by a hash bucket of the id and by batch:
-``verdicts`` holds the newest verdict per (id, prompt, model) of each batch and ``votes`` the
-votes of the (id, prompt) keys a batch touched. A batch reads only the buckets it touched and
-overwrites only its own partitions, so running it again after a failure changes nothing.
+One stateful operator, keyed by item, remembers the newest answer of every prompt and model and the
+item's label. A batch reads the state of its own keys only and passes on the answers of the prompts
+it has changed; those are judged, voted and stored as the batch's changed votes. Outputs that arrive
+before their item wait in the state. Which answer is newest does not depend on the order of arrival:
+the later time wins, no time counts as earliest, and of equal times the greater answer wins.
 """
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyframe.operators.sampling import hash_bucket
-from tallyframe.operators.votes import prompt_votes, verdicts
+from tallyframe.functions.parsing import judge
+from tallyframe.operators.votes import parse_outputs, prompt_votes
 from tallyframe.sources.registry import Prompt
 
 OUTPUT_STREAM = "id string, prompt string, model string, output string, ts timestamp"
-STORED_VERDICTS = (
-    "id string, prompt string, model string, vote boolean, ts timestamp, bucket int, batch long"
-)
-STORED_VOTES = (
-    "id string, prompt string, majority_vote boolean, unanimous_vote boolean, "
-    "percentage_vote double, bucket int, batch long"
-)
-BUCKETS = 64
-KEY = ["id", "prompt", "model"]
-
-
-def read_output_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+ITEM_STREAM = "id string, label string"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+VOTES = "id string, prompt string, majority_vote boolean, unanimous_vote boolean, percentage_vote double"
+ANSWERS = "id string, prompt string, model string, family string, answer string, label string"
+
+
+def read_stream(
+    spark: SparkSession, folder: str, schema: str = OUTPUT_STREAM, files_per_batch: int = 1000
+) -> DataFrame:
     return (
-        spark.readStream.schema(OUTPUT_STREAM)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(folder)
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
     )
 
 
-def _newest(rows: DataFrame, order: Column) -> DataFrame:
-    return rows.groupBy(*KEY).agg(
-        F.max_by(F.struct("vote", "ts"), order).alias("last")
-    ).select(*KEY, "last.vote", "last.ts")
+def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Merge a batch's rows of one item; give all answers of the prompts that have changed.
 
+    The state is JSON: the label, if the item has come, and per prompt and model the rank of the
+    newest answer, its family and the answer.
+    """
+    held = json.loads(state.get[0]) if state.exists else {"come": False, "label": None, "cells": {}}
+    changed = set()
+    for frame in frames:
+        for kind, prompt, model, family, answer, ts, label in frame[
+            ["kind", "prompt", "model", "family", "answer", "ts", "label"]
+        ].astype(object).where(lambda x: x.notna(), None).itertuples(index=False):
+            if kind == "item":
+                # labels do not change; of several ones the greatest holds
+                if not held["come"] or (label or "") > (held["label"] or ""):
+                    held["come"], held["label"] = True, label
+                    changed |= set(held["cells"])
+                continue
+            cell = held["cells"].setdefault(prompt, {})
+            rank = [-(1 << 62) if ts is None else int(ts), answer is not None, answer or ""]
+            if model not in cell or rank > cell[model][0]:
+                cell[model] = [rank, family, answer]
+                changed.add(prompt)
+    state.update((json.dumps(held),))
+    if held["come"] and changed:
+        rows = [
+            (key[0], prompt, model, family, answer, held["label"])
+            for prompt in changed
+            for model, (_, family, answer) in held["cells"][prompt].items()
+        ]
+        yield pd.DataFrame(
+            rows, columns=["id", "prompt", "model", "family", "answer", "label"], dtype=object
+        )
 
-class VoteTables:
-    """The two tables under one folder of shared storage."""
 
-    def __init__(self, folder: str, buckets: int = BUCKETS):
-        self.verdict_path = f"{folder}/verdicts"
-        self.vote_path = f"{folder}/votes"
-        self.buckets = buckets
+def newest_answers(outputs: DataFrame, items: DataFrame, prompts: Sequence[Prompt]) -> DataFrame:
+    """Complete answers of every (id, prompt) that a batch has changed, with the item's label."""
+    answers = parse_outputs(outputs, prompts, ["ts"]).select(
+        "id", F.lit("answer").alias("kind"), "prompt", "model", "family", "answer",
+        F.unix_micros("ts").cast("string").alias("ts"), F.lit(None).cast("string").alias("label"),
+    )
+    empty = F.lit(None).cast("string")
+    labels = items.select(
+        "id", F.lit("item").alias("kind"),
+        *[empty.alias(c) for c in ("prompt", "model", "family", "answer", "ts")], "label",
+    )
+    return answers.unionByName(labels).groupBy("id").applyInPandasWithState(
+        _newest, ANSWERS, "held string", "update", GroupStateTimeout.NoTimeout
+    )
 
-    def _append(self, rows: DataFrame, batch: int, path: str) -> None:
-        """Write a batch's partitions; rebalancing keeps files few and splits large buckets."""
-        (
-            rows.withColumns(
-                {"bucket": hash_bucket(F.col("id"), self.buckets).cast("int"), "batch": F.lit(batch)}
-            )
-            .hint("rebalance", "bucket")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket", "batch")
-            .parquet(path)
-        )
 
-    def ingest(self, rows: DataFrame, batch: int) -> None:
-        """Store a batch of ``(id, prompt, model, vote, ts)`` and refresh the touched votes."""
-        spark = rows.sparkSession
-        self._append(_newest(rows, F.col("ts")), batch, self.verdict_path)
-        stored = spark.read.schema(STORED_VERDICTS).parquet(self.verdict_path)
-        touched = stored.where(F.col("batch") == batch)
-        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
-        if not buckets:
-            return
-        known = stored.where(F.col("bucket").isin(buckets) & (F.col("batch") <= batch)).join(
-            touched.select("id", "prompt").distinct(), ["id", "prompt"], "left_semi"
-        )
-        self._append(
-            prompt_votes(_newest(known, F.struct("ts", "batch"))), batch, self.vote_path
+class VoteTable:
+    """Changed votes by batch under one folder, and now and then a compacted table of all."""
+
+    def __init__(self, folder: str):
+        self.changes, self.whole = f"{folder}/changes", f"{folder}/whole"
+
+    def add(self, answers: DataFrame, batch: int) -> None:
+        """Store the votes of a batch; a repeated batch overwrites itself with the same."""
+        judged = answers.withColumn("vote", judge(F.col("family"), F.col("answer"), F.col("label")))
+        prompt_votes(judged.select("id", "prompt", "model", "vote")).write.mode("overwrite").parquet(
+            f"{self.changes}/batch={batch}"
         )
 
+    def _read(self, spark: SparkSession, path: str, key: str) -> DataFrame:
+        files = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        schema = f"{VOTES}, {key} bigint"
+        if not system.exists(files):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(path)
+
+    def _latest(self, spark: SparkSession) -> DataFrame:
+        """Rows of the newest whole table and of the batches after it, with their number."""
+        whole = self._read(spark, self.whole, "upto")
+        last = whole.agg(F.max("upto")).first()[0]
+        last = -1 if last is None else last
+        changes = self._read(spark, self.changes, "batch").where(F.col("batch") > last)
+        return whole.where(F.col("upto") == last).withColumnRenamed("upto", "batch").unionByName(changes)
+
     def votes(self, spark: SparkSession) -> DataFrame:
-        """Current votes: those of the last batch that touched the key."""
+        """Current votes: those of the last batch that changed the key."""
         columns = ["majority_vote", "unanimous_vote", "percentage_vote"]
         return (
-            spark.read.schema(STORED_VOTES).parquet(self.vote_path)
+            self._latest(spark)
             .groupBy("id", "prompt")
             .agg(F.max_by(F.struct(*columns), "batch").alias("v"))
             .select("id", "prompt", "v.*")
         )
 
+    def compact(self, spark: SparkSession) -> None:
+        """Write the current votes as one table; earlier batches are not read any more."""
+        last = self._latest(spark).agg(F.max("batch")).first()[0]
+        if last is not None:
+            self.votes(spark).write.mode("overwrite").parquet(f"{self.whole}/upto={last}")
+
 
 def start_votes(
     outputs: DataFrame,
+    items: DataFrame,
     prompts: Sequence[Prompt],
-    labels: DataFrame,
-    tables: VoteTables,
+    table: VoteTable,
     checkpoint: str,
 ) -> StreamingQuery:
-    """Parse arriving outputs, judge them against the labels and refresh the votes.
+    """Refresh the votes from streams of outputs and of items (id, label).
 
     Runs over what is there and stops; schedule it again, or change the trigger, to go on.
     """
-    judged = verdicts(outputs, prompts, labels, extra=["ts"])
+    outputs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return (
-        judged.writeStream.foreachBatch(tables.ingest)
+        newest_answers(outputs, items, prompts)
+        .writeStream.foreachBatch(table.add)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

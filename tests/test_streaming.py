@@ -2,60 +2,86 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import votes
 from tallyframe.sources import registry
-from tallyframe.streaming.votes import OUTPUT_STREAM, VoteTables, read_output_stream, start_votes
+from tallyframe.streaming.votes import ITEM_STREAM, VoteTable, read_stream, start_votes
 
+PROMPTS = [registry.Prompt("p", (), "yes_no"), registry.Prompt("q", (), "answer")]
+OUTPUT = "id string, prompt string, model string, output string, ts bigint"
 
-def rows_of(df):
-    return sorted(map(tuple, df.select("id", "prompt", "majority_vote", "unanimous_vote", "percentage_vote").collect()))
+
+class Arrivals:
+    """Waves of output and item files, and the votes after each."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder, self.table = spark, str(folder), VoteTable(f"{folder}/tables")
+        for name, schema in (("in", OUTPUT), ("items", ITEM_STREAM)):
+            spark.createDataFrame([], schema).write.json(f"{folder}/{name}")
+
+    def wave(self, outputs=(), items=()):
+        if outputs:
+            rows = self.spark.createDataFrame(list(outputs), OUTPUT)
+            rows.withColumn("ts", F.timestamp_seconds("ts")).write.mode("append").json(f"{self.folder}/in")
+        if items:
+            self.spark.createDataFrame(list(items), ITEM_STREAM).write.mode("append").json(f"{self.folder}/items")
+        start_votes(
+            read_stream(self.spark, f"{self.folder}/in"),
+            read_stream(self.spark, f"{self.folder}/items", ITEM_STREAM),
+            PROMPTS, self.table, f"{self.folder}/state",
+        ).awaitTermination()
+        return self.votes()
+
+    def votes(self):
+        columns = ["id", "prompt", "majority_vote", "unanimous_vote", "percentage_vote"]
+        return sorted(map(tuple, self.table.votes(self.spark).select(columns).collect()))
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    prompts = [registry.Prompt("p", (), "yes_no")]
-    labels = spark.createDataFrame([(str(i), "x") for i in range(20)], "id string, label string")
-    base = spark.range(80).select(
-        (F.col("id") % 20).cast("string").alias("id"), F.lit("p").alias("prompt"),
-        (F.col("id") / 20).cast("int").cast("string").alias("model"),
-        F.when(F.col("id") % 3 == 0, "###yes").otherwise("###no").alias("output"),
-        F.timestamp_seconds(F.lit(1000) + F.col("id")).alias("ts"),
-    )
-    # later waves: corrections, a late text that must not win, and an unknown item
-    fixed = base.where("id = '3'").withColumns({"output": F.lit("### yes"), "ts": F.timestamp_seconds(F.lit(9000))})
-    late = base.where("id = '4'").withColumns({"output": F.lit("oops"), "ts": F.timestamp_seconds(F.lit(1))})
-    stranger = base.where("id = '5'").withColumn("id", F.lit("999"))
-    waves = [base.where("model < '3'"), base.where("model = '3'").unionByName(fixed), late.unionByName(stranger)]
-    tables = VoteTables(str(tmp_path / "tables"), buckets=4)
-    for wave in waves:
-        wave.write.mode("append").json(str(tmp_path / "in"))
-        stream = read_output_stream(spark, str(tmp_path / "in"))
-        start_votes(stream, prompts, labels, tables, str(tmp_path / "state")).awaitTermination()
-    newest = (
-        spark.read.schema(OUTPUT_STREAM).json(str(tmp_path / "in"))
-        .groupBy("id", "prompt", "model").agg(F.max_by("output", "ts").alias("output"))
-    )
-    batch = votes.prompt_votes(votes.verdicts(newest, prompts, labels))
-    assert rows_of(tables.votes(spark)) == rows_of(batch)
-    assert tables.votes(spark).where("id = '3'").first().unanimous_vote is True
+    rows = [(str(i % 20), "p", f"m{i // 20}", "###yes" if i % 3 == 0 else "###no", 1000 + i) for i in range(80)]
+    items = [(str(i), "x") for i in range(20)]
+    fixed = [("3", "p", f"m{k}", "### yes", 9000) for k in range(4)]
+    late = [("4", "p", "m0", "oops", 1)]
+    stranger = [("999", "p", "m0", "###yes", 5)]
+    arrivals = Arrivals(spark, tmp_path)
+    arrivals.wave(rows[:60], items)
+    arrivals.wave(rows[60:] + fixed)
+    got = arrivals.wave(late + stranger)
+    newest = {r[:3]: r[3] for r in sorted(rows + fixed, key=lambda r: r[4])}
+    outputs = spark.createDataFrame([(*k, v) for k, v in newest.items()], "id string, prompt string, model string, output string")
+    batch = votes.prompt_votes(votes.verdicts(outputs, PROMPTS, spark.createDataFrame(items, ITEM_STREAM)))
+    columns = ["id", "prompt", "majority_vote", "unanimous_vote", "percentage_vote"]
+    assert got == sorted(map(tuple, batch.select(columns).collect()))
+    assert ("3", "p", True, True, 1.0) in got
+    arrivals.table.compact(spark)
+    assert arrivals.votes() == got
+    again = arrivals.wave([("5", "p", "m0", "###yes", 9999)])
+    assert len(again) == 20 and [r for r in again if r[0] != "5"] == [r for r in got if r[0] != "5"]
+
+
+def test_ties_missing_times_and_late_items(spark, tmp_path):
+    tie = [("a", "p", "m", "###yes", 5), ("a", "p", "m", "###no", 5)]
+    results = []
+    for number, order in enumerate((tie, tie[::-1])):
+        arrivals = Arrivals(spark, tmp_path / str(number))
+        assert arrivals.wave(order[:1]) == []  # its item has not come
+        assert arrivals.wave(order[1:]) == []
+        results.append(arrivals.wave([("b", "p", "m", "###yes", None), ("c", "q", "m", "<answer>x</answer>", 1)], [("a", "l"), ("b", "l")]))
+    assert results[0] == results[1] == [("a", "p", True, True, 1.0), ("b", "p", True, True, 1.0)]
+    assert arrivals.wave(items=[("c", "x")])[2] == ("c", "q", True, True, 1.0)
+    assert arrivals.wave([("b", "p", "m", "###no", 0)])[1] == ("b", "p", False, False, 0.0)
+    assert arrivals.wave([("b", "p", "m", "###yes", None)])[1] == ("b", "p", False, False, 0.0)
+
+
+def test_a_batch_reads_and_writes_its_own_keys(spark, tmp_path):
+    arrivals = Arrivals(spark, tmp_path)
+    arrivals.wave([(str(i), "p", "m", "###yes", 1) for i in range(50)], [(str(i), "l") for i in range(50)])
+    arrivals.wave([("7", "p", "m", "###no", 2)])
+    changes = spark.read.parquet(arrivals.table.changes)
+    assert {r.id for r in changes.where("batch = 1").collect()} == {"7"}
 
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
-    tables = VoteTables(str(tmp_path), buckets=4)
-    schema = "id string, prompt string, model string, vote boolean, ts timestamp"
-    first = spark.createDataFrame([("a", "p", "m", True, None), ("b", "p", "m", False, None)], schema)
-    first = first.withColumn("ts", F.timestamp_seconds(F.lit(5)))
-    second = first.where("id = 'a'").withColumns({"vote": F.lit(None).cast("boolean"), "ts": F.timestamp_seconds(F.lit(6))})
-    tables.ingest(first, 0)
-    tables.ingest(second, 1)
-    before = rows_of(tables.votes(spark))
-    tables.ingest(second, 1)
-    assert rows_of(tables.votes(spark)) == before == [
-        ("a", "p", False, None, 0.5), ("b", "p", False, False, 0.0),
-    ]
-
-
-def test_an_empty_first_batch(spark, tmp_path):
-    tables = VoteTables(str(tmp_path), buckets=4)
-    schema = "id string, prompt string, model string, vote boolean, ts timestamp"
-    tables.ingest(spark.createDataFrame([], schema), 0)
-    row = spark.createDataFrame([("a", "p", "m", True)], "id string, prompt string, model string, vote boolean")
-    tables.ingest(row.withColumn("ts", F.timestamp_seconds(F.lit(1))), 1)
-    assert rows_of(tables.votes(spark)) == [("a", "p", True, True, 1.0)]
+    table = VoteTable(str(tmp_path))
+    assert table.votes(spark).count() == 0
+    answers = spark.createDataFrame([("a", "p", "m", "yes_no", "yes", "l")], "id string, prompt string, model string, family string, answer string, label string")
+    for _ in range(2):
+        table.add(answers, 0)
+    assert [tuple(r) for r in table.votes(spark).collect()] == [("a", "p", True, True, 1.0)]
