@@ -6,15 +6,17 @@ curve into one task: rows are range-partitioned into sorted pieces, the pieces a
 and every row finds its rank as (rows in earlier pieces) + (position in its piece).
 """
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyframe.constants import RANKING_SWEEP, VOTE_SWEEP
 from tallyframe.functions.numbers import harmonic, ratio, ratio_or_zero
 from tallyframe.operators.metrics import confusion_counts, rates, with_labels
-from tallyframe.operators.relational import attach_statistics
 from tallyframe.session import materialise
 
 
@@ -63,7 +65,6 @@ def _offsets(pieces: DataFrame, by: Sequence[str]) -> DataFrame:
     return counts.select(
         *by, "piece",
         (before("n", in_curve) - before("n", in_piece)).alias("rank_shift"),
-        before("n_wrong", in_curve).alias("wrong_before"),
         (before("n_wrong", in_curve) - before("n_wrong", in_piece)).alias("wrong_shift"),
         F.sum("n_wrong").over(whole).alias("total_wrong"),
     )
@@ -75,18 +76,26 @@ def _place(number: str) -> Column:
 
 
 def pr_curve(rows: DataFrame, by: Sequence[str] = ("curve",)) -> DataFrame:
-    """Running precision and recall of every row of ``curve_rows``, with its rank."""
+    """Running precision and recall of every row of ``curve_rows``, with its rank.
+
+    The stored pieces are sorted, so a task counts the wrong rows as it passes them; the numbers
+    before a piece are added by a join with one small row for each (curve, piece).
+    """
     pieces = _pieces(rows, by, ["id", "score"])
-    running = Window.partitionBy(*by, "piece").orderBy("at").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    counted = attach_statistics(
-        pieces.withColumn("wrong_here", F.sum(F.col("wrong").cast("long")).over(running)),
-        _offsets(pieces, by),
-        [*by, "piece"],
+    schema = StructType([*pieces.schema, StructField("wrong_here", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed = 0
+        for batch in batches:
+            wrong = batch["wrong"].to_numpy(zero_copy_only=False).astype(np.int64)
+            yield batch.append_column("wrong_here", pa.array(passed + np.cumsum(wrong)))
+            passed += int(wrong.sum())
+
+    counted = pieces.mapInArrow(run, schema).join(
+        materialise(_offsets(pieces, by)), [*by, "piece"]
     )
     rank = F.col("rank_shift") + _place("at")
-    tp = F.col("wrong_before") + F.col("wrong_here")
+    tp = F.col("wrong_shift") + F.col("wrong_here")
     return counted.select(
         *by, "id", "score", "wrong",
         rank.alias("rank"),

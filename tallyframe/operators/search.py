@@ -2,19 +2,24 @@
 
 An item's verdicts shrink to two integers per (prompt, model) cell in the single shuffle by
 id. Subsets are then bit masks exploded inside the task, where all votes are sums over mask
-bits, and only per-subset counts leave it. Nothing is joined or shuffled per subset.
+bits, and only per-subset counts leave it. Nothing is joined or shuffled per subset. Curve areas
+need ranks: items are range-partitioned by id once, and every piece of them is walked for all
+subsets in the task that holds it.
 """
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.constants import VOTE_SWEEP
 from tallyframe.functions.numbers import ratio
-from tallyframe.operators.curves import auc_pr, best_threshold, sweep_buckets, threshold_index
+from tallyframe.operators.curves import best_threshold, sweep_buckets, threshold_index
 from tallyframe.operators.metrics import confusion_counts, rates
+from tallyframe.session import materialise
 
 MASKS = ("model_mask", "prompt_mask")
 
@@ -157,13 +162,107 @@ def subset_best_thresholds(profile: DataFrame) -> DataFrame:
     return best_threshold(subset_sweep(profile), MASKS)
 
 
-def subset_auc_pr(votes: DataFrame) -> DataFrame:
-    """Area under the PR curve of the percentage vote per subset."""
-    rows = votes.where("percentage_vote IS NOT NULL").select(
-        *MASKS, "id", F.col("percentage_vote").alias("score"),
-        (~F.coalesce(F.col("matches_original"), F.lit(False))).alias("wrong"),
+def _subset_scores(
+    items: pd.DataFrame, n_models: int, n_prompts: int
+) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Percentage vote of every subset for all items of a frame, NaN where nobody voted.
+
+    Twelve digits are kept, so that shares that only differ by rounding are ties.
+    """
+    sums = np.array([[items[f"s_{p}_{m}"] for m in range(n_models)] for p in range(n_prompts)])
+    sizes = np.array([[items[f"n_{p}_{m}"] for m in range(n_models)] for p in range(n_prompts)])
+    for model_mask in range(1, 2**n_models):
+        members = [m for m in range(n_models) if model_mask >> m & 1]
+        s, n = sums[:, members].sum(axis=1), sizes[:, members].sum(axis=1)
+        share = np.where(n > 0, s / np.maximum(2 * n, 1), 0.0)
+        for prompt_mask in range(1, 2**n_prompts):
+            chosen = [p for p in range(n_prompts) if prompt_mask >> p & 1]
+            seen = (n[chosen] > 0).sum(axis=0)
+            score = reduce(np.add, [share[p] for p in chosen]) / np.maximum(seen, 1)
+            yield model_mask, prompt_mask, np.where(seen > 0, np.round(score, 12), np.nan)
+
+
+def subset_auc_pr(
+    verdicts: DataFrame, labels: DataFrame, models: Sequence[str], prompts: Sequence[str]
+) -> DataFrame:
+    """Area under the PR curve of the percentage vote per subset.
+
+    Items move once, to pieces in id order. A piece gives its numbers of items and of wrong ones per
+    subset and score (a few values each); their running sums in the order of (score, piece) say
+    what lies before a piece's items of a score, and their order within the piece gives the rest.
+    """
+    n_models, n_prompts = len(models), len(prompts)
+    cells = item_cells(verdicts, sorted(models), sorted(prompts)).join(
+        labels.select("id", "matches_original"), "id"
+    )
+    pieces = materialise(
+        cells.withColumn("wrong", ~F.coalesce(F.col("matches_original"), F.lit(False)))
+        .drop("matches_original")
+        .repartitionByRange("id")
+        .sortWithinPartitions("id")
+        .withColumn("piece", F.spark_partition_id())
+        .drop("id")
+    )
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            wrong = frame["wrong"].to_numpy(bool)
+            for model_mask, prompt_mask, score in _subset_scores(frame, n_models, n_prompts):
+                voted = ~np.isnan(score)
+                values, place = np.unique(score[voted], return_inverse=True)
+                yield pd.DataFrame(
+                    {
+                        "model_mask": model_mask, "prompt_mask": prompt_mask, "score": values,
+                        "piece": frame["piece"].iloc[0] if len(frame) else 0,
+                        "n": np.bincount(place, minlength=len(values)),
+                        "n_wrong": np.bincount(place, wrong[voted], len(values)).astype(np.int64),
+                    }
+                )
+
+    counts = (
+        pieces.mapInPandas(
+            count,
+            "model_mask int, prompt_mask int, score double, piece int, n bigint, n_wrong bigint",
+        )
+        .groupBy(*MASKS, "score", "piece")
+        .agg(F.sum("n").alias("n"), F.sum("n_wrong").alias("n_wrong"))
+    )
+    whole = Window.partitionBy(*MASKS)
+    earlier = whole.orderBy("score", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *MASKS, "score", "piece",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+        F.coalesce(F.sum("n_wrong").over(earlier), F.lit(0)).alias("wrong_before"),
+        F.sum("n_wrong").over(whole).alias("total"),
+    )
+
+    def walk(items: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        wrong = items["wrong"].to_numpy(np.int64)
+        by_subset = dict(list(known.sort_values("score").groupby(list(MASKS))))
+        areas = []
+        for model_mask, prompt_mask, score in _subset_scores(items, n_models, n_prompts):
+            if (model_mask, prompt_mask) not in by_subset:
+                continue
+            shifts = by_subset[model_mask, prompt_mask]
+            total = shifts["total"].iloc[0]
+            order = np.argsort(score, kind="stable")[: np.count_nonzero(~np.isnan(score))]
+            scores, flags = score[order], wrong[order]
+            values, first = np.unique(scores, return_index=True)
+            group = np.searchsorted(values, scores)
+            so_far = np.cumsum(flags)
+            rank = shifts["before"].to_numpy()[group] + np.arange(len(scores)) - first[group] + 1
+            tp = shifts["wrong_before"].to_numpy()[group] + so_far - (so_far - flags)[first][group]
+            here = (flags == 1) & (rank > 1)
+            rank, tp = rank[here], tp[here]
+            areas.append(
+                (model_mask, prompt_mask, float((tp / rank + (tp - 1) / (rank - 1)).sum() / (2 * max(total, 1))))
+            )
+        return pd.DataFrame(areas, columns=[*MASKS, "area"])
+
+    parts = pieces.groupBy("piece").cogroup(offsets.groupBy("piece")).applyInPandas(
+        walk, "model_mask int, prompt_mask int, area double"
     )
-    return auc_pr(rows, MASKS)
+    return parts.groupBy(*MASKS).agg(F.sum("area").alias("auc_pr"))
 
 
 def named(df: DataFrame, models: Sequence[str], prompts: Sequence[str]) -> DataFrame:

@@ -268,8 +268,7 @@ named AS (SELECT ensemble, prompt_group, round(auc, 9) AS auc_pr
 
 def _areas(t):
     """Areas of all subsets; shares are rounded so that summation order makes no ties differ."""
-    votes = search.subset_votes(t.verdicts, t.truth, MODELS, PROMPT_NAMES)
-    found = search.subset_auc_pr(rounded(votes, "percentage_vote", digits=12))
+    found = search.subset_auc_pr(t.verdicts, t.truth, MODELS, PROMPT_NAMES)
     named = search.named(found, MODELS, PROMPT_NAMES)
     return rounded(named.select("ensemble", "prompt_group", "auc_pr"), "auc_pr")
 

@@ -341,14 +341,14 @@ def search_ensembles(
         F.col("model").isin(*models) & F.col("prompt").isin(*names)
     )
     found = search.subset_votes(verdict_rows, ws.truth(dataset), models, names)
-    profile = search.subset_profile(found)
+    profile = materialise(search.subset_profile(found))  # its size does not grow with the items
     sweep = search.subset_sweep(profile)
     measured = search.subset_vote_metrics(profile)
     results = {
         "votes": measured,
         "best_threshold": curves.best_threshold(sweep, search.MASKS),
         "at_half": curves.at_half(sweep),
-        "auc_pr": search.subset_auc_pr(found),
+        "auc_pr": search.subset_auc_pr(verdict_rows, ws.truth(dataset), models, names),
         "best": search.best_subsets(measured),
     }
     return {k: search.named(df, models, names) for k, df in results.items()}

@@ -42,7 +42,7 @@ def test_every_subset_equals_the_plain_operators(spark, tables):
     }
     areas = {
         (r.ensemble, r.prompt_group): r.auc_pr
-        for r in search.named(search.subset_auc_pr(found), MODELS, PROMPTS).collect()
+        for r in search.named(search.subset_auc_pr(verdicts, labels, MODELS, PROMPTS), MODELS, PROMPTS).collect()
     }
     pairs = [(m, p) for m in subsets(MODELS) for p in subsets(PROMPTS)]
     assert len(got) == 2 * len(pairs) and len(best) == len(areas) == len(pairs) == 21
