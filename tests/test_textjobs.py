@@ -8,60 +8,63 @@ from tallyframe.operators import generation, textjobs
 from tallyframe.functions import parsing
 
 
-def plain_reduce(context, label):
-    """The rule spelled out: all substrings, all matches, all sentences."""
-    labels = [x for x in label.split(";") if x.strip()]
-    pieces = list(labels)
-    for x in (x.strip() for x in labels):
-        least = max(len(x) // 3, len(x.split()[0]))
-        pieces += [
-            x[i:j] for i in range(len(x)) for j in range(i + 1, len(x) + 1)
-            if j - i >= least and " " in x[i:j]
-        ]
-    sentences = re.split(r"(?<=[.!?]) +", context)
-    places = [(context.find(s), context.find(s) + len(s)) for s in sentences]
-    hit = set()
-    for piece in pieces:
-        for m in re.finditer(re.escape(piece), context):
-            for k, (a, b) in enumerate(places):
-                if a <= m.start() < b or a < m.end() <= b:
-                    hit.add(k)
-    if not hit:
-        return context
-    hit |= set(range(min(10, len(sentences))))
-    kept = sorted({j for k in hit for j in range(k - 5, k + 6) if 0 <= j < len(sentences)})
-    out, last = [], 0
-    for k in kept:
-        if k > last + 1:
-            out.append("[...]")
-        out.append(sentences[k].strip())
-        last = k
-    return " ".join(out)
-
-
-def test_reduction_equals_the_rule(spark):
+def reduced(spark, rows):
+    df = spark.createDataFrame(rows, "id string, context string, label string")
+    return {r.id: r for r in textjobs.reduce_contexts(df).collect()}
+
+
+def numbered(n, **named):
+    """Sentences ``S0.`` to ``S<n-1>.`` with some of them replaced, joined by a space."""
+    return " ".join(named.get(f"s{i}", f"S{i}.") for i in range(n))
+
+
+def run(first, last):
+    return " ".join(f"S{i}." for i in range(first, last + 1))
+
+
+def test_reduction_by_hand(spark):
+    far = numbered(60, s40="A red tea cup!")
+    ends = numbered(30, s0="Blue whale here.", s29="Whale blue here.")
+    rows = [
+        ("none", "Nothing here. At all.", "zz qq"),
+        ("empty label", far, ""),
+        ("short", "One. Two tea cups. Three.", "tea cups"),
+        # ten leading sentences with five after them, and five on both sides of the hit
+        ("far", far, "red tea cup"),
+        ("part", far, "some red tea thing"),  # "red tea" is a long enough part with a blank
+        ("word", far, "teacup"),  # parts of a word do not count
+        ("two", ends, "whale blue;Blue whale"),
+        ("null", None, "x"),
+    ]
+    got = reduced(spark, rows)
+    kept = f"{run(0, 14)} [...] {run(35, 39)} A red tea cup! {run(41, 45)}"
+    assert got["far"].context == got["part"].context == kept
+    assert (got["far"].n_sentences, got["far"].n_kept) == (60, 27)
+    for name in ("none", "empty label", "short", "word"):
+        assert got[name].context == dict((r[0], r[1]) for r in rows)[name]
+        assert got[name].reduction == 0.0
+    # " blue" is a part with a blank, so the last sentence is a hit as well
+    assert got["two"].context == f"Blue whale here. {run(1, 14)} [...] {run(24, 28)} Whale blue here."
+    assert got["null"].context is None
+
+
+def test_reduction_keeps_order_and_all_hits(spark):
     rng = random.Random(6)
-    vocabulary = ["tea", "cup", "red", "a", "of", "Yes", "cup of", "x y z"]
-    rows = []
-    for i in range(150):
-        sentences = [
-            " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 4))) + rng.choice(".!?")
-            for _ in range(rng.randint(1, 60))
-        ]
-        sentences = [s if rng.random() < 0.6 else "Common words here." for s in sentences]
-        label = " ; ".join(
-            " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 3)))
-            for _ in range(rng.randint(0, 3))
-        )
-        rows.append((str(i), rng.choice([" ", "  "]).join(sentences), label))
-    rows.append(("none", "Nothing here. At all.", "zz qq"))
-    out = textjobs.reduce_contexts(
-        spark.createDataFrame(rows, "id string, context string, label string")
-    )
-    got = {r.id: r for r in out.collect()}
-    assert {k: r.context for k, r in got.items()} == {i: plain_reduce(c, x) for i, c, x in rows}
-    assert any(r.n_kept < r.n_sentences for r in got.values())
-    assert got["none"].reduction == 0.0
+    rows, wanted = [], {}
+    for i in range(120):
+        sentences = [f"Filler {i} {k}." for k in range(rng.randint(12, 70))]
+        wanted[str(i)] = sorted(rng.sample(range(len(sentences)), rng.randint(1, 3)))
+        for k in wanted[str(i)]:
+            sentences[k] = f"Here {k} the green frog sits."
+        rows.append((str(i), rng.choice([" ", "  "]).join(sentences), "green frog ; absent thing"))
+    got = reduced(spark, rows)
+    for name, context, _ in rows:
+        parts = [p for p in re.split(r"(?<=\.) +", got[name].context.replace("[...] ", ""))]
+        whole = re.split(r"(?<=\.) +", context)
+        places = [whole.index(p) for p in parts]
+        assert places == sorted(set(places))  # a subsequence of the sentences
+        assert set(wanted[name]) <= set(places) and set(range(10)) <= set(places)
+        assert all(min(abs(k - w) for w in [*wanted[name], *range(10)]) <= 5 for k in places)
 
 
 def test_token_tags(spark):
@@ -94,41 +97,64 @@ SCHEMA = {
         "plain": {"type": "array", "items": {"type": "string"}},
     },
 }
-KINDS = {"string": str, "number": (int, float), "integer": int, "boolean": bool,
-         "null": type(None), "array": list, "object": dict}
-
-
-def plain_audit(schema, data, path="", kinds="", level=1):
-    for key, rule in schema["properties"].items():
-        kind = rule.get("type", "unknown")
-        here = f"{path}.{key}" if path else key
-        kind_path = f"{kinds}.{kind}" if kinds else kind
-        if key not in data:
-            yield here, kind, "missing", kind_path, level
-            continue
-        fits = isinstance(data[key], KINDS.get(kind, object))
-        yield here, kind, "existing" if fits else "type mismatch", kind_path, level
-        if fits and kind == "object" and "properties" in rule:
-            yield from plain_audit(rule, data[key], here, kind_path, level + 1)
-        if fits and kind == "array" and "properties" in rule["items"]:
-            for i, item in enumerate(data[key]):
-                yield from plain_audit(rule["items"], item, f"{here}[{i}]", f"{kind_path}.object", level + 1)
-
-
-def test_json_audit(spark):
-    rng = random.Random(10)
-    pool = ["t", 3, 2.5, True, None, [], {}, {"x": "y"}, {"x": 1, "p": {"q": None}},
-            [{"k": 1}, {"k": "z"}, {}], {"p": {"q": 1}}, ["a"]]
-    records = [{k: rng.choice(pool) for k in SCHEMA["properties"] if rng.random() < 0.7} for _ in range(300)]
-    for r in records:  # items of an audited list are objects
-        if isinstance(r.get("l"), list) and not all(isinstance(x, dict) for x in r["l"]):
-            r["l"] = []
+
+
+def audited(spark, records):
     rows = [(str(i), json.dumps(r)) for i, r in enumerate(records)]
     out = textjobs.audit_json(spark.createDataFrame(rows, "id string, output string"), SCHEMA)
-    got = {}
+    found = {}
     for r in out.collect():
-        got.setdefault(r.id, set()).add(tuple(r)[1:])
-    assert got == {str(i): set(plain_audit(SCHEMA, r)) for i, r in enumerate(records)}
+        found.setdefault(int(r.id), []).append(tuple(r)[1:])
+    return found
+
+
+def test_json_audit_by_hand(spark):
+    flat = [("s", "string"), ("n", "number"), ("i", "integer"), ("b", "boolean"), ("any", "unknown"),
+            ("o", "object"), ("l", "array"), ("plain", "array")]
+    missing = {key: (key, kind, "missing", kind, 1) for key, kind in flat}
+    seen = lambda key, status="existing": (key, dict(flat)[key], status, dict(flat)[key], 1)
+    records = [
+        {},
+        {"s": "t", "n": 2.5, "i": 3, "b": True, "any": None, "plain": ["a"]},
+        {"s": 1, "n": "x", "i": 2.5, "b": 0, "o": [], "l": {}},
+        {"o": {"x": 1, "p": {"q": None}}},
+        {"l": [{"k": 1}, {"k": "z"}, {}]},
+    ]
+    found = audited(spark, records)
+    assert sorted(found[0]) == sorted(missing.values())
+    assert set(found[1]) == {*map(seen, ["s", "n", "i", "b", "any", "plain"]), missing["o"], missing["l"]}
+    assert set(found[2]) == {
+        *[seen(k, "type mismatch") for k in ("s", "n", "i", "b", "o", "l")], missing["any"], missing["plain"],
+    }
+    assert {f for f in found[3] if f[0].startswith("o")} == {
+        seen("o"), ("o.x", "string", "type mismatch", "object.string", 2),
+        ("o.p", "object", "existing", "object.object", 2),
+        ("o.p.q", "null", "existing", "object.object.null", 3),
+    }
+    assert {f for f in found[4] if f[0].startswith("l")} == {
+        seen("l"),
+        ("l[0].k", "integer", "existing", "array.object.integer", 2),
+        ("l[1].k", "integer", "type mismatch", "array.object.integer", 2),
+        ("l[2].k", "integer", "missing", "array.object.integer", 2),
+    }
+
+
+def test_json_audit_finds_each_key_once_per_parent(spark):
+    rng = random.Random(10)
+    value = {
+        "s": lambda: "t", "n": lambda: 1.5, "i": lambda: 7, "b": lambda: False, "any": lambda: [1],
+        "o": lambda: {"x": "y"}, "plain": lambda: ["a", "b"],
+        "l": lambda: [{"k": 1}] * rng.randint(0, 3),
+    }
+    records = [{k: make() for k, make in value.items() if rng.random() < 0.6} for _ in range(100)]
+    for i, rows in audited(spark, records).items():
+        record, top = records[i], [r for r in rows if r[4] == 1]
+        assert sorted(r[0] for r in top) == sorted(value)
+        assert {r[0] for r in top if r[2] == "existing"} == set(record)
+        assert not any(r[2] == "type mismatch" for r in rows)
+        below = [r[0] for r in rows if r[4] == 2]
+        expected = [f"l[{k}].k" for k in range(len(record.get("l", [])))]
+        assert sorted(below) == sorted(expected + (["o.x", "o.p"] if "o" in record else []))
 
 
 def test_json_completion():
