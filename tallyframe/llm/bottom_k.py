@@ -213,14 +213,24 @@ def _pairs_by_difference(differences: DataFrame, percent: int) -> DataFrame:
     whole = 100 + percent
     base = (100 - percent) * F.col("size")
     open_hubs = differences.where("excess > 0").select("a").distinct()
+    # sets linked to one hub are in one group, whatever another hub says; a set has few hubs
+    known = (
+        differences.where("excess <= 0")
+        .groupBy("b")
+        .agg(F.collect_set("a").alias("hubs"))
+        .withColumnRenamed("b", "id")
+    )
+    rarest = _rarest(
+        differences.join(open_hubs, "a", "left_semi"),
+        {
+            # with any partner, with one not linked to the hub
+            "any": F.ceil(F.col("excess") / whole),
+            "open": F.ceil((F.col("excess") + 1 + base) / whole),
+        },
+    )
     listed = materialise(
-        _rarest(
-            differences.join(open_hubs, "a", "left_semi"),
-            {
-                # with any partner, with one not linked to the hub
-                "any": F.ceil(F.col("excess") / whole),
-                "open": F.ceil((F.col("excess") + 1 + base) / whole),
-            },
+        rarest.join(known, F.col("b") == F.col("id"), "left").withColumn(
+            "hubs", F.coalesce("hubs", F.array().cast("array<bigint>"))
         )
     )
 
@@ -233,17 +243,20 @@ def _pairs_by_difference(differences: DataFrame, percent: int) -> DataFrame:
             .where(F.col("room") > 0)
             .select(
                 "a", "size", "shared", F.col("b").alias(f"id_{side}"),
+                F.col("hubs").alias(f"hubs_{side}"),
                 F.col("excess").alias(f"excess_{side}"),
                 F.posexplode(F.slice("shared", F.lit(1), F.col("room"))).alias("place", "entry"),
             )
             .select(
                 "a", "size", F.col("entry.element").alias("element"), f"id_{side}",
-                f"excess_{side}", (F.size("shared") - F.col("place")).alias(f"left_{side}"),
+                f"excess_{side}", f"hubs_{side}",
+                (F.size("shared") - F.col("place")).alias(f"left_{side}"),
             )
         )
 
     # At their first common element, as many elements must be left as the two have to share.
     enough = F.least("left_x", "left_y") * whole >= F.col("excess_x") + F.col("excess_y") + base
+    enough = enough & ~F.arrays_overlap("hubs_x", "hubs_y")
     on = ["a", "size", "element"]
     both_open = entries("open", False, "x").join(entries("open", False, "y"), on)
     one_open = entries("any", False, "x").join(entries("open", True, "y"), on)
@@ -303,7 +316,11 @@ def near_duplicates(
         F.count(F.lit(1)).alias("members"),
         F.min(F.struct(-F.col("room"), "n", "id")).alias("hub"),
     )
-    met = entries.join(lists.where(F.col("members") > 1), ["value", "class"])
+    met = materialise(
+        entries.join(lists.where(F.col("members") > 1), ["value", "class"]).select(
+            "value", "class", "id", "n", "members", F.col("hub.id").alias("hub")
+        )
+    )
     short = met.where(F.col("members") <= SHORT_LIST).select("value", "class", "id", "n")
     pairs = (
         short.withColumnsRenamed({"id": "a", "n": "n_a"})
@@ -314,8 +331,8 @@ def near_duplicates(
     )
     likely = materialise(_estimated(pairs, sets, percent, k))
     stars = (
-        met.where((F.col("members") > SHORT_LIST) & (F.col("id") != F.col("hub.id")))
-        .select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+        met.where((F.col("members") > SHORT_LIST) & (F.col("id") != F.col("hub")))
+        .select(F.col("hub").alias("a"), F.col("id").alias("b"))
         .distinct()
     )
     differences = materialise(_differences(stars, shingles, percent))
