@@ -102,7 +102,8 @@ def evaluate_relabeling(
     """Compare re-annotations with the original labels.
 
     Rows evaluated before are taken over as they are unless ``redo``. Otherwise a mismatch
-    takes the latest review decision (``reviews(id, decision, ts)``, ``y`` or ``n``).
+    takes the latest review decision (``reviews(id, decision, ts)``, ``y`` or ``n``); of two at the
+    same time ``y`` holds, and one without a time counts as the earliest.
     """
     looked_up = relabeled.join(
         items.select("id", F.col("label").alias("original_label"), "question"), "id", "left"
@@ -115,7 +116,7 @@ def evaluate_relabeling(
         latest = (
             reviews.where(F.lower("decision").isin("y", "n"))
             .groupBy("id")
-            .agg(F.max_by(F.lower("decision"), "ts").alias("decision"))
+            .agg(F.max(F.struct("ts", F.lower("decision").alias("decision")))["decision"].alias("decision"))
         )
         reviewed = ~F.col("matches_original") & F.col("decision").isNotNull()
         rows = (

@@ -9,7 +9,7 @@ from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomFore
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +112,6 @@ def train_perceptron(
     rounds: int = 3,
     tries: int = 10,
     max_iter: int = 100,
-    parallelism: int = 4,
     seed: int = 42,
 ) -> tuple[PipelineModel, list[tuple[int, float]]]:
     """Sampled layer sizes, chosen by hold-out negative F1, then refitted on all rows."""
@@ -132,15 +131,14 @@ def train_perceptron(
             + [2]
             for _ in range(tries)
         ]
-        search = TrainValidationSplit(
-            estimator=Pipeline(stages=stages),
-            estimatorParamMaps=ParamGridBuilder().addGrid(network.layers, shapes).build(),
-            evaluator=NegativeF1(),
-            trainRatio=0.8,
-            parallelism=parallelism,
-            seed=seed + r,
-        )
-        metrics = search.fit(matrix).validationMetrics
+        # split by a hash of the id, so that it does not depend on how the rows are partitioned
+        parts = hash_split(matrix, 20, seed=seed + r)
+        train = parts.where("part = 'train'")
+        held_out = parts.where("part = 'validation'")
+        grid = [{network.layers: shape} for shape in shapes]
+        metrics = [0.0] * len(shapes)
+        for place, model in Pipeline(stages=stages).fitMultiple(train, grid):
+            metrics[place] = NegativeF1().evaluate(model.transform(held_out))
         top = max(range(len(shapes)), key=metrics.__getitem__)
         runs.append((r, metrics[top]))
         if best is None or metrics[top] > best[0]:

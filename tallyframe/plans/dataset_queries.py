@@ -15,7 +15,7 @@ from tallyframe.plans.catalog import (
     rounded,
 )
 from tallyframe.plans.curve_queries import CURVE_SQL
-from tallyframe.session import ensure_checkpoint_dir
+from tallyframe.session import ensure_checkpoint_dir, materialise
 from tallyframe.sources import tables
 from tallyframe.sources.registry import Model
 
@@ -216,17 +216,12 @@ SMALL_FOREST = {
 def rf_score(t):
     """Random forest over the verdict features: trained on labelled items, scoring all."""
     names, matrix = _matrix(t, "precision_recall")
-    matrix = matrix.persist()
-    try:
-        labelled = matrix.join(
-            t.truth.select("id", verdict_number(F.col("matches_original")).alias("y")), "id"
-        )
-        model, _runs = learned.train_forest(
-            labelled, names, rounds=1, tries=2, space=SMALL_FOREST
-        )
-    finally:
-        matrix.unpersist()
-    return learned.score(model, _matrix(t, "precision_recall")[1])
+    matrix = materialise(matrix)  # the texts are parsed once for training and scoring
+    labelled = matrix.join(
+        t.truth.select("id", verdict_number(F.col("matches_original")).alias("y")), "id"
+    )
+    model, _runs = learned.train_forest(labelled, names, rounds=1, tries=2, space=SMALL_FOREST)
+    return learned.score(model, matrix)
 
 
 def _vectors(t):
@@ -246,6 +241,50 @@ def mlp_score(t):
     return learned.score(model, matrix)
 
 
+def _facts(scored, truth):
+    """What any scoring must hold to: a row per id, scores within 0 and 1, better than chance."""
+    chance = sampling.random_baseline(truth).select(
+        "y", F.col("baseline_random").cast("double").alias("score")
+    )
+    judged = scored.join(truth, "id")
+    reports = (learned.training_report(judged.select("y", "score")), learned.training_report(chance))
+    better = reports[0].select(F.col("negative_f1").alias("own")).join(
+        reports[1].select(F.col("negative_f1").alias("other")), F.lit(True)
+    )
+    rows = scored.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("id").alias("n_ids"),
+        F.min((F.col("score") >= 0) & (F.col("score") <= 1)).alias("within"),
+    )
+    return rows.join(better, F.lit(True)).select(
+        "n_rows", "n_ids", "within", (F.col("own") > F.col("other")).alias("above_chance")
+    )
+
+
+@query(
+    """SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_ids, TRUE AS within, TRUE AS above_chance
+    FROM embeddings"""
+)
+def mlp_facts(t):
+    """The perceptron's scores: one per vector, probabilities, better than a random baseline."""
+    return _facts(mlp_score(t), _vectors(t)[1].select("id", "y"))
+
+
+@query(
+    """SELECT count(*) AS n, count(*) AS n_same FROM embeddings"""
+)
+def stored_model_scores(t):
+    """A perceptron stored and loaded again gives every vector the same score."""
+    names, matrix = _vectors(t)
+    model, _runs = learned.train_perceptron(matrix, names, rounds=1, tries=1, max_iter=10)
+    path = learned.model_path(_scratch(t), "mlp", "all", "main", "bool", "r2")
+    learned.save_model(model, path)
+    again = learned.score(learned.load_model(path), matrix).withColumnRenamed("score", "again")
+    return learned.score(model, matrix).join(again, "id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") == F.col("again")).alias("n_same")
+    )
+
+
 @query()
 def score_report(t):
     """A perceptron stored, loaded again, and reported on its training rows."""

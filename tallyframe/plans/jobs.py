@@ -270,9 +270,21 @@ def train_classifier(
     learned.save_model(
         model, _classifier_path(ws, kind, model_group, prompt_group, eval_method, run_id)
     )
+    rows = ws.spark.createDataFrame(
+        [(kind, f"{model_group}_{prompt_group}_{eval_method}", r, f1) for r, f1 in runs],
+        "kind string, features string, run int, score double",
+    )
+    ws.store("training_runs", rows.withColumn("run_id", F.lit(run_id)), dataset, "run_id")
     return runs
 
 
+def training_summary(ws: Workspace, dataset: str) -> DataFrame:
+    """Best round and mean hold-out F1 of every stored training run."""
+    return metrics.best_and_mean_run(
+        ws.read("training_runs", dataset), by=["kind", "features", "run_id"]
+    )
+
+
 def score_with_classifier(
     ws: Workspace, dataset: str, kind: str, model_group: str, prompt_group: str,
     eval_method: str, run_id: str,
@@ -372,10 +384,16 @@ def correctness(ws: Workspace, dataset: str | None = None) -> DataFrame:
 def import_relabeled(
     ws: Workspace, dataset: str, folder: str, annotator: str | Sequence[str] | None = None
 ) -> None:
-    """Annotation folders to the re-annotated table, under the annotator's name."""
+    """Annotation folders to the re-annotated table, under the annotator's name.
+
+    With a list the rows stand under the joined names; ``chosen_annotator`` says whose file it was.
+    """
     files = choose_annotator(read_annotation_files(ws.spark, folder), annotator)
     name = annotator if isinstance(annotator, str) else "-".join(annotator or ["curated"])
-    rows = annotations.import_annotations(files).withColumn("annotator", F.lit(name))
+    chosen = files.select("id", F.col("annotator").alias("chosen_annotator"))
+    rows = annotations.import_annotations(files).join(chosen, "id").withColumn(
+        "annotator", F.lit(name)
+    )
     ws.store("relabeled", rows, dataset, "annotator")
 
 

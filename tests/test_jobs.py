@@ -99,6 +99,8 @@ def test_learned_scores(ws):
         ws, "train", "random_forest", "all", "main", "bool", "r1", tries=1, folds=2, space=space
     )
     assert len(runs) == 1
+    summary = jobs.training_summary(ws, "train").first()
+    assert (summary.kind, summary.best_run, summary.best_score) == ("random_forest", runs[0][0], runs[0][1])
     jobs.score_with_classifier(ws, "train", "random_forest", "all", "main", "bool", "r1")
     name = "random_forest_all_main_bool_r1"
     assert ws.read("scores", "train").where(F.col("score_name") == name).count() == 60
