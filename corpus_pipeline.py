@@ -18,7 +18,7 @@ from tallyframe.session import ensure_checkpoint_dir
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, learned from the labelled ones, does not find toxic."""
-    labelled = toxicity.labelled_documents(docs, table(spark, sf_dir, "labels"))
+    labelled = toxicity.sample_labelled(docs, table(spark, sf_dir, "labels"))
     return toxicity.clean_documents(docs, toxicity.learn(labelled))
 
 

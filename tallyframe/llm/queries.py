@@ -53,7 +53,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 @query("op1_toxicity")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    labelled = toxicity.labelled_documents(documents, table(spark, sf_dir, "labels"))
+    labelled = toxicity.sample_labelled(documents, table(spark, sf_dir, "labels"))
     return toxicity.grade_documents(documents, toxicity.learn(labelled))
 
 

@@ -5,9 +5,9 @@ logarithm of one plus its count. One weight vector is shared by all grades: the
 document's grade is above j is sigmoid(w x - t_j), with ordered thresholds t_0 < t_1 < ...; the sum
 of these probabilities is the expected severity.
 
-Which features count is decided over all labelled documents: those found in a share of the
-documents of grade 1 and above, and there significantly more or less often than in grade 0. Only
-the fit itself uses a bounded sample of the labelled rows.
+Model and vocabulary are learned from a bounded sample of the labelled rows: features found in a
+share of the sampled documents of grade 1 and above, and there significantly more or less often than
+in grade 0, then the fit itself. Every document is graded from its whole text.
 """
 
 from dataclasses import dataclass
@@ -233,19 +233,20 @@ def learn(
 ) -> OrdinalModel:
     """Learn from (doc_id, text, grade) rows; null grades are left out.
 
-    ``max_rows`` bounds the expected number of rows the fit takes, chosen by a hash of doc_id;
-    vocabulary and its statistics cover all rows. If the grades are a 0/1 flag and ``flag_grades``
-    is set, flagged documents are graded further: 1 below, 2 from the median number of clear
-    features (log odds over 2) among the flagged documents of the sample. A rate per word would not
-    do: the scores add up features, so length would only blur the grades.
+    The fit takes at most ``max_rows`` rows, those of the smallest hash of doc_id; see
+    ``sample_labelled`` for a bounded sample to begin with. If the grades are a 0/1 flag and
+    ``flag_grades`` is set, flagged documents are graded further: 1 below, 2 from the median number
+    of clear features (log odds over 2) among the flagged documents. A rate per word would not do:
+    the scores add up features, so length would only blur the grades.
     """
     labelled = labelled.where(F.col("grade").isNotNull()).select("doc_id", "text", "grade")
     vocabulary, odds = choose_vocabulary(labelled, max_features)
-    total = labelled.count()
-    buckets = 1 << 30
-    keep = int(buckets * min(1.0, max_rows / max(total, 1)))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(buckets)) < keep)
-    rows = sparse_rows(chosen, vocabulary, ["doc_id", "grade"]).orderBy("doc_id").collect()
+    rows = (
+        sparse_rows(labelled, vocabulary, ["doc_id", "grade"])
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(max_rows)
+        .collect()
+    )
     grades = np.array([r.grade for r in rows], np.int64)
     if flag_grades and len(grades) and grades.max() == 1:
         marks = np.array(
@@ -311,9 +312,17 @@ def clean_documents(documents: DataFrame, model: OrdinalModel, limit: float = 0.
     return documents.mapInArrow(keep, documents.schema)
 
 
-def labelled_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with a toxic flag as grade, joined once and written out for the passes over them."""
-    flags = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(
-        F.max("toxic").cast("int").alias("grade")
+def sample_labelled(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
+    """(doc_id, text, grade) of at most ``max_rows`` labelled ids, those of the smallest hash.
+
+    The grade is the label's toxic flag (the greatest of several). The ids are bounded, so they are
+    broadcast and no text is shuffled; the sampled texts are written out for the passes over them.
+    """
+    flags = (
+        labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.max("toxic").cast("int").alias("grade"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(max_rows)
     )
-    return materialise(documents.select("doc_id", "text").join(flags, "doc_id"))
+    return materialise(documents.select("doc_id", "text").join(F.broadcast(flags), "doc_id"))

@@ -81,7 +81,7 @@ def test_gradient_is_that_of_the_likelihood():
 def test_severity_from_flags(spark):
     df = spark.createDataFrame([(i, t, int(g > 0)) for i, t, g in graded_texts()], "doc_id bigint, text string, toxic int")
     labels = df.select("doc_id", "toxic").unionByName(df.limit(0).select("doc_id", "toxic"))
-    labelled = toxicity.labelled_documents(df.select("doc_id", "text"), labels)
+    labelled = toxicity.sample_labelled(df.select("doc_id", "text"), labels)
     model = toxicity.learn(labelled)
     out = toxicity.grade_documents(df, model).join(labels.withColumnRenamed("toxic", "truth"), "doc_id").collect()
     assert np.mean([r.toxic == (r.truth == 1) for r in out]) > 0.98
