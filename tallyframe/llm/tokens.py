@@ -2,59 +2,18 @@
 
 import array
 import base64
-import re
 from collections.abc import Callable
 
 
-class _Memo(dict):
-    """Encoded bytes by chunk; emptied when full, so that memory stays bounded."""
-
-    def __init__(self, encode, limit):
-        super().__init__()
-        self.encode, self.limit = encode, limit
-
-    def __missing__(self, chunk):
-        ids = self.encode(" " + chunk)
-        if len(chunk) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-
-def byte_encoder(ranks_path: str, pattern: str, memo: int = 200_000) -> Callable[[str], bytes]:
+def byte_encoder(ranks_path: str, pattern: str) -> Callable[[str], bytes]:
     """Function from text to its ids as little-endian unsigned 32-bit integers.
 
-    ``ranks_path`` names a file of base64 tokens and ranks, ``pattern`` the pre-token pattern. No
-    pre-token of the pattern reaches over a single space between two visible characters, so such
-    texts are encoded chunk by chunk with a memo of frequent chunks; any other white space sends
-    the text to the encoder as a whole. The ids are the same either way. Strings that look like
-    special tokens are ordinary text.
+    ``ranks_path`` names a file of base64 tokens and ranks, ``pattern`` the pre-token pattern.
+    Strings that look like special tokens are ordinary text.
     """
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
-    plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    other_space = re.compile(r"[^\S \n]")
-
-    def encode(text: str) -> bytes:
-        return array.array("I", plain.encode_ordinary(text)).tobytes()
-
-    known = _Memo(encode, memo)
-
-    def encode_text(text: str) -> bytes:
-        if (
-            not text
-            or text[0] in " \n"
-            or text[-1] in " \n"
-            or "  " in text
-            or " \n" in text
-            or "\n " in text
-            or other_space.search(text)
-        ):
-            return encode(text) if text else b""
-        head, *rest = text.split(" ")
-        return encode(head) + b"".join(map(known.__getitem__, rest))
-
-    return encode_text
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: array.array("I", encoding.encode_ordinary(text)).tobytes()

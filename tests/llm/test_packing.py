@@ -14,7 +14,7 @@ from tallyframe.llm.tokens import byte_encoder
 
 PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 PLAIN.encode_special_tokens = True
-ENCODE = byte_encoder(*vocabulary("byte_bpe_50k"), memo=50)
+ENCODE = byte_encoder(*vocabulary("byte_bpe_50k"))
 
 
 def plain_ids(text):
