@@ -109,10 +109,13 @@ def learn(
     texts = texts.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     found, n = _document_frequency(texts, places)
     idf = np.log((n + 1) / (found + 1)) + 1
-    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("rows_"))
+    # One row per language comes to the driver; only the sampled texts are moved.
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     buckets = 1 << 30
     place = F.pmod(F.xxhash64("doc_id", F.lit("clusters")), F.lit(buckets))
-    sample = texts.join(sizes, "lang").where(place / buckets * F.col("rows_") < per_language)
+    kept = {r.lang: int(buckets * min(1.0, per_language / r.n)) for r in sizes} or {"und": 0}
+    bounds = F.create_map(*[F.lit(x) for pair in kept.items() for x in pair])
+    sample = texts.where(place < F.try_element_at(bounds, F.col("lang")))
     schema = "lang string, centroid array<float>, low array<float>"
 
     def of_language(key, rows):
