@@ -109,9 +109,21 @@ def replace_column(
     signed = before.withColumn("sign", F.lit(1)).unionByName(after.withColumn("sign", F.lit(-1)))
     if signed.groupBy(*keys).agg(F.sum("sign").alias("sign")).where("sign != 0").limit(1).count():
         raise ValueError(f"the new column covers other {ids} than the stored one")
-    return upsert(existing, new, keys)
+    # whole columns are replaced, so the few names of the touched ones tell old rows from kept ones
+    kept = existing.join(touched, list(partition), "left_anti").select(existing.columns)
+    return kept.unionByName(new)
 
 
-def write_annotation_texts(documents: DataFrame, path: str, ordinal: str = "row") -> None:
-    """One text per question, under ``id=<row>_<question>``."""
-    annotation_texts(documents, ordinal).write.partitionBy("id").option("lineSep", "\n").text(path)
+def write_annotation_texts(
+    documents: DataFrame, path: str, ordinal: str = "row", single_files: bool = False
+) -> None:
+    """One text per question as a table (id, value).
+
+    ``single_files`` writes a folder ``id=<row>_<question>`` for each text instead, as annotation
+    tools read them; it is meant for a small set.
+    """
+    texts = annotation_texts(documents, ordinal)
+    if single_files:
+        texts.write.partitionBy("id").option("lineSep", "\n").text(path)
+    else:
+        texts.write.parquet(path)

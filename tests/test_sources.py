@@ -96,7 +96,10 @@ def test_source_documents_to_items(spark, source_file):
 def test_annotation_text_files(spark, source_file, tmp_path):
     documents = tables.read_source_documents(spark, source_file).withColumn("row", F.lit(3))
     target = tmp_path / "texts"
-    tables.write_annotation_texts(documents, str(target))
+    tables.write_annotation_texts(documents, str(tmp_path / "table"))
+    rows = {r.id: r[1] for r in spark.read.parquet(str(tmp_path / "table")).collect()}
+    assert set(rows) == {"3_0", "3_1", "3_2"} and rows["3_0"].startswith("P one .\nP two\n")
+    tables.write_annotation_texts(documents, str(target), single_files=True)
     files = {p.parent.name: p.read_text() for p in target.glob("id=*/*.txt")}
     assert files["id=3_0"].rstrip("\n") == "P one .\nP two\n" + "=" * 50 + "\n\n\n.Who ?"
     assert set(files) == {"id=3_0", "id=3_1", "id=3_2"}
