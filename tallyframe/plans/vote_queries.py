@@ -115,6 +115,33 @@ def parse_answers(t):
     return votes.parse_outputs(t.outputs, ANSWER_PROMPTS).drop("family")
 
 
+# The seven forms of an answer tag, then texts that hold no answer.
+ANSWER_FORMS = [
+    "<answer>{}</answer>", "(answer>{}<\\/answer>", "(answer){}(answer)", "(answer){}<|eot_id|>",
+    "(Answer){}<|eot_id|>", "(answer>{}<|eot_id|>", "<Solution><Answer>{}</Solution>",
+    "<answer>Unknown</answer>", "<answer>None of {}</answer>",
+    "<answer>No Information provided</answer>", "(answer)Not specified here<|eot_id|>", "{}",
+]
+
+
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 12 < 7 THEN lang || ' ; ' || source END AS answer
+    FROM documents"""
+)
+def parse_answer_forms(t):
+    """Every document's text ends in one of the forms of an answer tag, or in none."""
+    said = F.concat_ws(" ; ", "lang", "source")
+    output = F.lit(None).cast("string")
+    for k, form in enumerate(ANSWER_FORMS):
+        before, _, after = form.partition("{}")
+        parts = [F.lit(before), said, F.lit(after)] if "{}" in form else [F.lit(form)]
+        output = F.when(F.col("doc_id") % len(ANSWER_FORMS) == k, F.concat(*parts)).otherwise(output)
+    return t["documents"].select(
+        F.col("doc_id").cast("string").alias("id"),
+        parsing.parse_answer(F.concat("text", F.lit("\n"), output)).alias("answer"),
+    )
+
+
 @query("SELECT id, prompt, model, answer FROM fx_yes_no")
 def parse_yes_no(t):
     return votes.parse_outputs(t.outputs, CHECK_PROMPTS).drop("family")
