@@ -234,14 +234,15 @@ def _pairs_by_difference(differences: DataFrame, percent: int) -> DataFrame:
         )
     )
 
-    def entries(least: str, linked: bool, side: str) -> DataFrame:
-        """Listed elements; ``left`` counts those from this one on."""
+    def roomy(least: str, linked: bool) -> DataFrame:
         room = (F.size("shared") - F.greatest(F.col(least), F.lit(1)) + 1).cast("int")
+        rows = listed.where(F.col("excess") <= 0 if linked else F.col("excess") > 0)
+        return rows.withColumn("room", room).where(F.col("room") > 0)
+
+    def entries(rows: DataFrame, side: str) -> DataFrame:
+        """Listed elements; ``left`` counts those from this one on."""
         return (
-            listed.where(F.col("excess") <= 0 if linked else F.col("excess") > 0)
-            .withColumn("room", room)
-            .where(F.col("room") > 0)
-            .select(
+            rows.select(
                 "a", "size", "shared", F.col("b").alias(f"id_{side}"),
                 F.col("hubs").alias(f"hubs_{side}"),
                 F.col("excess").alias(f"excess_{side}"),
@@ -258,8 +259,11 @@ def _pairs_by_difference(differences: DataFrame, percent: int) -> DataFrame:
     enough = F.least("left_x", "left_y") * whole >= F.col("excess_x") + F.col("excess_y") + base
     enough = enough & ~F.arrays_overlap("hubs_x", "hubs_y")
     on = ["a", "size", "element"]
-    both_open = entries("open", False, "x").join(entries("open", False, "y"), on)
-    one_open = entries("any", False, "x").join(entries("open", True, "y"), on)
+    both_open = entries(roomy("open", False), "x").join(entries(roomy("open", False), "y"), on)
+    # a set not linked to its hub can meet linked ones only where some of them are listed
+    linked = roomy("open", True)
+    any_partner = roomy("any", False).join(linked.select("a").distinct(), "a", "left_semi")
+    one_open = entries(any_partner, "x").join(entries(linked, "y"), on)
     return (
         both_open.where((F.col("id_x") < F.col("id_y")) & enough)
         .select("id_x", "id_y")
