@@ -57,6 +57,37 @@ def test_repeats_within_a_text_go_after_the_first(spark):
     assert row.start > text.index(part[10]) and row.n_words >= 34
 
 
+def test_lines_and_paragraphs_go_whatever_their_size(spark):
+    rng = random.Random(9)
+    own = [" ".join(words(rng, 40, 10**9)) for _ in range(12)]
+    lines = [" ".join(words(rng, n, 10**9)) for n in (2, 10, 19, 30)]
+    poem = "Rose\nis\n" + lines[1]
+    texts = {
+        1: "\n".join([own[0], *lines, own[1]]),
+        2: "\n".join([own[2], lines[0], own[3], lines[1].upper() + ".", lines[2], own[4], "- " + lines[3]]),
+        3: f"{own[5]}\n\n{poem}\n \n{own[6]}",
+        4: f"{own[7]}\n--\n{poem}",
+        5: "Short", 6: " short!\n", 7: "Short\n" + own[8], 8: lines[1], 9: f"{own[9]} {lines[1]} {own[10]}",
+        10: f"{own[11]}\n{lines[2]}\n{lines[2]}",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = sorted(passages.repeated_passages(df).collect())
+    cuts = [(r.doc_id, texts[r.doc_id][r.start : r.end], r.n_words, r.kept_doc_id) for r in found]
+    assert cuts == [
+        (2, lines[0], 2, 1),
+        (2, f"{lines[1].upper()}.\n{lines[2]}", 29, 1),
+        (2, lines[3], 30, 1),
+        (3, lines[1], 10, 1),
+        (4, poem, 12, 3),
+        (6, "short", 1, 5),
+        (8, lines[1], 10, 1),
+        (10, f"{lines[2]}\n{lines[2]}", 38, 1),
+    ]
+    left = {r.doc_id: r.text for r in passages.drop_passages(df).collect()}
+    assert left[6] == " !\n" and left[8] == "" and left[4] == own[7] + "\n--\n"
+    assert all(left[i] == texts[i] for i in (1, 5, 7, 9))
+
+
 def test_benchmark_with_changed_words(spark):
     rng = random.Random(8)
     items = [words(rng, n) for n in (15, 15, 24, 40, 59)] + [words(rng, 8), words(rng, 4), []]
