@@ -5,12 +5,14 @@ of characters and of punctuation marks per node are taken; both are smoothed ove
 nodes, so that a short node between long ones is lifted, fused into one value per path, lowered by
 the share of link text, and compared with the page's strongest path. Parts that are never main text
 by their tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, comments) are left out before; a page that marks its article or main part has content there
-only, and all that is left of it is kept.
+styles, comments) are left out before. A page that marks its article or main part has content there
+only: the ratios choose among the paths of that part, its headings go or stay with what they head,
+and lists, tables and quotations that stand beside chosen text stay with it unless they are links.
 """
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,6 +38,10 @@ BLOCKS_END_P = set(
     "header hr main menu nav ol pre section table ul".split()
 )
 SCOPES = set("article main section div td th table ul ol dl body html blockquote aside".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+BESIDE = set(  # parts of running text that may be short
+    "ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption".split()
+)
 LEFT_OUT_ROLES = set("navigation banner contentinfo complementary search form dialog alert".split())
 LEFT_OUT_WORDS = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie "
@@ -46,14 +52,31 @@ LEFT_OUT_WORDS = set(
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？\"'()«»“”‘’-]")
 
 
-def _left_out(tag: str, attrs: dict[str, str | None]) -> bool:
+class Node(NamedTuple):
+    """Text of a page: its path, block number, in a link, in an article or main part, in a heading,
+    and the numbers of three elements: the list, table or quotation it is in (0 if none), its own,
+    and the one around it that is no paragraph, heading, list, table or quotation."""
+
+    path: str
+    block: int
+    text: str
+    link: bool
+    landmark: bool
+    heading: bool
+    beside: int
+    element: int
+    box: int
+
+
+def _left_out(tag: str, attrs: dict[str, str | None], named_parts: bool) -> bool:
+    """``named_parts``: whether the class rule holds for an article or main element too."""
     if tag in LEFT_OUT or "hidden" in attrs or (attrs.get("aria-hidden") or "") == "true":
         return True
     if (attrs.get("role") or "").lower() in LEFT_OUT_ROLES:
         return True
     if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
         return True
-    if tag in ("body", "html", "article", "main"):
+    if tag in ("body", "html") or (tag in ("article", "main") and not named_parts):
         return False
     named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
     named = re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()
@@ -61,13 +84,16 @@ def _left_out(tag: str, attrs: dict[str, str | None]) -> bool:
 
 
 class _Nodes(HTMLParser):
-    """Text nodes of a page: path, block number, text, in a link, in an article or main part."""
+    """The ``Node`` rows of a page."""
 
-    def __init__(self):
+    def __init__(self, nested_rule: bool):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, bool, bool]] = []  # tag, name, left out, landmark
+        self.nested_rule = nested_rule
+        # tag, name, left out, landmark, number
+        self.open: list[tuple[str, str, bool, bool, int]] = []
         self.block = 0
-        self.nodes: list[tuple[str, int, str, bool, bool]] = []
+        self.elements = 0
+        self.nodes: list[Node] = []
 
     def _pop_to(self, place: int) -> None:
         if any(e[0] not in INLINE for e in self.open[place:]):
@@ -93,9 +119,12 @@ class _Nodes(HTMLParser):
         if tag not in INLINE:
             self.block += 1
         name = ".".join([tag, *sorted((attrs.get("class") or "").split())])
-        outer = self.open[-1] if self.open else (None, None, False, False)
+        outer = self.open[-1] if self.open else (None, None, False, False, 0)
         landmark = tag in ("article", "main") or (attrs.get("role") or "") in ("main", "article")
-        self.open.append((tag, name, outer[2] or _left_out(tag, attrs), outer[3] or landmark))
+        # an article within an article or main part may be a reader's comment or a notice
+        left_out = outer[2] or _left_out(tag, attrs, outer[3] and self.nested_rule)
+        self.elements += 1
+        self.open.append((tag, name, left_out, outer[3] or landmark, self.elements))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash closes no element but the void ones
@@ -109,13 +138,35 @@ class _Nodes(HTMLParser):
     def handle_data(self, data):
         if self.open and self.open[-1][2]:
             return
-        path = "/".join(name for tag, name, _, _ in self.open if tag not in INLINE)
-        link = any(tag == "a" for tag, _, _, _ in self.open)
-        self.nodes.append((path, self.block, data, link, bool(self.open) and self.open[-1][3]))
-
-
-def text_nodes(html: str) -> list[tuple[str, int, str, bool, bool]]:
-    parser = _Nodes()
+        blocks = [e for e in self.open if e[0] not in INLINE]
+        heading, beside, box = False, 0, 0
+        for tag, _, _, _, number in reversed(blocks):
+            if tag in HEADINGS:
+                heading = True
+            elif tag in BESIDE:
+                beside = number
+            elif tag != "p":
+                box = number
+                break
+        self.nodes.append(
+            Node(
+                "/".join(e[1] for e in blocks),
+                self.block,
+                data,
+                any(e[0] == "a" for e in self.open),
+                bool(self.open) and self.open[-1][3],
+                heading,
+                beside,
+                blocks[-1][4] if blocks else 0,
+                box,
+            )
+        )
+
+
+def text_nodes(html: str, nested_rule: bool = True) -> list[Node]:
+    """Text of a page but for the parts left out. Without ``nested_rule`` the class rule spares all
+    article and main elements, otherwise only those that are not within another one."""
+    parser = _Nodes(nested_rule)
     parser.feed(html)
     parser.close()
     return parser.nodes
@@ -129,12 +180,12 @@ def _smooth(values: np.ndarray) -> np.ndarray:
 
 def content_paths(nodes: list, threshold: float) -> set[str]:
     """Paths whose fused ratio reaches the share ``threshold`` of the strongest path's."""
-    names = sorted({n[0] for n in nodes})
+    names = sorted({n.path for n in nodes})
     number = {name: i for i, name in enumerate(names)}
-    path = np.array([number[n[0]] for n in nodes])
-    chars = np.array([len(" ".join(n[2].split())) for n in nodes], float)
-    marks = np.array([len(PUNCTUATION.findall(n[2])) for n in nodes], float)
-    linked = np.array([n[3] for n in nodes], float)
+    path = np.array([number[n.path] for n in nodes])
+    chars = np.array([len(" ".join(n.text.split())) for n in nodes], float)
+    marks = np.array([len(PUNCTUATION.findall(n.text)) for n in nodes], float)
+    linked = np.array([n.link for n in nodes], float)
 
     def per_path(values, weights):
         return np.bincount(path, values, len(names)) / np.maximum(np.bincount(path, weights, len(names)), 1e-9)
@@ -146,20 +197,51 @@ def content_paths(nodes: list, threshold: float) -> set[str]:
     return {name for name, value in zip(names, fused) if value >= threshold * fused.max() and value > 0}
 
 
+def marked_elements(nodes: list[Node], paths: set[str]) -> set[int]:
+    """Elements kept of an article or main part: those on the chosen paths, lists, tables and
+    quotations beside them if under half of their text is links, and the headings of what is kept.
+    A heading that nothing follows is judged by its path."""
+    chosen = {n.element for n in nodes if n.path in paths and not n.heading}
+    boxes = {n.box for n in nodes if n.element in chosen and not n.beside}
+    chars: dict[int, list[int]] = {}
+    for n in nodes:
+        if n.beside and n.box in boxes:
+            chars.setdefault(n.beside, [0, 0])[n.link] += len(n.text.strip())
+    plain = {number for number, (other, linked) in chars.items() if linked < other}
+    kept = chosen | {n.element for n in nodes if n.beside in plain}
+    after = None  # whether the text that follows is kept
+    for n in reversed(nodes):
+        if not n.heading:
+            after = n.element in kept
+        elif after or (after is None and n.path in paths):
+            kept.add(n.element)
+    return kept
+
+
 def main_text(html: str | None, threshold: float = 0.1) -> str:
     """The main text of a page, its blocks joined by one space; empty if there is none."""
+
+    def marked(nodes):
+        return any(n.landmark and n.text.strip() for n in nodes)
+
     nodes = text_nodes(html or "")
-    visible = [n for n in nodes if n[2].strip()]
-    if any(n[4] for n in visible):
-        kept = [n for n in nodes if n[4]]
-    elif visible:
-        paths = content_paths(visible, threshold)
-        kept = [n for n in nodes if n[0] in paths]
+    if not marked(nodes):
+        # an article by a name of the list may be all that a main part holds
+        every = text_nodes(html or "", nested_rule=False)
+        nodes = every if marked(every) else nodes
+    in_part = marked(nodes)
+    if in_part:
+        nodes = [n for n in nodes if n.landmark]
+    visible = [n for n in nodes if n.text.strip()]
+    paths = content_paths(visible, threshold) if visible else set()
+    if in_part:
+        elements = marked_elements(visible, paths)
+        kept = [n for n in nodes if n.element in elements]
     else:
-        kept = []
+        kept = [n for n in nodes if n.path in paths]
     blocks: dict[int, list[str]] = {}
-    for _, block, text, _, _ in kept:
-        blocks.setdefault(block, []).append(text)
+    for n in kept:
+        blocks.setdefault(n.block, []).append(n.text)
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return " ".join(text for text in joined if text)
 

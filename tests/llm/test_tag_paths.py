@@ -37,6 +37,34 @@ def test_ratios_decide_without_a_marked_article():
     assert tag_paths.main_text(page) == want
 
 
+LINKS = "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(30))
+BODY = "".join(f"<p>{LONG}{i}</p>" for i in range(5)) + "<p>Short one.</p>"
+TEXT = " ".join([f"{LONG}{i}" for i in range(5)] + ["Short one."])
+
+
+@pytest.mark.parametrize("part", ["main", "article", "div role='main'"])
+def test_ratios_decide_within_a_marked_part(part):
+    page = (
+        f"<body><div>out</div><{part}><div><ul>{LINKS}</ul></div><div><h1>Head</h1>{BODY}</div>"
+        f"<div><h2>More</h2><ul>{LINKS}</ul></div><div><span>Top</span></div></{part.split()[0]}></body>"
+    )
+    assert tag_paths.main_text(page) == f"Head {TEXT}"
+
+
+def test_short_parts_of_a_marked_article_stay():
+    lists = "<h2>List</h2><ul><li>one<li>two</ul><table><tr><td>x<td>y</table><blockquote>q</blockquote>"
+    page = f"<article><header>h</header><h1>Head</h1><div>{BODY}{lists}<ul>{LINKS}</ul></div></article>"
+    assert tag_paths.main_text(page) == f"Head {TEXT} List one two x y q"
+
+
+def test_class_rule_for_nested_articles():
+    page = "<{0}><article class='post has-sidebar'>{1}</article>{2}</{0}>"
+    comment = f"<article class='comment'><p>{LONG}</p></article>"
+    assert tag_paths.main_text(f"<article class='has-sidebar'>{BODY}{comment}</article>") == TEXT
+    assert tag_paths.main_text(f"<main><article class='post'>{BODY}</article>{comment}</main>") == TEXT
+    assert tag_paths.main_text(page.format("main", BODY, "")) == TEXT
+
+
 def test_rows(spark):
     rows = [(1, "u", "<article><p>Ünï 😀</p></article>", 1), (1, "u", "<article><p>Ünï 😀</p></article>", 1), (None, None, None, 2), (3, "v", "<article>" + "<p>word</p>" * 20000, 3)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
