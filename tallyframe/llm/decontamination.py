@@ -20,14 +20,25 @@ from tallyframe.session import materialise
 MASKS = ("1110011001", "1100001111", "1101100101")
 
 # Tables up to this number of rows, of a few dozen bytes each, are broadcast; beyond it the joins
-# are shuffled.
+# are shuffled. Items carry all their words and are held to this number of bytes as well.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 2**20
 
 
 def _hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _hinted_items(items: DataFrame) -> DataFrame:
+    """Items are broadcast by their counted rows and bytes: eight for each word's hash, and 64."""
+    held = items.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(8 * F.size("item").cast("bigint") + 64), F.lit(0)).alias("size"),
+    ).first()
+    fits = held["n"] <= BROADCAST_ROWS and held["size"] <= BROADCAST_BYTES
+    return F.broadcast(items) if fits else items
+
+
 def word_hashes(text: Column) -> Column:
     """One 64-bit hash for each word; no words, or a null text, give an empty array."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
@@ -151,7 +162,7 @@ def contaminated(
         .join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")))
     )
     compared = followed.join(
-        _hinted(items), F.col("hit_item").eqNullSafe(F.col("item_id"))
+        _hinted_items(items), F.col("hit_item").eqNullSafe(F.col("item_id"))
     ).select(
         "doc_id",
         "item_id",

@@ -130,3 +130,20 @@ def test_shuffled_seeds_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", -1)
     assert sorted(map(str, decontamination.contaminated(df, bench).collect())) == want
     assert len(want) == 4
+
+
+def test_few_long_items_are_not_broadcast(spark, monkeypatch):
+    rng = random.Random(10)
+    texts = [words(rng, n, 10**9) for n in (20, 400)]
+    df = spark.createDataFrame([(i, " ".join(["before"] * i + t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "item_id bigint, text string")
+
+    def run():
+        found = decontamination.contaminated(df, bench)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("strategy=broadcast"), sorted(found.collect())
+
+    hints, want = run()
+    assert hints == 2 and [(r.doc_id, r.item_id, r.overlap) for r in want] == [(0, 0, 20), (1, 1, 400)]
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 2000)
+    assert run() == (1, want)
