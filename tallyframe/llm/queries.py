@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import (
+    alignment,
     bottom_k,
     centroids,
     decontamination,
@@ -17,6 +18,7 @@ from tallyframe.llm import (
     token_rollup,
     toxicity,
 )
+from tallyframe.llm.tokens import byte_level_side, piece_side
 from tallyframe.session import ensure_checkpoint_dir, materialise
 
 QUERIES = {}
@@ -223,3 +225,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_repeated_passages")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op13_galloping_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = vocabulary("byte_bpe_50k")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.link_statistics(
+        table(spark, sf_dir, "documents"),
+        lambda: byte_level_side(ranks, pattern),
+        lambda: piece_side(model),
+    )
