@@ -17,6 +17,7 @@ from tallyframe.llm import (
     tag_paths,
     token_rollup,
     toxicity,
+    whitening,
 )
 from tallyframe.llm.tokens import byte_level_side, piece_side
 from tallyframe.session import ensure_checkpoint_dir, materialise
@@ -227,6 +228,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query("op11_block_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = whitening.quantise(
+        table(spark, sf_dir, "embeddings"), "embedding", scale=64, shift=1_000_000
+    )
+    whitened = whitening.whiten(points, components=32)
+    return whitened.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 @query("op13_galloping_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
