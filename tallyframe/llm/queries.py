@@ -17,6 +17,8 @@ from tallyframe.llm import (
     tag_paths,
     token_rollup,
     toxicity,
+    url_lists,
+    url_rules,
     whitening,
 )
 from tallyframe.llm.tokens import byte_level_side, piece_side
@@ -237,6 +239,80 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
+def _values(*rows: tuple) -> str:
+    return ", ".join("(" + ", ".join(repr(v) for v in row) + ")" for row in rows)
+
+
+# Regular expressions of the patterns over whole URLs, written out by hand for the SQL.
+URL_EXPRESSIONS = [
+    ("/adserver/", "block", "/adserver/"),
+    ("/adclick^", "block", "/adclick([^A-Za-z0-9]|$)"),
+    ("^adframe.", "block", "(^|[^A-Za-z0-9])adframe[.]"),
+    ("/popunder^", "block", "/popunder([^A-Za-z0-9]|$)"),
+    ("/track/*.gif^", "block", "/track/.*[.]gif([^A-Za-z0-9]|$)"),
+    ("^anti-spam^", "allow", "(^|[^A-Za-z0-9])anti-spam([^A-Za-z0-9]|$)"),
+    ("^racetrack^track^", "allow", "(^|[^A-Za-z0-9])racetrack[^A-Za-z0-9]track([^A-Za-z0-9]|$)"),
+    ("^responsible-betting^", "allow", "(^|[^A-Za-z0-9])responsible-betting([^A-Za-z0-9]|$)"),
+]
+
+
+@query(
+    "op12_url_rules",
+    f"""
+WITH cut AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://')
+    THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS behind FROM pages),
+split AS (
+  SELECT page_id, url, behind,
+    translate(regexp_extract(behind, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(behind, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+sites(rule, action) AS (VALUES {_values(*url_lists.SITE_RULES)}),
+site_hits AS (
+  SELECT DISTINCT url, rule, action, length(rule) AS size
+  FROM split, sites
+  WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+    AND starts_with(path, substr(rule, strpos(rule, '/')))),
+best_site AS (
+  SELECT url, arg_max(rule, size) AS rule, arg_max(action, size) AS action
+  FROM site_hits GROUP BY url),
+words(pattern, expression) AS (
+  SELECT '^' || w || '^', '(^|[^A-Za-z0-9])' || w || '([^A-Za-z0-9]|$)'
+  FROM (VALUES {_values(*((w,) for w in url_lists.BLOCKED_HOST_WORDS))}) t(w)),
+patterns(pattern, action, expression) AS (VALUES {_values(*URL_EXPRESSIONS)}),
+pattern_hits AS (
+  SELECT DISTINCT url, pattern, 'block' AS action FROM split, words
+  WHERE regexp_matches(host, expression)
+  UNION ALL
+  SELECT DISTINCT url, pattern, action FROM split, patterns
+  WHERE regexp_matches(host || substr(behind, length(host) + 1), expression, 's')),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY url
+    ORDER BY length(pattern) DESC, action, pattern) AS place FROM pattern_hits)
+SELECT s.page_id, s.host, s.path, b.rule,
+  coalesce(b.action, r.action, 'allow') AS verdict,
+  CASE WHEN b.rule IS NULL THEN r.pattern END AS pattern
+FROM split s LEFT JOIN best_site b ON b.url = s.url
+LEFT JOIN ranked r ON r.url = s.url AND r.place = 1""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = (
+        [url_rules.site_rule(*rule) for rule in url_lists.SITE_RULES]
+        + [url_rules.pattern_rule(f"^{w}^", "block", "host") for w in url_lists.BLOCKED_HOST_WORDS]
+        + [url_rules.pattern_rule(p, "block") for p in url_lists.BLOCKED_PATTERNS]
+        + [url_rules.pattern_rule(p, "allow") for p in url_lists.ALLOWED_PATTERNS]
+    )
+    judged = url_rules.judge(
+        table(spark, sf_dir, "pages"), spark.createDataFrame(rules, url_rules.RULES)
+    )
+    return judged.select(
+        "page_id", "host", "path",
+        F.when(F.col("tier") == 1, F.col("rule")).alias("rule"),
+        F.coalesce("action", F.lit("allow")).alias("verdict"),
+        F.when(F.col("tier") == 0, F.col("rule")).alias("pattern"),
+    )
+
+
 @query("op13_galloping_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
