@@ -15,8 +15,10 @@ from tallyframe.plans.catalog import (
     rounded,
 )
 from tallyframe.plans.curve_queries import CURVE_SQL
+from tallyframe.plans.label_queries import IMPORT_SQL, annotation_documents, label_rows
 from tallyframe.session import ensure_checkpoint_dir, materialise
 from tallyframe.sources import tables
+from tallyframe.sources.annotations import write_annotation_files
 from tallyframe.sources.registry import Model
 
 UNCERTAIN_SQL = """, answer_scores AS (SELECT id, score FROM fx_score WHERE curve = 'answer_a'),
@@ -419,3 +421,16 @@ def project_auc_pr(t):
     jobs.add_random_baseline(ws, "docs")
     names = ["percentage_vote_main-all", "baseline_random"]
     return rounded(jobs.evaluate_auc_pr(ws, "docs", names), "auc_pr")
+
+
+@query(IMPORT_SQL)
+def annotation_files(t):
+    """Annotation folders written, imported into a project by the job, and read back as labels."""
+    ws = _project(t)
+    documents = annotation_documents(t).select(
+        F.concat("id", F.lit(".txt")).alias("document"), F.lit("ann").alias("annotator"), "features"
+    )
+    folder = f"{ws.root}/annotations"
+    write_annotation_files(documents, folder)
+    jobs.import_relabeled(ws, "given", folder, "ann", partitioned=True)
+    return label_rows(ws.read("relabeled", "given").where(F.col("annotator") == "ann"))

@@ -382,13 +382,15 @@ def correctness(ws: Workspace, dataset: str | None = None) -> DataFrame:
 
 
 def import_relabeled(
-    ws: Workspace, dataset: str, folder: str, annotator: str | Sequence[str] | None = None
+    ws: Workspace, dataset: str, folder: str, annotator: str | Sequence[str] | None = None,
+    partitioned: bool = False,
 ) -> None:
     """Annotation folders to the re-annotated table, under the annotator's name.
 
     With a list the rows stand under the joined names; ``chosen_annotator`` says whose file it was.
+    ``partitioned`` says that the folders are those of ``write_annotation_files``.
     """
-    files = choose_annotator(read_annotation_files(ws.spark, folder), annotator)
+    files = choose_annotator(read_annotation_files(ws.spark, folder, partitioned), annotator)
     name = annotator if isinstance(annotator, str) else "-".join(annotator or ["curated"])
     chosen = files.select("id", F.col("annotator").alias("chosen_annotator"))
     rows = annotations.import_annotations(files).join(chosen, "id").withColumn(

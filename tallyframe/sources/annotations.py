@@ -2,26 +2,54 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe import schemas
 
 
-def read_annotation_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(document, annotator, features)`` for every ``<document>/<annotator>.json``."""
+def read_annotation_files(
+    spark: SparkSession, path: str, partitioned: bool = False
+) -> DataFrame:
+    """``(document, annotator, features)`` for every ``<document>/<annotator>.json``.
+
+    ``partitioned`` reads what ``write_annotation_files`` wrote.
+    """
     file = F.col("_metadata.file_path")
+    if partitioned:
+        files, patterns = "document=*/annotator=*/*", ("/document=([^/]*)/", "/annotator=([^/]*)/")
+    else:
+        files, patterns = "*/*.json", (r"([^/]+)/[^/]+$", r"([^/]+)\.json$")
+    document, annotator = (_unescaped(F.regexp_extract(file, p, 1), partitioned) for p in patterns)
     return (
         spark.read.schema(schemas.ANNOTATION_FEATURES)
-        .json(f"{path}/*/*.json", multiLine=True)
+        .json(f"{path}/{files}", multiLine=True)
         .select(
-            F.url_decode(F.regexp_extract(file, r"([^/]+)/[^/]+$", 1)).alias("document"),
-            F.url_decode(F.regexp_extract(file, r"([^/]+)\.json$", 1)).alias("annotator"),
+            document.alias("document"),
+            annotator.alias("annotator"),
             F.col("`%FEATURE_STRUCTURES`").alias("features"),
         )
     )
 
 
+def _unescaped(name: Column, partitioned: bool) -> Column:
+    """Names as they were: paths are escaped once, values of partition folders once more."""
+    plain = lambda text: F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    return plain(plain(name)) if partitioned else plain(name)
+
+
+def write_annotation_files(documents: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One file per ``(document, annotator, features)`` row, in a folder for each document and in
+    it for each annotator, written where the rows are."""
+    text = F.to_json(F.struct(F.col("features").alias("%FEATURE_STRUCTURES")))
+    (
+        documents.select("document", "annotator", text.alias("value"))
+        .write.mode(mode)
+        .partitionBy("document", "annotator")
+        .text(path)
+    )
+
+
 def choose_annotator(files: DataFrame, annotator: str | Sequence[str] | None = None) -> DataFrame:
     """One file per document: a named annotator, the first of a list, or the only one.
 

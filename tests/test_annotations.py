@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 
@@ -103,29 +104,83 @@ def ambiguous(features):
     return any(len(v) > 1 for v in seen.values())
 
 
-def test_import_equals_the_rules(spark):
-    rng = random.Random(8)
-    documents = [random_document(rng, f"d{i}") for i in range(600)]
-    documents = [d for d in documents if not ambiguous(d[1])]
+def frame(spark, documents):
     schema = f"id string, features {schemas.ANNOTATION_FEATURES.split(' ', 1)[1]}"
     rows = [
         (name, [tuple(f.get(k) for k in ("%ID", "%TYPE", "begin", "end", "label", "@Governor", "@Dependent", "sofaString"))
                 for f in features])
         for name, features in documents
     ]
-    imported = annotations.import_annotations(spark.createDataFrame(rows, schema))
-    got = {
+    return spark.createDataFrame(rows, schema)
+
+
+def imported_rows(documents, *limit):
+    return {
         r.id: (
             {e.key: (e.label, sorted(e.alternatives), e.type) for e in r.entries},
             [tuple(o) for o in r.other_labels], r.unanswerable, r.erronous_question,
         )
-        for r in imported.collect()
+        for r in annotations.import_annotations(documents, *limit).collect()
     }
+
+
+def test_import_equals_the_rules(spark):
+    rng = random.Random(8)
+    documents = [random_document(rng, f"d{i}") for i in range(600)]
+    documents = [d for d in documents if not ambiguous(d[1])]
+    got = imported_rows(frame(spark, documents))
     want = {name: expected_row(f) for name, f in documents if len(f) > 1}
     assert got == want and len(want) > 300
     assert any(len(alts) for row in want.values() for _, alts, _ in row[0].values())
 
 
+def test_rows_and_arrays_assemble_the_same(spark):
+    """Order included, and with texts that spans of several labels share."""
+    rng = random.Random(9)
+    documents = [random_document(rng, f"d{i}") for i in range(400)]
+    documents.append(("long", wide_document(rng, 60)))
+    documents.append(("no spans", [{"%ID": 1, "%TYPE": "webanno.custom.AlternativeLabel", "@Governor": 1, "@Dependent": 2},
+                                   {"%ID": 500, "%TYPE": "uima.cas.Sofa", "sofaString": "text"}]))
+    documents.append(("nothing", [{"%ID": 500, "%TYPE": "uima.cas.Sofa", "sofaString": "text"}]))
+    df = frame(spark, documents)
+    small = annotations.import_annotations(df, 10**6)
+    large = annotations.import_annotations(df, 0)
+    assert small.schema.simpleString() == large.schema.simpleString()
+    assert sorted(small.collect(), key=lambda r: r.id) == sorted(large.collect(), key=lambda r: r.id)
+
+
+def wide_document(rng, n):
+    """n spans of distinct texts far apart in a text beyond the basic plane, and n links."""
+    text = "".join(f"w{i:06d}\U0001f600 " for i in range(n * 2))
+    label = ["label", "alternative_label", "alternative_label_part", "label_candidate", "label_candidate_part",
+             "label_part", "alternative_label_part", "is unanswerable"]
+    spans = [
+        {"%ID": i, "%TYPE": "custom.Span", "begin": i * 18, "end": i * 18 + 8 + 1500 * (i == 3), "label": label[i % 8]}
+        for i in range(n)
+    ]
+    links = [
+        {"%ID": n + i, "%TYPE": "webanno.custom.AlternativeLabel", "@Governor": rng.randrange(n), "@Dependent": rng.randrange(n)}
+        for i in range(n)
+    ]
+    return spans + links + [{"%ID": 9 * n, "%TYPE": "uima.cas.Sofa", "sofaString": text}]
+
+
+def test_document_of_twenty_thousand_spans(spark):
+    """Four times the spans take at most some four times as long; each with each would take 16."""
+    seconds = []
+    for n in (1_000, 5_000, 20_000):  # the first one warms up
+        features = wide_document(random.Random(n), n)
+        df = frame(spark, [("big", features)])
+        start = time.perf_counter()
+        got = imported_rows(df)
+        seconds.append(time.perf_counter() - start)
+        assert len(got["big"][1]) == n // 8 * 2  # label_part and unanswerable spans
+        assert sum(kind == "label" for _, _, kind in got["big"][0].values()) == n // 8 * 2
+        if n == 5_000:  # the plain rules compare all with all
+            assert got["big"] == expected_row(features)
+    assert seconds[2] < 8 * seconds[1]
+
+
 def by_hand(spark, spans, links, text):
     features = [
         (i, "custom.Span", text.index(t), text.index(t) + len(t), label, None, None, None)
@@ -204,3 +259,16 @@ def test_annotator_choice(spark, annotation_folder):
     row = annotations.import_annotations(folders.choose_annotator(files, "ann")).first()
     assert [(e.key, e.type) for e in row.entries] == [("one", "label")]
     assert [(o.text, o.label) for o in row.other_labels] == [("two", "unlabeled")]
+
+
+def test_written_folders_read_back(spark, tmp_path):
+    documents = [("1_0.txt", "ann", "a b=c"), ("2 0.txt", "bob/x", "text")]
+    features = [
+        (1, "custom.Span", 0, 1, "label", None, None, None),
+        (2, "uima.cas.Sofa", None, None, None, None, None, "a\nb \U0001f600"),
+    ]
+    schema = f"document string, annotator string, features {schemas.ANNOTATION_FEATURES.split(' ', 1)[1]}"
+    df = spark.createDataFrame([(d, a, features) for d, a, _ in documents], schema)
+    folders.write_annotation_files(df, f"{tmp_path}/out")
+    back = folders.read_annotation_files(spark, f"{tmp_path}/out", partitioned=True)
+    assert sorted(back.collect()) == sorted(df.collect())
