@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.constants import FORMAT_REMINDER, RETRY_LIMIT
 from tallyframe.functions import parsing, prompts, text
 from tallyframe.operators import flatten, generation, relational, textjobs
-from tallyframe.plans.catalog import CHECK_TEMPLATES, PROMPTS, query, rounded
+from tallyframe.plans.catalog import CHECK_TEMPLATES, MODELS, PROMPTS, query, rounded
 from tallyframe.plans.vote_queries import vote_sql
 from tallyframe.session import ensure_checkpoint_dir
 from tallyframe.sources.registry import family_of
@@ -438,6 +438,6 @@ def stream_votes(t):
         start_votes(
             read_stream(t.spark, f"{base}/in"),
             read_stream(t.spark, f"{base}/items", ITEM_STREAM),
-            PROMPTS, table, f"{base}/state",
+            PROMPTS, MODELS, table, f"{base}/state",
         ).awaitTermination()
     return rounded(table.votes(t.spark), "percentage_vote")

@@ -1,20 +1,21 @@
 """Keep votes up to date while files of new model outputs and of items arrive.
 
-One stateful operator, keyed by item, remembers the newest answer of every prompt and model and the
-item's label. A batch reads the state of its own keys only and passes on the answers of the prompts
-it has changed; those are judged, voted and stored as the batch's changed votes. Outputs that arrive
-before their item wait in the state. Which answer is newest does not depend on the order of arrival:
-the later time wins, no time counts as earliest, and of equal times the greater answer wins.
+One streaming aggregation, keyed by item and prompt, remembers the newest answer of every model and
+the item's label; it is made of built-in functions, so rows are combined before the shuffle and the
+state holds binary rows, one for each key. A batch reads and writes the state of its own keys only and
+passes on their answers; those are judged, voted and stored as the batch's changed votes. Outputs that
+arrive before their item wait in the state. Which answer is newest does not depend on the order of
+arrival: the later time wins, no time counts as earliest, and of equal times the greater answer wins.
+
+The models of the registry are columns of the state. Answers of other models are left out, and a
+registry with another list of models needs a checkpoint of its own.
 """
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyframe.functions.parsing import judge
 from tallyframe.operators.votes import parse_outputs, prompt_votes
@@ -24,7 +25,6 @@ OUTPUT_STREAM = "id string, prompt string, model string, output string, ts times
 ITEM_STREAM = "id string, label string"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 VOTES = "id string, prompt string, majority_vote boolean, unanimous_vote boolean, percentage_vote double"
-ANSWERS = "id string, prompt string, model string, family string, answer string, label string"
 
 
 def read_stream(
@@ -35,54 +35,39 @@ def read_stream(
     )
 
 
-def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Merge a batch's rows of one item; give all answers of the prompts that have changed.
+def newest_answers(
+    outputs: DataFrame, items: DataFrame, prompts: Sequence[Prompt], models: Sequence[str]
+) -> DataFrame:
+    """Complete answers of every (id, prompt) that a batch touches, with the item's label.
 
-    The state is JSON: the label, if the item has come, and per prompt and model the rank of the
-    newest answer, its family and the answer.
+    Each cell of the state is the greatest (time, answer) of its model so far; NULL orders first.
+    Labels do not change; of several ones the greatest holds. Items without rows of a prompt wait.
     """
-    held = json.loads(state.get[0]) if state.exists else {"come": False, "label": None, "cells": {}}
-    changed = set()
-    for frame in frames:
-        for kind, prompt, model, family, answer, ts, label in frame[
-            ["kind", "prompt", "model", "family", "answer", "ts", "label"]
-        ].astype(object).where(lambda x: x.notna(), None).itertuples(index=False):
-            if kind == "item":
-                # labels do not change; of several ones the greatest holds
-                if not held["come"] or (label or "") > (held["label"] or ""):
-                    held["come"], held["label"] = True, label
-                    changed |= set(held["cells"])
-                continue
-            cell = held["cells"].setdefault(prompt, {})
-            rank = [-(1 << 62) if ts is None else int(ts), answer is not None, answer or ""]
-            if model not in cell or rank > cell[model][0]:
-                cell[model] = [rank, family, answer]
-                changed.add(prompt)
-    state.update((json.dumps(held),))
-    if held["come"] and changed:
-        rows = [
-            (key[0], prompt, model, family, answer, held["label"])
-            for prompt in changed
-            for model, (_, family, answer) in held["cells"][prompt].items()
-        ]
-        yield pd.DataFrame(
-            rows, columns=["id", "prompt", "model", "family", "answer", "label"], dtype=object
-        )
-
-
-def newest_answers(outputs: DataFrame, items: DataFrame, prompts: Sequence[Prompt]) -> DataFrame:
-    """Complete answers of every (id, prompt) that a batch has changed, with the item's label."""
+    cell = F.struct(F.unix_micros("ts").alias("ts"), F.col("answer"))
     answers = parse_outputs(outputs, prompts, ["ts"]).select(
-        "id", F.lit("answer").alias("kind"), "prompt", "model", "family", "answer",
-        F.unix_micros("ts").cast("string").alias("ts"), F.lit(None).cast("string").alias("label"),
+        "id", "prompt", "family", "model", cell.alias("cell"),
+        F.lit(None).cast("string").alias("label"), F.lit(False).alias("come"),
     )
-    empty = F.lit(None).cast("string")
-    labels = items.select(
-        "id", F.lit("item").alias("kind"),
-        *[empty.alias(c) for c in ("prompt", "model", "family", "answer", "ts")], "label",
+    named = F.explode(F.array(*[F.struct(F.lit(p.name).alias("prompt"), F.lit(p.family).alias("family")) for p in prompts]))
+    labels = items.withColumn("p", named).select(
+        "id", "p.prompt", "p.family", F.lit(None).cast("string").alias("model"),
+        F.lit(None).cast(answers.schema["cell"].dataType).alias("cell"), "label", F.lit(True).alias("come"),
     )
-    return answers.unionByName(labels).groupBy("id").applyInPandasWithState(
-        _newest, ANSWERS, "held string", "update", GroupStateTimeout.NoTimeout
+    cells = [
+        F.max(F.when(F.col("model") == name, F.col("cell"))).alias(f"cell_{k}")
+        for k, name in enumerate(models)
+    ]
+    held = answers.unionByName(labels).groupBy("id", "prompt", "family").agg(
+        F.max("come").alias("come"), F.max("label").alias("label"), *cells
+    )
+    listed = F.array(
+        *[F.struct(F.lit(name).alias("model"), F.col(f"cell_{k}").alias("cell")) for k, name in enumerate(models)]
+    )
+    return (
+        held.where("come")
+        .select("id", "prompt", "family", "label", F.explode(listed).alias("c"))
+        .where(F.col("c.cell").isNotNull())
+        .select("id", "prompt", F.col("c.model").alias("model"), "family", F.col("c.cell.answer").alias("answer"), "label")
     )
 
 
@@ -99,27 +84,31 @@ class VoteTable:
             f"{self.changes}/batch={batch}"
         )
 
-    def _read(self, spark: SparkSession, path: str, key: str) -> DataFrame:
-        files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    def _numbers(self, spark: SparkSession, path: str) -> list[int]:
+        """Numbers of the complete folders: ``_SUCCESS`` is written last."""
+        files = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")
         system = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        schema = f"{VOTES}, {key} bigint"
-        if not system.exists(files):
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(path)
-
-    def _latest(self, spark: SparkSession) -> DataFrame:
-        """Rows of the newest whole table and of the batches after it, with their number."""
-        whole = self._read(spark, self.whole, "upto")
-        last = whole.agg(F.max("upto")).first()[0]
-        last = -1 if last is None else last
-        changes = self._read(spark, self.changes, "batch").where(F.col("batch") > last)
-        return whole.where(F.col("upto") == last).withColumnRenamed("upto", "batch").unionByName(changes)
+        found = [s.getPath().getParent().getName() for s in system.globStatus(files) or []]
+        return sorted(int(name.split("=")[1]) for name in found)
+
+    def _latest(self, spark: SparkSession) -> tuple[DataFrame, int | None]:
+        """Rows of the newest whole table and of the batches after it, with their number, and the
+        last number of all. A folder that is being written counts as absent."""
+        whole = self._numbers(spark, self.whole)[-1:]
+        batches = [n for n in self._numbers(spark, self.changes) if not whole or n > whole[0]]
+        rows = spark.createDataFrame([], f"{VOTES}, batch bigint")
+        for path, key, numbers in ((self.whole, "upto", whole), (self.changes, "batch", batches)):
+            if numbers:
+                read = spark.read.schema(f"{VOTES}, {key} bigint").option("basePath", path)
+                found = read.parquet(*[f"{path}/{key}={n}" for n in numbers])
+                rows = rows.unionByName(found.withColumnRenamed(key, "batch"))
+        return rows, max(whole + batches, default=None)
 
     def votes(self, spark: SparkSession) -> DataFrame:
         """Current votes: those of the last batch that changed the key."""
         columns = ["majority_vote", "unanimous_vote", "percentage_vote"]
         return (
-            self._latest(spark)
+            self._latest(spark)[0]
             .groupBy("id", "prompt")
             .agg(F.max_by(F.struct(*columns), "batch").alias("v"))
             .select("id", "prompt", "v.*")
@@ -127,7 +116,7 @@ class VoteTable:
 
     def compact(self, spark: SparkSession) -> None:
         """Write the current votes as one table; earlier batches are not read any more."""
-        last = self._latest(spark).agg(F.max("batch")).first()[0]
+        last = self._latest(spark)[1]
         if last is not None:
             self.votes(spark).write.mode("overwrite").parquet(f"{self.whole}/upto={last}")
 
@@ -136,6 +125,7 @@ def start_votes(
     outputs: DataFrame,
     items: DataFrame,
     prompts: Sequence[Prompt],
+    models: Sequence[str],
     table: VoteTable,
     checkpoint: str,
 ) -> StreamingQuery:
@@ -145,7 +135,7 @@ def start_votes(
     """
     outputs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return (
-        newest_answers(outputs, items, prompts)
+        newest_answers(outputs, items, prompts, models)
         .writeStream.foreachBatch(table.add)
         .outputMode("update")
         .option("checkpointLocation", checkpoint)

@@ -5,6 +5,7 @@ from tallyframe.sources import registry
 from tallyframe.streaming.votes import ITEM_STREAM, VoteTable, read_stream, start_votes
 
 PROMPTS = [registry.Prompt("p", (), "yes_no"), registry.Prompt("q", (), "answer")]
+MODELS = ["m", "m0", "m1", "m2", "m3"]
 OUTPUT = "id string, prompt string, model string, output string, ts bigint"
 
 
@@ -22,11 +23,12 @@ class Arrivals:
             rows.withColumn("ts", F.timestamp_seconds("ts")).write.mode("append").json(f"{self.folder}/in")
         if items:
             self.spark.createDataFrame(list(items), ITEM_STREAM).write.mode("append").json(f"{self.folder}/items")
-        start_votes(
+        self.query = start_votes(
             read_stream(self.spark, f"{self.folder}/in"),
             read_stream(self.spark, f"{self.folder}/items", ITEM_STREAM),
-            PROMPTS, self.table, f"{self.folder}/state",
-        ).awaitTermination()
+            PROMPTS, MODELS, self.table, f"{self.folder}/state",
+        )
+        self.query.awaitTermination()
         return self.votes()
 
     def votes(self):
@@ -85,3 +87,33 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     for _ in range(2):
         table.add(answers, 0)
     assert [tuple(r) for r in table.votes(spark).collect()] == [("a", "p", True, True, 1.0)]
+
+
+def test_a_late_answer_rewrites_one_row_of_the_state(spark, tmp_path):
+    arrivals = Arrivals(spark, tmp_path)
+    rows = [(str(i), "p", f"m{k}", "###yes", 5) for i in range(40) for k in range(4)]
+    arrivals.wave(rows, [(str(i), "l") for i in range(40)])
+    got = arrivals.wave([("7", "p", "m2", "###no", 2), ("9", "p", "m2", "###no", 9)])
+    written = [p["stateOperators"][0]["numRowsUpdated"] for p in arrivals.query.recentProgress if p["numInputRows"]]
+    assert written == [2]  # of 80 rows of the state
+    assert ("7", "p", True, True, 1.0) in got and ("9", "p", True, None, 0.75) in got
+
+
+def test_unlisted_models_are_left_out(spark, tmp_path):
+    got = Arrivals(spark, tmp_path).wave([("a", "p", "other", "###no", 1), ("a", "p", "m", "###yes", 1)], [("a", "l")])
+    assert got == [("a", "p", True, True, 1.0)]
+
+
+def test_unfinished_folders_are_not_read(spark, tmp_path):
+    table = VoteTable(str(tmp_path))
+    answers = spark.createDataFrame([("a", "p", "m", "yes_no", "yes", "l")], "id string, prompt string, model string, family string, answer string, label string")
+    table.add(answers, 0)
+    table.compact(spark)
+    table.add(answers.selectExpr("id", "prompt", "model", "family", "'no' AS answer", "label"), 1)
+    before = table.votes(spark).collect()
+    table.compact(spark)
+    (tmp_path / "whole" / "upto=1" / "_SUCCESS").unlink()  # as if it were being written
+    (tmp_path / "whole" / "upto=1" / "part-bad.parquet").write_bytes(b"half")
+    assert table.votes(spark).collect() == before
+    table.compact(spark)
+    assert table.votes(spark).collect() == before
