@@ -103,11 +103,12 @@ def index_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
     listed = materialise(listed)
     own = listed.select(F.explode("tokens").alias("token")).distinct()
+    # counted before they meet the rules, so a token that most URLs hold moves as one row a task
     held = (
         urls.select(_tokens(urls).alias("token"))
-        .join(own, "token", "left_semi")
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("held_by"))
+        .join(own, "token", "left_semi")
     )
     columns = [f.split()[0] for f in RULES.split(", ")]
     rarity = F.struct(
