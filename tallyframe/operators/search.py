@@ -22,6 +22,7 @@ from tallyframe.operators.metrics import confusion_counts, rates
 from tallyframe.session import materialise
 
 MASKS = ("model_mask", "prompt_mask")
+BUCKET_BITS = 10
 
 
 def _add(parts: Sequence[Column]) -> Column:
@@ -182,14 +183,58 @@ def _subset_scores(
             yield model_mask, prompt_mask, np.where(seen > 0, np.round(score, 12), np.nan)
 
 
+def _before_scores(counts: DataFrame) -> DataFrame:
+    """Rows and wrong ones of lower scores per subset and score, and the wrong ones of the subset.
+
+    Scores lie between 0 and 1 and are grouped into buckets. What lies before a score in its bucket
+    comes from a window over that bucket; what lies before the bucket is the sum of one block of
+    2^level buckets for each bit of the bucket's number. So no task holds a whole subset.
+    """
+    numbers = [F.sum("n").alias("n"), F.sum("n_wrong").alias("n_wrong")]
+    scores = counts.groupBy(*MASKS, "score").agg(*numbers).withColumn(
+        "bucket", F.floor(F.col("score") * 2**BUCKET_BITS).cast("int")
+    )
+    buckets = scores.groupBy(*MASKS, "bucket").agg(*numbers)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(BUCKET_BITS)))
+    block = F.expr("shiftright(bucket, level)")
+    leveled = buckets.withColumn("level", levels).withColumn("block", block)
+    blocks = leveled.groupBy(*MASKS, "level", "block").agg(*numbers)
+    before = (
+        leveled.where(F.col("block") % 2 == 1)
+        .select(*MASKS, "bucket", "level", (F.col("block") - 1).alias("block"))
+        .join(blocks, [*MASKS, "level", "block"])
+        .groupBy(*MASKS, "bucket")
+        .agg(F.sum("n").alias("earlier"), F.sum("n_wrong").alias("wrong_earlier"))
+    )
+    lower = (
+        Window.partitionBy(*MASKS, "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    none = F.lit(0)
+    totals = buckets.groupBy(*MASKS).agg(F.sum("n_wrong").alias("total"))
+    return (
+        scores.withColumns(
+            {"in_n": F.coalesce(F.sum("n").over(lower), none),
+             "in_wrong": F.coalesce(F.sum("n_wrong").over(lower), none)}
+        )
+        .join(before, [*MASKS, "bucket"], "left")
+        .join(totals, list(MASKS))
+        .select(
+            *MASKS, "score", "total",
+            (F.col("in_n") + F.coalesce("earlier", none)).alias("before"),
+            (F.col("in_wrong") + F.coalesce("wrong_earlier", none)).alias("wrong_before"),
+        )
+    )
+
+
 def subset_auc_pr(
     verdicts: DataFrame, labels: DataFrame, models: Sequence[str], prompts: Sequence[str]
 ) -> DataFrame:
     """Area under the PR curve of the percentage vote per subset.
 
     Items move once, to pieces in id order. A piece gives its numbers of items and of wrong ones per
-    subset and score (a few values each); their running sums in the order of (score, piece) say
-    what lies before a piece's items of a score, and their order within the piece gives the rest.
+    subset and score (a few values each). What lies before a piece's items of a score is the running
+    sum over earlier pieces of that score, plus that over lower scores; their order within the piece
+    gives the rest. No window holds all pieces and scores of a subset.
     """
     n_models, n_prompts = len(models), len(prompts)
     cells = item_cells(verdicts, sorted(models), sorted(prompts)).join(
@@ -224,16 +269,23 @@ def subset_auc_pr(
             count,
             "model_mask int, prompt_mask int, score double, piece int, n bigint, n_wrong bigint",
         )
+        # dealt by score, so a score's pieces meet without another shuffle
+        .repartition(*MASKS, "score")
         .groupBy(*MASKS, "score", "piece")
         .agg(F.sum("n").alias("n"), F.sum("n_wrong").alias("n_wrong"))
     )
-    whole = Window.partitionBy(*MASKS)
-    earlier = whole.orderBy("score", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
+    counts = materialise(counts)
+    earlier = (
+        Window.partitionBy(*MASKS, "score").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    in_score = counts.select(
         *MASKS, "score", "piece",
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
-        F.coalesce(F.sum("n_wrong").over(earlier), F.lit(0)).alias("wrong_before"),
-        F.sum("n_wrong").over(whole).alias("total"),
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("n", "n_wrong")],
+    )
+    offsets = in_score.join(_before_scores(counts), [*MASKS, "score"]).select(
+        *MASKS, "score", "piece", "total",
+        (F.col("n") + F.col("before")).alias("before"),
+        (F.col("n_wrong") + F.col("wrong_before")).alias("wrong_before"),
     )
 
     def walk(items: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:

@@ -90,3 +90,23 @@ def test_scaling_over_a_stored_table(spark):
     }
     assert search.by_subset_size(df, models=1).count() == 1
     assert search.by_subset_size(df, models=2, prompts=3).count() == 1
+
+
+def test_sums_before_scores_of_many_buckets(spark):
+    rng = random.Random(4)
+    rows = [(m, 1, rng.choice([0.0, 1.0, round(rng.random(), rng.choice([1, 3, 12]))]), k, rng.randint(1, 9), rng.randint(0, 3))
+            for m in (1, 2) for k in range(300)]
+    df = spark.createDataFrame(rows, "model_mask int, prompt_mask int, score double, piece int, n bigint, n_wrong bigint")
+    got = {(r.model_mask, r.score): (r.before, r.wrong_before, r.total) for r in search._before_scores(df).collect()}
+    assert len(got) == len({r[:3] for r in rows})
+    for (mask, score), found in got.items():
+        lower = [r for r in rows if r[0] == mask and r[2] < score]
+        total = sum(r[5] for r in rows if r[0] == mask)
+        assert found == (sum(r[4] for r in lower), sum(r[5] for r in lower), total)
+
+
+def test_no_window_holds_a_whole_subset(spark, tables):
+    plan = search.subset_auc_pr(*tables, MODELS, PROMPTS)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Window")]
+    assert windows and all("score" in line or "bucket" in line for line in windows)
+    assert not any(line.split("], [")[1].count(",") < 2 for line in windows)
