@@ -62,22 +62,41 @@ def finetune_rows(
     score: str = "score",
     threshold: float | None = None,
     reasoning: tuple[DataFrame, DataFrame, Sequence[str]] | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``(id, input, output)`` rows.
 
     ``scores`` with a ``threshold`` keeps confident items only. ``reasoning`` is
     ``(verdicts, outputs, preference)`` of one prompt: the output is then the raw text of
     the first correct model and items without one are left out; otherwise it is the label.
+    ``buckets`` says that items and outputs are stored in so many buckets by id: the chosen ids are
+    then dealt out alike, so that they move to the texts.
     """
-    if scores is not None:
-        items = restrict_to(items, confident(scores, score, threshold))
+    kept = None if scores is None else confident(scores, score, threshold)
     source = template.column().alias("input")
     if reasoning is None:
-        return items.select("id", source, F.col("label").alias("output"))
+        rows = items if kept is None else restrict_to(items, kept)
+        return rows.select("id", source, F.col("label").alias("output"))
     verdicts, outputs, preference = reasoning
+    if kept is not None:  # before the texts are met, only the ids of confident items are left
+        verdicts = restrict_to(verdicts.where("vote"), kept)
     chosen = first_correct_model(verdicts, preference)
-    texts = outputs.join(chosen, ["id", "model"]).select("id", "output")
-    return items.join(texts, "id").select("id", source, "output")
+    if buckets is not None:
+        chosen = chosen.repartition(buckets, "id")
+    return texts_of(items, outputs, chosen).select("id", source, "output")
+
+
+def texts_of(items: DataFrame, outputs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Items with the ``output`` of their chosen model.
+
+    Items and outputs meet on the id alone, the model being a further condition: tables bucketed by
+    id are then joined where they lie, and only ``chosen`` (id, model) is shuffled.
+    """
+    chosen = chosen.withColumnRenamed("model", "chosen_model")
+    texts = outputs.select(F.col("id").alias("text_id"), "model", "output")
+    # two comparisons, as an equality would become a key and deal the texts out again
+    same = (F.col("model") <= F.col("chosen_model")) & (F.col("model") >= F.col("chosen_model"))
+    return items.join(chosen, "id").join(texts, F.expr("id = text_id")).where(same)
 
 
 def finetune_chats(rows: DataFrame) -> DataFrame:

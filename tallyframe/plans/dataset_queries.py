@@ -38,8 +38,9 @@ def _scratch(t) -> str:
     return f"{t.spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
 
 
-def _project(t) -> jobs.Workspace:
-    return jobs.Workspace(t.spark, _scratch(t), [Model(m, ("all",)) for m in MODELS], PROMPTS)
+def _project(t, buckets=None) -> jobs.Workspace:
+    models = [Model(m, ("all",)) for m in MODELS]
+    return jobs.Workspace(t.spark, _scratch(t), models, PROMPTS, buckets)
 
 
 @query(UNCERTAIN_SQL + 'SELECT id, score, "distance_from_0.5" FROM top')
@@ -144,6 +145,21 @@ def finetune_rows(t):
     return _finetune(t)
 
 
+@query(FINETUNE_SQL + 'SELECT id, "input", output FROM rows')
+def finetune_stored(t):
+    """The same rows by the job, over items and outputs that a project stores in buckets by id."""
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    ws = _project(t, buckets)
+    ws.store("items", t.items, "docs")
+    ws.store("outputs", t.outputs, "docs", "prompt", "model")
+    ws.store("verdicts", t.verdicts, "docs", "prompt", "model")
+    jobs.store_scores(ws, "docs", _answer_scores(t), "baseline_answer_a")
+    prompt = next(p for p in PROMPTS if p.name == "answer_a")
+    return jobs.finetuning_rows(
+        ws, "docs", QUESTION_TEMPLATE, prompt, "baseline_answer_a", 0.6, preferred_model="m2"
+    )
+
+
 @query(f'SELECT id, {PROMPT_SQL} AS "input", label AS output FROM fx_items')
 def finetune_rows_plain(t):
     """All items, with the original label as output."""

@@ -4,12 +4,14 @@ A workspace is a folder of Parquet tables partitioned by dataset. Jobs overwrite
 partitions they produce, so a score or a prompt can be computed again on its own.
 """
 
+import hashlib
 import uuid
 from collections.abc import Callable, Sequence
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyframe.functions.prompts import MessageTemplate, chat_text, render_messages
 from tallyframe.functions.parsing import is_valid_output
@@ -37,18 +39,60 @@ VOTE_METHODS = (
     "model_majority_prompt_unanimous_vote",
 )
 
+# Tables that can be dealt out by id, and how they are partitioned below the dataset.
+BUCKETED = {"items": (), "outputs": ("prompt", "model")}
+
 
 class Workspace:
     def __init__(
-        self, spark: SparkSession, root: str, models: Sequence[Model], prompts: Sequence[Prompt]
+        self, spark: SparkSession, root: str, models: Sequence[Model], prompts: Sequence[Prompt],
+        buckets: int | None = None,
     ):
-        self.spark, self.root = spark, root
+        """``buckets`` stores the tables of ``BUCKETED`` dealt out by id into so many files for each
+        partition: texts are shuffled once, when they are stored, and not by joins on the id."""
+        self.spark, self.root, self.buckets = spark, root, buckets
         self.models, self.prompts = list(models), list(prompts)
 
     def read(self, table: str, dataset: str | None = None) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.root}/{table}")
         return rows if dataset is None else rows.where(F.col("dataset") == dataset).drop("dataset")
 
+    def by_id(self, table: str, dataset: str) -> DataFrame:
+        """A table like ``read``; if it is stored in buckets, Spark knows how its ids are dealt out."""
+        if self.buckets is None or table not in BUCKETED:
+            return self.read(table, dataset)
+        name = self._registered(table)
+        return self.spark.table(name).where(F.col("dataset") == dataset).drop("dataset")
+
+    def _registered(self, table: str, schema: StructType | None = None) -> str:
+        """Name in the session's catalog of a table stored in buckets under the root."""
+        name = f"{table}_{hashlib.md5(self.root.encode()).hexdigest()}"
+        if not self.spark.catalog.tableExists(name):
+            stored = schema is None
+            schema = schema or self.spark.read.parquet(f"{self.root}/{table}").schema
+            last = ["dataset", *BUCKETED[table]]
+            fields = [f for f in schema if f.name not in last] + [schema[c] for c in last]
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+            self.spark.sql(
+                f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY ({', '.join(last)}) "
+                f"CLUSTERED BY (id) SORTED BY (id) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{table}'"
+            )
+            if stored:
+                self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        return name
+
+    def _overwrite_buckets(self, table: str, rows: DataFrame) -> None:
+        stored = bool(self._listed(f"{self.root}/{table}/dataset=*"))
+        name = self._registered(table, None if stored else rows.schema)
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        before = self.spark.conf.get(mode)
+        self.spark.conf.set(mode, "dynamic")
+        try:
+            dealt = rows.repartition(self.buckets, "id")
+            dealt.select(self.spark.table(name).columns).write.insertInto(name, overwrite=True)
+        finally:
+            self.spark.conf.set(mode, before)
+
     def store(
         self, table: str, rows: DataFrame, dataset: str | None, *partition: str, staged: bool = False
     ) -> None:
@@ -69,11 +113,15 @@ class Workspace:
             rows.write.partitionBy("dataset", *partition).parquet(folder)
             self._switch(table, folder)
             return
-        if partition and table != "outputs":
+        bucketed = self.buckets is not None and table in BUCKETED
+        if partition and table != "outputs" and not bucketed:
             rows = rows.hint("rebalance", *partition)
         self._overwrite(table, rows, ["dataset", *partition])
 
     def _overwrite(self, table: str, rows: DataFrame, partition: Sequence[str]) -> None:
+        if self.buckets is not None and table in BUCKETED:
+            self._overwrite_buckets(table, rows)
+            return
         (
             rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -465,12 +513,12 @@ def move_sampled(ws: Workspace, dataset: str, kept_as: str, moved_as: str) -> No
         ws.drop("relabel_evaluation", dataset)  # all rows went to the other name
 
 
-def build_finetuning(
+def finetuning_rows(
     ws: Workspace, dataset: str, template: MessageTemplate, prompt: Prompt,
     score_name: str | None = None, threshold: float | None = None,
     preferred_model: str | None = None,
-) -> None:
-    """Store ``(id, input, output)`` rows.
+) -> DataFrame:
+    """``(id, input, output)`` rows of a project's stored tables.
 
     With a score only confident items; with a preferred model the raw output of the first
     correct model, that one being asked first, instead of the original label.
@@ -482,10 +530,20 @@ def build_finetuning(
         of_prompt = F.col("prompt") == prompt.name
         reasoning = (
             ws.read("verdicts", dataset).where(of_prompt),
-            ws.read("outputs", dataset).where(of_prompt),
+            ws.by_id("outputs", dataset).where(of_prompt),
             order,
         )
-    rows = sampling.finetune_rows(
-        ws.read("items", dataset), template, scores, "score", threshold, reasoning
+    items = ws.by_id("items", dataset)
+    return sampling.finetune_rows(
+        items, template, scores, "score", threshold, reasoning, ws.buckets
     )
+
+
+def build_finetuning(
+    ws: Workspace, dataset: str, template: MessageTemplate, prompt: Prompt,
+    score_name: str | None = None, threshold: float | None = None,
+    preferred_model: str | None = None,
+) -> None:
+    """Store the rows of ``finetuning_rows``."""
+    rows = finetuning_rows(ws, dataset, template, prompt, score_name, threshold, preferred_model)
     ws.store("finetune", rows.withColumn("prompt", F.lit(prompt.name)), dataset, "prompt")

@@ -196,3 +196,39 @@ def test_generation_and_failed_reruns(ws):
     )
     assert skipped.count() == 60
     assert ws.read("outputs", "train").where("model = 'none' AND output IS NULL").count() == 60
+
+
+def test_texts_stored_in_buckets_are_not_shuffled(ws, tmp_path):
+    stored = jobs.Workspace(ws.spark, str(tmp_path / "buckets"), MODELS, PROMPTS, buckets=3)
+    for table, partition in (("items", ()), ("outputs", ("prompt", "model"))):
+        stored.store(table, ws.read(table, "train"), "train", *partition)
+    for table, partition in (("verdicts", ("prompt", "model")), ("scores", ("score_name",))):
+        stored.store(table, ws.read(table, "train"), "train", *partition)
+    arguments = ("train", TEMPLATE, PROMPTS[1], "percentage_vote_main-all", 0.9, "b")
+    rows = jobs.finetuning_rows(stored, *arguments)
+    before = ws.spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in ("-1", before):
+            ws.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            rows = jobs.finetuning_rows(stored, *arguments)
+            plan = rows._jdf.queryExecution().explainString(
+                ws.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+            )
+            moved = [part for part in plan.split("\n\n") if "Exchange" in part.split("\n")[0] and "output#" in part]
+            assert not moved and (threshold == before or "Bucketed: true" in plan)
+            assert sorted(rows.collect()) == sorted(jobs.finetuning_rows(ws, *arguments).collect())
+    finally:
+        ws.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_buckets_keep_other_partitions_and_are_found_again(ws, tmp_path):
+    root = str(tmp_path / "again")
+    stored = jobs.Workspace(ws.spark, root, MODELS, PROMPTS, buckets=2)
+    rows = ws.read("outputs", "train")
+    stored.store("outputs", rows, "train", "prompt", "model")
+    stored.store("outputs", rows.withColumn("output", F.lit("new")).where("model = 'a'"), "train", "prompt", "model")
+    other = jobs.Workspace(ws.spark, root, MODELS, PROMPTS, buckets=2)
+    ws.spark.sql(f"DROP TABLE {other._registered('outputs')}")  # as in a session of its own
+    for found in (other.by_id("outputs", "train"), other.read("outputs", "train")):
+        assert found.count() == rows.count()
+        assert found.where("output = 'new'").select("model").distinct().collect() == [("a",)]
