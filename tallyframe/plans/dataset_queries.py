@@ -2,10 +2,13 @@
 
 import uuid
 
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import verdict_number
-from tallyframe.operators import features, learned, metrics, relational, sampling
+from tallyframe.functions.parsing import is_valid_answer
+from tallyframe.functions.prompts import MessageTemplate, render_messages
+from tallyframe.operators import features, generation, learned, metrics, relational, sampling
 from tallyframe.plans import jobs
 from tallyframe.plans.catalog import (
     MODELS,
@@ -450,3 +453,52 @@ def annotation_files(t):
     write_annotation_files(documents, folder)
     jobs.import_relabeled(ws, "given", folder, "ann", partitioned=True)
     return label_rows(ws.read("relabeled", "given").where(F.col("annotator") == "ann"))
+
+
+HALF = HASH.format(key="id", seed=42, n=16) + " >= 8"
+
+
+@query(
+    f"""SELECT id, 'run ' || CASE WHEN {HALF} OR doc_id % 3 = 0 THEN 2 ELSE 1 END || ' <answer>' || lang || '</answer>' AS output,
+     CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS attempts, CASE WHEN {HALF} THEN 2 ELSE 1 END AS first_run
+    FROM (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, lang FROM documents)"""
+)
+def generation_resumed(t):
+    """A run that breaks off half-way, and the one that goes on: the committed first answers stay.
+
+    Texts name the run that gave them. The stand-in ends the first run at items of the later parts;
+    every third item has to be asked twice, and only the second run comes that far.
+    """
+
+    def factory(run):
+        def answer(prompt, retry):
+            late, third, lang = prompt.split("item ")[1].split()[:3]
+            if run == 1 and late == "true":
+                raise generation.Interrupted("out of time")
+            return f"run {run} <answer>{lang}</answer>" if third == "false" or retry else f"run {run}"
+
+        return lambda texts, retry: [answer(text, retry) for text in texts]
+
+    template = MessageTemplate("user", "item {late} {third} {lang} .", {c: c for c in ("late", "third", "lang")})
+    facts = {
+        "id": F.col("doc_id").cast("string"),
+        "late": (sampling.hash_bucket(F.col("doc_id").cast("string"), 16) >= 8).cast("string"),
+        "third": (F.col("doc_id") % 3 == 0).cast("string"),
+    }
+    items = t["documents"].withColumns(facts).select("id", render_messages([template]).alias("messages"))
+    rounds = generation.StoredRounds(t.spark, _scratch(t), parts=16)
+    ask = lambda run: generation.generate_resumably(
+        items, lambda: factory(run), is_valid_answer, rounds
+    )
+    try:
+        ask(1)
+    except PythonException as error:
+        if "out of time" not in str(error):
+            raise
+    else:
+        raise RuntimeError("the first run was to break off")
+    answers = ask(2)
+    first = rounds.round(1).select(
+        F.col("id").alias("first_id"), F.regexp_extract("output", r"run (\d)", 1).cast("int").alias("first_run")
+    )
+    return answers.join(first, F.col("id") == F.col("first_id")).select("id", "output", "attempts", "first_run")

@@ -199,11 +199,14 @@ def run_generation(
     only_failed: bool = False,
     max_words: int | None = None,
     batch_size: int = 32,
+    run: str | None = None,
 ) -> DataFrame:
     """Ask a model about every item, store its outputs, and return the over-long items.
 
     Items a filter drops, over-long ones and final failures get a NULL output, so that every
-    item has a row. ``only_failed`` asks again only where the stored output is invalid.
+    item has a row. ``only_failed`` asks again only where the stored output is invalid. With the
+    name of a ``run`` answers are committed in parts as they come, and the same call after a break
+    asks only about the rest; they go once the outputs are stored.
     """
     every = ws.read("items", dataset)
     items, kept = every, every.select("id", F.lit(None).cast("string").alias("kept"))
@@ -221,9 +224,13 @@ def run_generation(
     if max_words is not None:
         prompts, skipped = relational.over_long(prompts, "prompt_text", max_words)
     valid = lambda output: is_valid_output(F.lit(prompt.family), output)
-    answers = generation.generate_with_retries(
-        prompts.select("id", "messages"), factory, valid, batch_size=batch_size
-    )
+    chats = prompts.select("id", "messages")
+    folder = f"{ws.root}/_generation/{dataset}/{prompt.name}/{model}/{run}"
+    if run is None:
+        answers = generation.generate_with_retries(chats, factory, valid, batch_size=batch_size)
+    else:
+        rounds = generation.StoredRounds(ws.spark, folder)
+        answers = generation.generate_resumably(chats, factory, valid, rounds, batch_size=batch_size)
     broken = answers.agg(
         F.count(F.lit(1)).alias("asked"), F.count_if(F.col("failures") == F.col("attempts")).alias("n")
     ).first()
@@ -237,6 +244,9 @@ def run_generation(
         F.lit(model).alias("model"),
     )
     ws.store("outputs", rows, dataset, "prompt", "model", staged=only_failed)
+    if run is not None:
+        path, files = ws._files(folder)
+        files.delete(path, True)
     return skipped
 
 

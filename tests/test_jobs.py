@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.matching import ENTRY_TYPE
 from tallyframe.functions.prompts import MessageTemplate
+from tallyframe.operators import generation
 from tallyframe.plans import jobs
 from tallyframe.sources.registry import Model, Prompt
 
@@ -232,3 +233,48 @@ def test_buckets_keep_other_partitions_and_are_found_again(ws, tmp_path):
     for found in (other.by_id("outputs", "train"), other.read("outputs", "train")):
         assert found.count() == rows.count()
         assert found.where("output = 'new'").select("model").distinct().collect() == [("a",)]
+
+
+def test_generation_goes_on_after_a_break(ws, tmp_path):
+    calls = ws.spark.sparkContext.accumulator(0)
+
+    def factory(broken):
+        def answer(text):
+            calls.add(1)
+            if broken and "ctx 7?" in text:
+                raise generation.Interrupted("gone")
+            return "###yes" if "retry" in text or "1?" not in text else "no verdict"
+
+        return lambda texts, retry: [answer(text + " retry" * retry) for text in texts]
+
+    project = jobs.Workspace(ws.spark, str(tmp_path / "p"), MODELS, PROMPTS)
+    project.store("items", ws.read("items", "train"), "train")
+    ask = lambda broken: jobs.run_generation(
+        project, "train", PROMPTS[0], "a", [TEMPLATE], lambda: factory(broken), run="first"
+    )
+    with pytest.raises(Exception, match="gone"):
+        ask(True)
+    stored = generation.StoredRounds(ws.spark, f"{project.root}/_generation/train/check/a/first")
+    kept = stored.round(1).count()
+    assert 0 < kept < 60
+    before = calls.value
+    ask(False)
+    outputs = project.read("outputs", "train").collect()
+    assert len(outputs) == 60 and {r.output for r in outputs} == {"###yes"}
+    retried = sum(str(i).endswith("1") for i in range(60))
+    assert calls.value - before == 60 - kept + retried  # nothing committed was asked again
+    assert not stored._committed(1)
+
+
+def test_later_items_are_asked_beside_committed_ones(spark, tmp_path):
+    stored = generation.StoredRounds(spark, str(tmp_path / "r"), parts=2)
+    make = lambda ids: spark.createDataFrame(
+        [(i, [("user", f"q{i}")]) for i in ids], "id string, messages array<struct<role:string,content:string>>"
+    )
+    ask = lambda ids, text: sorted(
+        (r.id, r.output) for r in generation.generate_resumably(
+            make(ids), lambda: lambda texts, retry: [text] * len(texts), lambda output: F.lit(True), stored
+        ).collect()
+    )
+    assert ask(["a", "b", "b"], "one") == [("a", "one"), ("b", "one"), ("b", "one")]
+    assert ask(["b", "b", "c", "d"], "two") == [("b", "one"), ("b", "one"), ("c", "two"), ("d", "two")]
