@@ -27,18 +27,38 @@ def annotator_pairs(relabeled: DataFrame, first: str, second: str) -> DataFrame:
     return side(first, "a").join(side(second, "b"), "id")
 
 
+def all_annotator_pairs(relabeled: DataFrame) -> DataFrame:
+    """Rows of every two annotators of an id, the lower name as ``a``.
+
+    The rows of an id, one for each annotator, are gathered by one shuffle and paired in place; rows
+    without a name take part in no pair.
+    """
+    row = F.struct("annotator", "entries", "other_texts", "unanswerable")
+    gathered = relabeled.where(F.col("annotator").isNotNull()).groupBy("id").agg(F.collect_list(row).alias("rows"))
+    later = lambda a: F.filter("rows", lambda b: a["annotator"] < b["annotator"])
+    pairs = F.flatten(
+        F.transform(
+            "rows", lambda a: F.transform(later(a), lambda b: F.struct(a.alias("a"), b.alias("b")))
+        )
+    )
+    return gathered.select("id", F.explode(pairs).alias("p")).select("id", "p.a", "p.b")
+
+
 def answerable_pairs(pairs: DataFrame) -> DataFrame:
     """Leave out pairs in which either annotator flags the item as unanswerable."""
     flag = lambda s: F.coalesce(F.col(f"{s}.unanswerable"), F.lit(False))
     return pairs.where(~(flag("a") | flag("b")))
 
 
-def pair_scores(pairs: DataFrame, labels_only: bool = False) -> DataFrame:
-    """Agreement values of each pair of rows; overlaps of spans only where both can answer."""
+def pair_scores(
+    pairs: DataFrame, labels_only: bool = False, skip_unanswerable: bool = True
+) -> DataFrame:
+    """Agreement values of each pair of rows; overlaps of spans only where both can answer, unless
+    unanswerable items are not to be skipped."""
     flat = lambda s: flat_labels(F.col(f"{s}.entries"), F.col(f"{s}.other_texts"))
     flag = lambda s: F.coalesce(F.col(f"{s}.unanswerable"), F.lit(False))
     texts = pairs.withColumns({"flat_a": flat("a"), "flat_b": flat("b")})
-    answerable = ~(flag("a") | flag("b"))
+    answerable = ~(flag("a") | flag("b")) if skip_unanswerable else F.lit(True)
     a, b = F.col("flat_a"), F.col("flat_b")
     return texts.select(
         "id",

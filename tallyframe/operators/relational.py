@@ -1,6 +1,7 @@
 """Filters, id joins, contract checks and name keys over item tables."""
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,48 @@ def apply_filters(df: DataFrame, steps: Sequence[Step]) -> tuple[DataFrame, Data
     return df, union_all(counts)
 
 
+@dataclass(frozen=True)
+class InSet:
+    """Filter step: the id is (or, if not ``wanted``, is not) in a set of ids."""
+
+    ids: DataFrame
+    key: str = "id"
+    wanted: bool = True
+
+
+def survival(df: DataFrame, steps: Sequence[Column | InSet], name: str = "survived") -> DataFrame:
+    """All rows with the number of the last step they survive, in one pass; 0 for none.
+
+    A step is a condition, which must hold, or a set of ids. Sets are joined as marks before, so a
+    row is read once, whatever the number of steps; a NULL id is in no set.
+    """
+    conditions = []
+    columns = df.columns
+    for number, step in enumerate(steps):
+        if isinstance(step, InSet):
+            mark = f"__in_{number}"
+            marks = step.ids.select(step.key).distinct().withColumn(mark, F.lit(True))
+            df = df.join(marks, step.key, "left")
+            step = F.col(mark).isNotNull() if step.wanted else F.col(mark).isNull()
+        conditions.append(F.coalesce(step, F.lit(False)))
+    last = F.lit(len(conditions))
+    for number in reversed(range(len(conditions))):
+        last = F.when(~conditions[number], number).otherwise(last)
+    return df.select(*columns, last.cast("int").alias(name))
+
+
+def survivors(marked: DataFrame, n_steps: int, name: str = "survived") -> DataFrame:
+    """Rows that all steps keep."""
+    return marked.where(F.col(name) == n_steps).drop(name)
+
+
+def step_counts(marked: DataFrame, n_steps: int, name: str = "survived") -> DataFrame:
+    """``(step, rows)``: what is left after each step, from one aggregation."""
+    left = [F.count_if(F.col(name) >= k).alias(f"n_{k}") for k in range(1, n_steps + 1)]
+    named = [F.struct(F.lit(k).alias("step"), F.col(f"n_{k}").alias("rows")) for k in range(1, n_steps + 1)]
+    return marked.agg(*left).select(F.inline(F.array(*named)))
+
+
 def restrict_to(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return df.join(ids.select(key), key, "left_semi")
 
@@ -83,6 +126,11 @@ def confident(df: DataFrame, score: str, threshold: float) -> DataFrame:
     return df.where(~F.isnan(score) & (F.col(score) > threshold))
 
 
+def within_words(text: str, max_words: int) -> Column:
+    """Is a text within the word limit? A NULL text is."""
+    return F.coalesce(F.size(words(F.col(text))), F.lit(0)) <= max_words
+
+
 def over_long(df: DataFrame, text: str, max_words: int) -> tuple[DataFrame, DataFrame]:
     """Rows within the word limit, and ids with their length for the skipped ones.
 

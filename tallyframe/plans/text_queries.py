@@ -34,20 +34,19 @@ FILTER_SQL = f""", s1 AS (SELECT id, label, context FROM fx_items WHERE label <>
  s3 AS (SELECT id, label FROM s2 WHERE id IN (SELECT id FROM fx_truth))"""
 
 
-def _filtered(t):
-    return relational.apply_filters(
-        t.items.select("id", "label", "context"),
-        [
-            relational.drop_empty_labels,
-            lambda df: relational.over_long(df, "context", 600)[0],
-            lambda df: relational.restrict_to(df, t.truth),
-        ],
-    )
+def _survival(t):
+    """Items with the last of three filters they survive, read once."""
+    steps = [
+        ~F.col("label").eqNullSafe(""),
+        relational.within_words("context", 600),
+        relational.InSet(t.truth),
+    ]
+    return relational.survival(t.items.select("id", "label", "context"), steps), len(steps)
 
 
 @query(FILTER_SQL + "SELECT id, label FROM s3")
 def filter_chain(t):
-    return _filtered(t)[0].select("id", "label")
+    return relational.survivors(*_survival(t)).select("id", "label")
 
 
 @query(
@@ -56,7 +55,7 @@ def filter_chain(t):
     UNION ALL SELECT 3, count(*) FROM s3"""
 )
 def filter_chain_counts(t):
-    return _filtered(t)[1]
+    return relational.step_counts(*_survival(t))
 
 
 @query(

@@ -1,9 +1,12 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions.prompts import MessageTemplate
 from tallyframe.operators import agreement, features, learned, relational, sampling
 from tallyframe.operators.relational import attach_statistics
+from tallyframe.plans import QUERIES, Tables
 from tallyframe.sources.registry import Prompt
 
 
@@ -188,3 +191,38 @@ def test_review_precedence(spark):
     redone = agreement.evaluate_relabeling(relabeled, items, prior, reviews, redo=True)
     assert {r.id: r.matches_original for r in redone.collect()}["4"] is True
     assert agreement.matched_share(rows).first().asDict() == {"matches": 2, "total_rows": 4, "share": 0.5}
+
+
+def test_survival_in_one_pass(spark):
+    df = spark.createDataFrame([("1", "x", 5), ("2", "", 5), ("3", "x", None), ("4", "x", 9), (None, "x", 1), ("5", "x", 1)], "id string, label string, n int")
+    ids = spark.createDataFrame([("1",), ("1",), ("4",), (None,)], "id string")
+    steps = [F.col("label") != "", F.col("n") < 9, relational.InSet(ids), relational.InSet(ids.where("id = '4'"), wanted=False)]
+    marked = relational.survival(df, steps)
+    assert {r.id: r.survived for r in marked.collect()} == {"1": 4, "2": 0, "3": 1, "4": 1, None: 2, "5": 2}
+    assert [tuple(r) for r in relational.survivors(marked, 4).collect()] == [("1", "x", 5)]
+    counts = relational.step_counts(marked, 4)
+    assert sorted(map(tuple, counts.collect())) == [(1, 5), (2, 3), (3, 1), (4, 1)]
+    assert sorted(map(tuple, relational.step_counts(marked.limit(0), 2).collect())) == [(1, 0), (2, 0)]
+
+
+def test_counts_read_the_documents_once(spark):
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("driver tables not here")
+    plan = QUERIES["filter_chain_counts"](Tables(spark, folder))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "text#" in line for line in plan.splitlines()) == 1
+
+
+def test_all_annotator_pairs(spark):
+    entry = [("x", "x", [], "label")]
+    schema = (
+        "id string, annotator string, entries array<struct<key:string,label:string,alternatives:array<string>,type:string>>, "
+        "other_texts array<string>, unanswerable boolean"
+    )
+    rows = [("1", who, entry, None, who == "c") for who in "cab"] + [("2", "a", entry, None, None), ("2", None, entry, None, None), ("3", "b", entry, None, None)]
+    pairs = agreement.all_annotator_pairs(spark.createDataFrame(rows, schema))
+    scores = {(r.annotator_a, r.annotator_b): (r.id, r.iou, r.entity_iou) for r in agreement.pair_scores(pairs).collect()}
+    assert scores == {("a", "b"): ("1", 1.0, 1.0), ("a", "c"): ("1", 1.0, None), ("b", "c"): ("1", 1.0, None)}
+    kept = agreement.pair_scores(pairs, skip_unanswerable=False).collect()
+    assert {r.entity_iou for r in kept} == {1.0}
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
