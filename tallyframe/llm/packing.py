@@ -26,7 +26,8 @@ PIECES = (
 
 
 def tokenise(
-    documents: DataFrame, ranks_path: str, pattern: str, capacity: int, end_id: int
+    documents: DataFrame, ranks_path: str, pattern: str, capacity: int, end_id: int,
+    special: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pieces of every document: its ids and ``end_id``, cut from the end into full pieces.
 
@@ -34,7 +35,7 @@ def tokenise(
     """
 
     def make():
-        encode = byte_encoder(ranks_path, pattern)
+        encode = byte_encoder(ranks_path, pattern, special)
         end = int(end_id).to_bytes(4, "little")
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
@@ -96,14 +97,17 @@ def pack(
     pattern: str,
     capacity: int = 1024,
     end_id: int = 2,
+    special: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pack every document into sequences of at most ``capacity`` ids; one row per piece.
 
+    ``special`` are the strings the tokenizer turns into ids of their own inside texts.
+
     Only documents longer than a sequence are cut; their first piece holds what is over full ones.
     Null and empty texts are the end id alone. Repeated rows are packed once each. An empty table
     gives no rows; a null doc_id is carried as it is.
     """
-    pieces = materialise(tokenise(documents, ranks_path, pattern, capacity, end_id))
+    pieces = materialise(tokenise(documents, ranks_path, pattern, capacity, end_id, special))
     per_task = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     earlier = (
         Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

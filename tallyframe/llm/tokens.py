@@ -8,18 +8,24 @@ from functools import cache
 import numpy as np
 
 
-def byte_encoder(ranks_path: str, pattern: str) -> Callable[[str], bytes]:
+def byte_encoder(
+    ranks_path: str, pattern: str, special: dict[str, int] | None = None
+) -> Callable[[str], bytes]:
     """Function from text to its ids as little-endian unsigned 32-bit integers.
 
-    ``ranks_path`` names a file of base64 tokens and ranks, ``pattern`` the pre-token pattern.
-    Strings that look like special tokens are ordinary text.
+    ``ranks_path`` names a file of base64 tokens and ranks, ``pattern`` the pre-token pattern. The
+    strings in ``special`` become the ids given there wherever they stand; others that look like
+    special tokens are ordinary text.
     """
     import tiktoken
 
+    special = special or {}
+
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: array.array("I", encoding.encode_ordinary(text)).tobytes()
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    names = set(special)
+    return lambda text: array.array("I", encoding.encode(text, allowed_special=names, disallowed_special=())).tobytes()
 
 
 class TokenSide:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tallyframe.llm import packing, token_rollup
-from tallyframe.llm.queries import vocabulary
+from tallyframe.llm.queries import QUERIES, SPECIAL_50K, vocabulary
 from tallyframe.llm.tokens import byte_encoder
 
 PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -34,6 +34,33 @@ def test_ids_at_the_edges(text):
     assert ENCODE(text) == struct.pack(f"<{len(plain_ids(text))}I", *plain_ids(text))
 
 
+CONTRACT = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+SPECIAL = byte_encoder(*vocabulary("byte_bpe_50k"), SPECIAL_50K)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", ">", " ", "a", "\n", "é", "<|", "the", "1"]), max_size=8))
+def test_special_strings_are_those_of_the_tokenizer(parts):
+    text = "".join(parts)
+    ids = CONTRACT.encode(text, add_special_tokens=False).ids
+    assert SPECIAL(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_query_packs_the_ids_of_the_tokenizer(spark, tmp_path):
+    texts = {1: "a<|endoftext|>b", 2: "<|endoftext|>" * 1500, 3: None, 4: "plain text"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["op3_best_fit_packing"](spark, str(tmp_path)).collect()
+    ids = {k: CONTRACT.encode(t or "", add_special_tokens=False).ids + [2] for k, t in texts.items()}
+    assert sorted((r.doc_id, r.start, r.ids_crc32) for r in rows) == sorted(
+        (k, start, zlib.crc32(struct.pack(f"<{len(part)}I", *part)))
+        for k, all_ids in ids.items()
+        for start, part in (
+            [(0, all_ids)] if len(all_ids) <= 1024 else [(0, all_ids[: len(all_ids) % 1024]), (len(all_ids) % 1024, all_ids[-1024:])]
+        )
+    )
+
+
 def check_packing(rows, texts, capacity, end=2):
     ids = {k: plain_ids(t) + [end] for k, t in texts.items()}
     pieces, sequences = defaultdict(list), defaultdict(list)
