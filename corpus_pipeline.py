@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import bottom_k, decontamination, line_runs, packing, toxicity
-from tallyframe.llm.queries import table, vocabulary
+from tallyframe.llm.queries import SPECIAL_50K, table, vocabulary
 from tallyframe.session import ensure_checkpoint_dir
 
 
@@ -51,7 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 ids, one row per piece."""
-    return packing.pack(docs, *vocabulary("byte_bpe_50k"))
+    return packing.pack(docs, *vocabulary("byte_bpe_50k"), special=SPECIAL_50K)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
