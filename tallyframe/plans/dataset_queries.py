@@ -18,11 +18,12 @@ from tallyframe.plans.catalog import (
     rounded,
 )
 from tallyframe.plans.curve_queries import CURVE_SQL
+from tallyframe.plans.text_queries import REDUCE_SQL, labelled_by_words
 from tallyframe.plans.label_queries import IMPORT_SQL, annotation_documents, label_rows
 from tallyframe.session import ensure_checkpoint_dir, materialise
 from tallyframe.sources import tables
 from tallyframe.sources.annotations import write_annotation_files
-from tallyframe.sources.registry import Model
+from tallyframe.sources.registry import Model, PromptRecord
 
 UNCERTAIN_SQL = """, answer_scores AS (SELECT id, score FROM fx_score WHERE curve = 'answer_a'),
 top AS (SELECT s.id, round(score, 4) AS score, round(abs(score - 0.5E0), 4) AS "distance_from_0.5"
@@ -502,3 +503,31 @@ def generation_resumed(t):
         F.col("id").alias("first_id"), F.regexp_extract("output", r"run (\d)", 1).cast("int").alias("first_run")
     )
     return answers.join(first, F.col("id") == F.col("first_id")).select("id", "output", "attempts", "first_run")
+
+
+@query(
+    REDUCE_SQL.split("SELECT split.id, coalesce(")[0]
+    + """SELECT split.id, 'user/assistant/user' AS roles, 'Is it {red}?' AS first,
+     'About:' || chr(10) || coalesce(r.context, split.context) || chr(10) || i.question AS last
+    FROM split LEFT JOIN reduced r ON r.id = split.id JOIN fx_items i ON i.id = split.id"""
+)
+def prompt_record(t):
+    """A prompt stored as one unit, found by its name, and rendered after its preprocessing."""
+    ws = _project(t)
+    about = MessageTemplate("user", "About:\n{text}\n{ask}", {"text": "context", "ask": "question"})
+    ws.save_prompts(
+        [
+            PromptRecord("plain", ("main",), "answer", (about,)),
+            PromptRecord(
+                "reduced", ("main", "short"), "answer",
+                (MessageTemplate("user", "Is it {red}?"), MessageTemplate("assistant", "Yes."), about),
+                ("reduce_context",),
+            ),
+        ]
+    )
+    rows = jobs.prompt_messages(labelled_by_words(t), ws.prompt("reduced"))
+    return rows.select(
+        "id", F.array_join("messages.role", "/").alias("roles"),
+        F.element_at("messages", 1)["content"].alias("first"),
+        F.element_at("messages", -1)["content"].alias("last"),
+    )

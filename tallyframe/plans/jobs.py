@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyframe.functions.prompts import MessageTemplate, chat_text, render_messages
-from tallyframe.functions.parsing import is_valid_output
+from tallyframe.functions.parsing import is_valid_output, replace_empty_label
 from tallyframe.operators import (
     agreement,
     annotations,
@@ -26,11 +26,19 @@ from tallyframe.operators import (
     relational,
     sampling,
     search,
+    textjobs,
     votes,
 )
 from tallyframe.session import materialise
 from tallyframe.sources.annotations import choose_annotator, read_annotation_files
-from tallyframe.sources.registry import Model, Prompt, names_in
+from tallyframe.sources.registry import (
+    Model,
+    Prompt,
+    PromptRecord,
+    names_in,
+    prompt_records,
+    prompt_records_table,
+)
 
 VOTE_METHODS = (
     "majority_vote",
@@ -42,6 +50,15 @@ VOTE_METHODS = (
 # Tables that can be dealt out by id, and how they are partitioned below the dataset.
 BUCKETED = {"items": (), "outputs": ("prompt", "model")}
 
+# Steps a prompt may name; items go through them before its messages are rendered.
+STEPS: dict[str, relational.Step] = {
+    "reduce_context": textjobs.reduce_contexts,
+    "drop_empty_labels": relational.drop_empty_labels,
+    "replace_empty_label": lambda items: items.withColumn(
+        "label", replace_empty_label(F.col("label"))
+    ),
+}
+
 
 class Workspace:
     def __init__(
@@ -183,16 +200,42 @@ class Workspace:
             raise ValueError(f"no outputs of {dataset} for (prompt, model) {missing}")
         return rows
 
+    def save_prompts(self, records: Sequence[PromptRecord]) -> None:
+        """Store the project's prompts with their messages and preprocessing, in place of others."""
+        unknown = sorted({step for r in records for step in r.preprocessing} - set(STEPS))
+        if unknown:
+            raise ValueError(f"no preprocessing steps {unknown}")
+        table = prompt_records_table(self.spark, records)
+        table.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/prompts")
+
+    def prompt(self, name: str) -> PromptRecord:
+        found = prompt_records(self.spark.read.parquet(f"{self.root}/prompts"))
+        if name not in found:
+            raise ValueError(f"no prompt {name} among {sorted(found)}")
+        return found[name]
+
     def truth(self, dataset: str) -> DataFrame:
         return self.read("relabel_evaluation", dataset).select("id", "matches_original")
 
 
+def prepared(items: DataFrame, prompt: Prompt) -> DataFrame:
+    """Items after the preprocessing of a prompt record; a plain prompt has none."""
+    for step in getattr(prompt, "preprocessing", ()):
+        items = items.transform(STEPS[step])
+    return items
+
+
+def prompt_messages(items: DataFrame, prompt: PromptRecord) -> DataFrame:
+    """``(id, messages)``: the prompt's messages for every item its preprocessing leaves."""
+    return prepared(items, prompt).select("id", render_messages(prompt.templates).alias("messages"))
+
+
 def run_generation(
     ws: Workspace,
     dataset: str,
-    prompt: Prompt,
+    prompt: Prompt | str,
     model: str,
-    templates: Sequence[MessageTemplate],
+    templates: Sequence[MessageTemplate] | None,
     factory: Callable[[], generation.Generator],
     preprocess: Sequence[relational.Step] = (),
     filters: Sequence[relational.Step] = (),
@@ -203,11 +246,16 @@ def run_generation(
 ) -> DataFrame:
     """Ask a model about every item, store its outputs, and return the over-long items.
 
+    A prompt given by name is looked up among the project's stored ones; its messages stand in for
+    ``templates``, and its preprocessing comes before ``preprocess``.
+
     Items a filter drops, over-long ones and final failures get a NULL output, so that every
     item has a row. ``only_failed`` asks again only where the stored output is invalid. With the
     name of a ``run`` answers are committed in parts as they come, and the same call after a break
     asks only about the rest; they go once the outputs are stored.
     """
+    prompt = ws.prompt(prompt) if isinstance(prompt, str) else prompt
+    templates = prompt.templates if templates is None else templates
     every = ws.read("items", dataset)
     items, kept = every, every.select("id", F.lit(None).cast("string").alias("kept"))
     if only_failed:
@@ -216,6 +264,7 @@ def run_generation(
         ).select("id", "output")
         items, _orphans = relational.invalid_rerun_set(items, stored, F.lit(prompt.family))
         kept = every.select("id").join(stored.withColumnRenamed("output", "kept"), "id", "left")
+    items = prepared(items, prompt)
     for step in (*preprocess, *filters):
         items = items.transform(step)
     chats = items.select("id", render_messages(templates).alias("messages"))
@@ -524,15 +573,19 @@ def move_sampled(ws: Workspace, dataset: str, kept_as: str, moved_as: str) -> No
 
 
 def finetuning_rows(
-    ws: Workspace, dataset: str, template: MessageTemplate, prompt: Prompt,
+    ws: Workspace, dataset: str, template: MessageTemplate | None, prompt: Prompt | str,
     score_name: str | None = None, threshold: float | None = None,
     preferred_model: str | None = None,
 ) -> DataFrame:
     """``(id, input, output)`` rows of a project's stored tables.
 
     With a score only confident items; with a preferred model the raw output of the first
-    correct model, that one being asked first, instead of the original label.
+    correct model, that one being asked first, instead of the original label. A prompt given by name
+    is looked up among the stored ones: its last message is the template where none is given, and its
+    preprocessing is applied to the items.
     """
+    prompt = ws.prompt(prompt) if isinstance(prompt, str) else prompt
+    template = prompt.templates[-1] if template is None else template
     scores = None if score_name is None else compared_scores(ws, dataset, [score_name])
     reasoning = None
     if preferred_model is not None:
@@ -543,17 +596,18 @@ def finetuning_rows(
             ws.by_id("outputs", dataset).where(of_prompt),
             order,
         )
-    items = ws.by_id("items", dataset)
+    items = prepared(ws.by_id("items", dataset), prompt)
     return sampling.finetune_rows(
         items, template, scores, "score", threshold, reasoning, ws.buckets
     )
 
 
 def build_finetuning(
-    ws: Workspace, dataset: str, template: MessageTemplate, prompt: Prompt,
+    ws: Workspace, dataset: str, template: MessageTemplate | None, prompt: Prompt | str,
     score_name: str | None = None, threshold: float | None = None,
     preferred_model: str | None = None,
 ) -> None:
     """Store the rows of ``finetuning_rows``."""
     rows = finetuning_rows(ws, dataset, template, prompt, score_name, threshold, preferred_model)
-    ws.store("finetune", rows.withColumn("prompt", F.lit(prompt.name)), dataset, "prompt")
+    name = prompt if isinstance(prompt, str) else prompt.name
+    ws.store("finetune", rows.withColumn("prompt", F.lit(name)), dataset, "prompt")

@@ -305,19 +305,24 @@ FROM split LEFT JOIN reduced r ON r.id = split.id
 """
 
 
-@query(REDUCE_SQL)
-def reduce_context(t):
-    """Contexts reduced to the sentences around ``word ; word pair`` labels of the text.
-
-    Texts of one word or none have shorter labels, or the whole text as their label.
-    """
+def labelled_by_words(t):
+    """Items whose label is ``word pair ; word`` of their text."""
     parts = F.split("context", " ")
     label = F.concat_ws(
         " ; ",
         F.concat_ws(" ", F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1))),
         parts[0],
     )
-    items = t.items.select("id", "context", label.alias("label"))
+    return t.items.select("id", "context", "question", label.alias("label"))
+
+
+@query(REDUCE_SQL)
+def reduce_context(t):
+    """Contexts reduced to the sentences around ``word ; word pair`` labels of the text.
+
+    Texts of one word or none have shorter labels, or the whole text as their label.
+    """
+    items = labelled_by_words(t).select("id", "context", "label")
     return rounded(
         textjobs.reduce_contexts(items).select("id", "context", "n_sentences", "n_kept", "reduction"),
         "reduction",

@@ -23,6 +23,47 @@ class Prompt:
     family: str
 
 
+@dataclass(frozen=True)
+class PromptRecord(Prompt):
+    """A prompt as one unit: its messages in order, and the names of the steps its items go through
+    before they are rendered."""
+
+    templates: tuple[MessageTemplate, ...] = ()
+    preprocessing: tuple[str, ...] = ()
+
+
+RECORDS = (
+    "name string, groups array<string>, family string, preprocessing array<string>, "
+    "templates array<struct<role:string,content:string,variables:map<string,string>>>"
+)
+
+
+def prompt_records_table(spark: SparkSession, records: Iterable[PromptRecord]) -> DataFrame:
+    """One row per prompt; templates keep their order, fixed texts have NULL variables."""
+    rows = [
+        (
+            r.name, list(r.groups), r.family, list(r.preprocessing),
+            [(t.role, t.content, None if t.variables is None else dict(t.variables)) for t in r.templates],
+        )
+        for r in records
+    ]
+    return spark.createDataFrame(rows, RECORDS)
+
+
+def prompt_records(table: DataFrame) -> dict[str, PromptRecord]:
+    """Prompts of such a table by name; they are configuration, read once on the driver."""
+    found: dict[str, PromptRecord] = {}
+    for row in table.select("name", "groups", "family", "preprocessing", "templates").collect():
+        if row.name in found:
+            raise ValueError(f"prompt {row.name} is stored twice")
+        found[row.name] = PromptRecord(
+            row.name, tuple(row.groups), row.family,
+            tuple(MessageTemplate(t.role, t.content, t.variables) for t in row.templates),
+            tuple(row.preprocessing),
+        )
+    return found
+
+
 def registry_table(spark: SparkSession, members: Iterable[Model | Prompt]) -> DataFrame:
     rows = [(m.name, list(m.groups), getattr(m, "family", None)) for m in members]
     return spark.createDataFrame(rows, "name string, groups array<string>, family string")

@@ -7,7 +7,7 @@ from tallyframe.functions.matching import ENTRY_TYPE
 from tallyframe.functions.prompts import MessageTemplate
 from tallyframe.operators import generation
 from tallyframe.plans import jobs
-from tallyframe.sources.registry import Model, Prompt
+from tallyframe.sources.registry import Model, Prompt, PromptRecord
 
 MODELS = [Model("a", ("all", "pair")), Model("b", ("all", "pair")), Model("c", ("all",))]
 PROMPTS = [Prompt("check", ("main",), "yes_no"), Prompt("answer", ("main", "answers"), "answer")]
@@ -278,3 +278,33 @@ def test_later_items_are_asked_beside_committed_ones(spark, tmp_path):
     )
     assert ask(["a", "b", "b"], "one") == [("a", "one"), ("b", "one"), ("b", "one")]
     assert ask(["b", "b", "c", "d"], "two") == [("b", "one"), ("b", "one"), ("c", "two"), ("d", "two")]
+
+
+def test_prompts_are_found_by_name(ws, tmp_path):
+    project = jobs.Workspace(ws.spark, str(tmp_path / "named"), MODELS, PROMPTS)
+    project.store("items", ws.read("items", "train").withColumn("label", F.expr("if(id = '3', '', label)")), "train")
+    records = [
+        PromptRecord("check", ("main",), "yes_no", (MessageTemplate("system", "s {x}"), TEMPLATE), ("drop_empty_labels",)),
+        PromptRecord("other", (), "answer", (TEMPLATE,)),
+    ]
+    project.save_prompts(records)
+    assert [project.prompt(r.name) for r in records] == records
+    with pytest.raises(ValueError, match="no prompt gone"):
+        project.prompt("gone")
+    with pytest.raises(ValueError, match="unheard"):
+        project.save_prompts([PromptRecord("x", (), "answer", (), ("unheard",))])
+    asked = ws.spark.sparkContext.accumulator(0)
+
+    def factory():
+        def answer(texts, retry):
+            asked.add(sum("s {x}" in text and "who" in text for text in texts))
+            return ["###yes"] * len(texts)
+
+        return answer
+
+    jobs.run_generation(project, "train", "check", "a", None, factory)
+    rows = {r.id: r.output for r in project.read("outputs", "train").collect()}
+    assert asked.value == 59 and rows.pop("3") is None and set(rows.values()) == {"###yes"}
+    jobs.build_finetuning(project, "train", None, "check")
+    tuned = {r.id: r.input for r in project.read("finetune", "train").collect()}
+    assert len(tuned) == 59 and tuned["7"] == "ctx 7? who"
