@@ -15,17 +15,21 @@ hold little else, and a document most of whose values occur nowhere else has no
 Entries meet only within neighbouring size classes, as similar sets have similar sizes.
 
 Large groups. Entries of a list of up to ``SHORT_LIST`` meet one another. In a longer list they are
-only compared with one of them, the hub (the set with most entries, so in a group of copies one
-near the common original), and every set is written as its difference from the hub: the hub's
-shingles it lacks and its own that the hub lacks. Two sets linked to the hub need no comparison. If
-at least one is not linked, they can only be similar if their differences have elements in common,
-and how many follows from the sizes; so the same rarest-first listing is applied to the differences.
-Copies changed at random places share few of them, which leaves next to no pairs.
-
-The numbers, with p percent, set sizes A, B and H, and i the shingles in common with the hub:
-G(A) = p (A + H) - (100 + p) i(A) is at most 0 if and only if A is linked to the hub, and at least
--(100 - p) H. A and B are similar if and only if their differences share at least
-(G(A) + G(B) + (100 - p) H) / (100 + p) elements.
+only compared with one of them, the hub (the set with most entries), and every set is written as its
+difference from a reference: the shingles that most of some 32 of the hub's sets hold, which in a
+group of copies is close to the common original even if every copy, the hub included, is changed.
+Which sets are asked for the reference changes no result, only the size of the differences.
+
+With p percent, set size A and difference size d(A), let w(A) = (100 + p) d(A) - (100 - p) A. Two
+sets whose differences have c elements in common are similar if and only if
+2 (100 + p) c >= w(A) + w(B). So sets with w(A) + w(B) <= 0 are linked as they are, each such one to
+the set of the lowest w, and all others need common elements, the more the farther they are.
+
+Only groups are asked for, so sets that already are in one group are not compared: the links found so
+far give labels, the label that most sets of a hub have is its main one, and only sets of other labels
+are listed, with one another and with those of the main label. Elements held by one set or by one
+label only are left out, and the rarest-first listing is applied to the rest. Copies changed at
+random places have hardly any element in common besides the reference's, so next to no pairs remain.
 """
 
 import hashlib
@@ -41,6 +45,10 @@ from tallyframe.session import materialise
 
 # Members of an inverted list that meet one another; longer lists go by their hub.
 SHORT_LIST = 32
+# Sets of a hub that are asked, expectedly, for its reference.
+ASKED = 32
+# Hubs up to which facts of some numbers each are sent to every task (some 10 MB).
+BROADCAST_HUBS = 100_000
 
 
 def sketches(documents: DataFrame, words: int, k: int) -> DataFrame:
@@ -167,107 +175,141 @@ def _confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame
     )
 
 
-def _differences(stars: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """Hub a and set b with their difference, G of the set, and the size of the hub."""
+def _by_hub(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts of the hubs beside the rows. A hub may have most of the rows, so few hubs are sent to
+    every task; many are joined, where adaptive execution splits a hub's rows."""
+    return rows.join(F.broadcast(facts) if facts.count() <= BROADCAST_HUBS else facts, "a")
+
+
+def _references(stars: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Per hub a the shingles that more than half of some ``ASKED`` of its sets hold."""
+    sizes = materialise(stars.groupBy("a").agg(F.count(F.lit(1)).alias("members")))
+    every = F.greatest(F.floor(F.col("members") / ASKED), F.lit(1))
+    asked = _by_hub(stars, sizes).where(F.pmod(F.xxhash64("a", "b"), every) == 0).select("a", "b")
+    sets = asked.unionByName(sizes.select("a", F.col("a").alias("b"))).join(
+        shingles.select(F.col("id").alias("b"), "hashes"), "b"
+    )
 
     def make():
         def work(batch):
-            out = {"a": batch["a"], "b": batch["b"], "excess": [], "size": [], "elements": []}
-            for x, y in zip(batch["hashes_a"], batch["hashes_b"]):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
-                y = np.frombuffer(y.as_buffer(), np.uint64)
-                apart = np.setxor1d(x, y, assume_unique=True)
-                shared = (len(x) + len(y) - len(apart)) // 2
-                out["excess"].append(percent * (len(x) + len(y)) - (100 + percent) * shared)
-                out["size"].append(len(x))
+            common = []
+            for members in batch["members"]:
+                held = [np.frombuffer(m.as_buffer(), np.uint64) for m in members.values]
+                values, counts = np.unique(np.concatenate(held), return_counts=True)
+                common.append(values[2 * counts > len(held)].tobytes())
+            return {"a": batch["a"], "reference": common}
+
+        return work
+
+    gathered = sets.groupBy("a").agg(F.collect_list("hashes").alias("members"))
+    return map_rows(gathered, "a bigint, reference binary", make)
+
+
+def _differences(
+    stars: DataFrame, references: DataFrame, shingles: DataFrame, percent: int
+) -> DataFrame:
+    """Hub a and set b: whether they are similar, w of the set, and its difference."""
+
+    def make():
+        def work(batch):
+            out = {"a": batch["a"], "b": batch["b"], "linked": [], "w": [], "elements": []}
+            for hub, own, common in zip(batch["hashes_a"], batch["hashes_b"], batch["reference"]):
+                hub, own, common = (np.frombuffer(x.as_buffer(), np.uint64) for x in (hub, own, common))
+                shared = len(np.intersect1d(hub, own, assume_unique=True))
+                out["linked"].append(100 * shared >= percent * (len(hub) + len(own) - shared))
+                apart = np.setxor1d(own, common, assume_unique=True)
+                out["w"].append((100 + percent) * len(apart) - (100 - percent) * len(own))
                 out["elements"].append(apart.view(np.int64))
             return out
 
         return work
 
+    own = shingles.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b"))
+    hubs = references.join(shingles.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a")), "a")
     return map_rows(
-        _sides(stars, shingles),
-        "a bigint, b bigint, excess bigint, size bigint, elements array<bigint>",
+        stars.join(own, "b").join(hubs, "a").select("a", "b", "hashes_a", "hashes_b", "reference"),
+        "a bigint, b bigint, linked boolean, w bigint, elements array<bigint>",
         make,
     )
 
 
-def _rarest(differences: DataFrame, least) -> DataFrame:
-    """Lists (hub, element) of sets that must share ``least`` elements with a partner."""
-    single = differences.select("a", "b", "excess", "size", F.explode("elements").alias("element"))
-    often = (
-        single.groupBy("a", "element").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+def _near_links(differences: DataFrame) -> DataFrame:
+    """Links that need no comparison: to the hub, and to the set nearest to the reference."""
+    nearest = materialise(
+        differences.groupBy("a").agg(F.min(F.struct("w", "b")).alias("nearest"))
     )
-    return (
-        single.join(often, ["a", "element"])
-        .groupBy("a", "b", "excess", "size")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("shared"))
-        .select(
-            "a", "b", "excess", "size", "shared", *[x.alias(name) for name, x in least.items()]
-        )
+    near = _by_hub(differences.select("a", "b", "w"), nearest).where(
+        (F.col("w") + F.col("nearest.w") <= 0) & (F.col("b") != F.col("nearest.b"))
+    )
+    return differences.where(F.col("linked") & (F.col("a") != F.col("b"))).select("a", "b").unionByName(
+        near.select(F.col("nearest.b").alias("a"), "b")
     )
 
 
-def _pairs_by_difference(differences: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of one hub, not both linked to it, whose differences may share enough."""
-    whole = 100 + percent
-    base = (100 - percent) * F.col("size")
-    open_hubs = differences.where("excess > 0").select("a").distinct()
-    # sets linked to one hub are in one group, whatever another hub says; a set has few hubs
-    known = (
-        differences.where("excess <= 0")
-        .groupBy("b")
-        .agg(F.collect_set("a").alias("hubs"))
-        .withColumnRenamed("b", "id")
+def _pairs_by_difference(differences: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of one hub in different groups whose differences may share enough."""
+    whole = 2 * (100 + percent)
+    named = differences.select("a", "b", "w", "elements").join(
+        labels.select(F.col("node").alias("b"), F.col("component").alias("label")), "b", "left"
     )
-    rarest = _rarest(
-        differences.join(open_hubs, "a", "left_semi"),
-        {
-            # with any partner, with one not linked to the hub
-            "any": F.ceil(F.col("excess") / whole),
-            "open": F.ceil((F.col("excess") + 1 + base) / whole),
-        },
+    named = materialise(named.withColumn("label", F.coalesce("label", "b")))
+    sizes = named.groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("w"))
+    mains = sizes.groupBy("a").agg(
+        F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.count(F.lit(1)).alias("labels")
     )
-    listed = materialise(
-        rarest.join(known, F.col("b") == F.col("id"), "left").withColumn(
-            "hubs", F.coalesce("hubs", F.array().cast("array<bigint>"))
+    # hubs whose sets are all in one group are done
+    mains = mains.where("labels > 1").select("a", "main")
+    least = (
+        sizes.join(mains, "a")
+        .groupBy("a", "main")
+        .agg(
+            F.min(F.when(F.col("label") == F.col("main"), F.col("w"))).alias("w_main"),
+            F.min(F.when(F.col("label") != F.col("main"), F.col("w"))).alias("w_other"),
         )
     )
-
-    def roomy(least: str, linked: bool) -> DataFrame:
-        room = (F.size("shared") - F.greatest(F.col(least), F.lit(1)) + 1).cast("int")
-        rows = listed.where(F.col("excess") <= 0 if linked else F.col("excess") > 0)
-        return rows.withColumn("room", room).where(F.col("room") > 0)
-
-    def entries(rows: DataFrame, side: str) -> DataFrame:
-        """Listed elements; ``left`` counts those from this one on."""
-        return (
-            rows.select(
-                "a", "size", "shared", F.col("b").alias(f"id_{side}"),
-                F.col("hubs").alias(f"hubs_{side}"),
-                F.col("excess").alias(f"excess_{side}"),
-                F.posexplode(F.slice("shared", F.lit(1), F.col("room"))).alias("place", "entry"),
-            )
-            .select(
-                "a", "size", F.col("entry.element").alias("element"), f"id_{side}",
-                f"excess_{side}", f"hubs_{side}",
-                (F.size("shared") - F.col("place")).alias(f"left_{side}"),
-            )
+    sets = _by_hub(named, materialise(least)).withColumn("other", F.col("label") != F.col("main"))
+    columns = ["a", "b", "w", "w_main", "w_other", "other", "label"]
+    # an element matters if a set of another label than the main one holds it, and two labels do
+    single = materialise(sets.select(*columns, F.explode("elements").alias("element")))
+    often = (
+        single.groupBy("a", "element")
+        .agg(
+            F.count(F.lit(1)).alias("df"), F.min("label").alias("low"), F.max("label").alias("high"),
         )
+        .where(F.col("low") != F.col("high"))
+        .select("a", "element", "df")
+    )
+    listed = materialise(
+        single.join(often, ["a", "element"])
+        .groupBy(*columns)
+        .agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("shared"))
+    )
+
+    def entries(side: str, other: bool, partner: str) -> DataFrame:
+        """Listed elements of sets that meet partners of at least the w in the column ``partner``;
+        ``left`` counts a set's elements from the listed one on."""
+        must = F.greatest(F.ceil((F.col("w") + F.col(partner)) / whole), F.lit(1))
+        room = (F.size("shared") - must + 1).cast("int")
+        rows = listed.where("other" if other else "NOT other").withColumn("room", room)
+        return rows.where(F.col("room") > 0).select(
+            "a", F.col("b").alias(f"id_{side}"), F.col("w").alias(f"w_{side}"),
+            F.col("label").alias(f"label_{side}"), F.size("shared").alias("size"),
+            F.posexplode(F.slice("shared", F.lit(1), F.col("room"))).alias("place", "entry"),
+        ).select(
+            "a", F.col("entry.element").alias("element"), f"id_{side}", f"w_{side}", f"label_{side}",
+            (F.col("size") - F.col("place")).alias(f"left_{side}"),
+        )
 
     # At their first common element, as many elements must be left as the two have to share.
-    enough = F.least("left_x", "left_y") * whole >= F.col("excess_x") + F.col("excess_y") + base
-    enough = enough & ~F.arrays_overlap("hubs_x", "hubs_y")
-    on = ["a", "size", "element"]
-    both_open = entries(roomy("open", False), "x").join(entries(roomy("open", False), "y"), on)
-    # a set not linked to its hub can meet linked ones only where some of them are listed
-    linked = roomy("open", True)
-    any_partner = roomy("any", False).join(linked.select("a").distinct(), "a", "left_semi")
-    one_open = entries(any_partner, "x").join(entries(linked, "y"), on)
+    enough = F.least("left_x", "left_y") * whole >= F.col("w_x") + F.col("w_y")
+    enough = enough & (F.col("label_x") != F.col("label_y"))
+    on = ["a", "element"]
+    both = entries("x", True, "w_other").join(entries("y", True, "w_other"), on)
+    mixed = entries("x", True, "w_main").join(entries("y", False, "w_other"), on)
     return (
-        both_open.where((F.col("id_x") < F.col("id_y")) & enough)
+        both.where((F.col("id_x") < F.col("id_y")) & enough)
         .select("id_x", "id_y")
-        .unionByName(one_open.where(enough).select("id_x", "id_y"))
+        .unionByName(mixed.where(enough).select("id_x", "id_y"))
         .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
         .distinct()
     )
@@ -333,19 +375,23 @@ def near_duplicates(
         .select("a", "b")
         .distinct()
     )
-    likely = materialise(_estimated(pairs, sets, percent, k))
-    stars = (
-        met.where((F.col("members") > SHORT_LIST) & (F.col("id") != F.col("hub")))
+    likely = _estimated(pairs, sets, percent, k)
+    stars = materialise(
+        met.where(F.col("members") > SHORT_LIST)
         .select(F.col("hub").alias("a"), F.col("id").alias("b"))
         .distinct()
     )
-    differences = materialise(_differences(stars, shingles, percent))
-    more = materialise(_estimated(_pairs_by_difference(differences, percent), sets, percent, k))
-    links = (
-        _confirmed(likely.unionByName(more), shingles, percent)
-        .unionByName(differences.where("excess <= 0").select("a", "b"))
+    references = _references(stars, shingles)
+    differences = materialise(_differences(stars, references, shingles, percent))
+    found = materialise(
+        _confirmed(likely, shingles, percent).unionByName(_near_links(differences))
     )
-    labels = components(links)
+    labels = components(found)
+    more = _pairs_by_difference(differences, labels, percent)
+    later = materialise(_confirmed(_estimated(more, sets, percent, k), shingles, percent))
+    if not later.isEmpty():
+        # what the groups found first are joined to, by their labels
+        labels = components(later.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     groups = sets.join(labels, sets["id"] == labels["node"], "left").select(
         "digest", F.coalesce("component", "id").alias("component")
     )

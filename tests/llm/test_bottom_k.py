@@ -81,6 +81,31 @@ def test_against_all_pairs(spark, width, seed):
     assert sorted(tuple(r) for r in rows) == plain(texts, width)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_links_inside_large_groups(spark, monkeypatch, seed):
+    """Clouds of copies around an original, near the limit of similarity, all compared by hubs."""
+    monkeypatch.setattr(bottom_k, "SHORT_LIST", 3)
+    monkeypatch.setattr(bottom_k, "ASKED", 5)
+    rng = random.Random(seed)
+    texts, number = [], 0
+    for size in (30, 45, 60):
+        original = [f"o{seed}{size}{i}" for i in range(size)]
+        for k in range(45):
+            changed = list(original)
+            # places from a few, so that copies share changes; some words from a few, too
+            for place in rng.sample(range(0, size, rng.choice([2, 5, 9])), rng.randint(0, 3)):
+                changed[place] = rng.choice([f"n{rng.randrange(3)}", f"x{number}"])
+            if rng.random() < 0.2:
+                changed += [f"t{rng.randrange(9)}" for _ in range(rng.randint(1, 12))]
+            texts.append((number, " ".join(changed)))
+            number += 1
+    texts += [(5000 + i, " ".join(f"o{seed}30{k}" for k in range(30)) + f" z{i}") for i in range(30)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    for width in (2, 5):
+        rows = bottom_k.near_duplicates(df, words=width).collect()
+        assert sorted(tuple(r) for r in rows) == plain(texts, width)
+
+
 def test_long_texts(spark):
     rng = random.Random(1)
     base = [f"w{rng.randrange(9000)}" for _ in range(20000)]
