@@ -5,6 +5,7 @@ import uuid
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
+from tallyframe import schemas
 from tallyframe.functions.numbers import verdict_number
 from tallyframe.functions.parsing import is_valid_answer
 from tallyframe.functions.prompts import MessageTemplate, render_messages
@@ -18,7 +19,12 @@ from tallyframe.plans.catalog import (
     rounded,
 )
 from tallyframe.plans.curve_queries import CURVE_SQL
-from tallyframe.plans.text_queries import REDUCE_SQL, labelled_by_words
+from tallyframe.plans.text_queries import (
+    ANNOTATION_TEXT_SQL,
+    REDUCE_SQL,
+    labelled_by_words,
+    source_documents,
+)
 from tallyframe.plans.label_queries import IMPORT_SQL, annotation_documents, label_rows
 from tallyframe.session import ensure_checkpoint_dir, materialise
 from tallyframe.sources import tables
@@ -531,3 +537,60 @@ def prompt_record(t):
         F.element_at("messages", 1)["content"].alias("first"),
         F.element_at("messages", -1)["content"].alias("last"),
     )
+
+
+@query(
+    """SELECT CASE WHEN k = 0 THEN 'sound' ELSE 'broken' END AS kind,
+     CASE WHEN k = 0 THEN count(*) ELSE 0 END::BIGINT AS records, CASE WHEN k = 0 THEN 0 ELSE 1 END::BIGINT AS broken,
+     CASE WHEN k = 0 THEN sum(length(label) + length(question))::BIGINT END AS n_chars
+    FROM fx_items, (VALUES (0), (1)) v(k) GROUP BY k"""
+)
+def json_arrays(t):
+    """Items written as one array per file and read back, beside a file that breaks off."""
+    folder = _scratch(t)
+    tables.write_json_arrays(t.items.select("id", "label", "question"), f"{folder}/sound", files=32)
+    cut = t.items.agg(F.count(F.lit(1)).alias("n")).select(
+        F.concat(F.lit('[{"id": "1", "label": "x"}, {"id": "'), "n").alias("value")
+    )
+    cut.write.text(f"{folder}/cut/part=broken")
+    paths = [f"{folder}/sound/*", f"{folder}/cut/*"]
+    checked = tables.read_json_checked(t.spark, paths, "id string, label string, question string", arrays=True)
+    report = tables.file_report(checked)
+    kind = F.when(F.col("broken") > 0, "broken").otherwise("sound").alias("kind")
+    files = report.groupBy(kind).agg(F.sum("records").alias("records"), F.sum("broken").alias("broken"))
+    chars = tables.sound_records(checked).agg(
+        F.sum(F.length("label") + F.length("question")).alias("n_chars")
+    )
+    return files.join(chars.withColumn("kind", F.lit("sound")), "kind", "left")
+
+
+@query(
+    """SELECT coalesce(source, 'none') AS dataset, count(*) AS n, sum(doc_id)::BIGINT AS ids,
+     sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1"""
+)
+def json_folders(t):
+    """Documents written into a folder for each source, and all folders read as one table."""
+    folder = _scratch(t)
+    documents = t["documents"].select("doc_id", "text", F.coalesce("source", F.lit("none")).alias("source"))
+    documents.write.partitionBy("source").json(folder)
+    read = tables.read_json_folder(t.spark, folder, "doc_id long, text string", folders=True)
+    return read.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"),
+        F.sum(F.length("text").cast("bigint")).alias("n_chars"),
+    )
+
+
+@query(UNCERTAIN_SQL + 'SELECT id, score, "distance_from_0.5" FROM top')
+def samples_written(t):
+    """The most uncertain items as a sample file, read back."""
+    folder = _scratch(t)
+    tables.write_samples(sampling.most_uncertain(_answer_scores(t), t.truth, 100), folder)
+    return tables.read_json_lines(t.spark, folder, schemas.SAMPLES)
+
+
+@query(ANNOTATION_TEXT_SQL)
+def annotation_texts_written(t):
+    """Question texts for annotators, stored as a table and read back."""
+    folder = _scratch(t)
+    tables.write_annotation_texts(source_documents(t), folder)
+    return t.spark.read.parquet(folder).withColumnRenamed("value", "text")

@@ -217,7 +217,7 @@ def csv_split(t):
     )
 
 
-def _source_documents(t):
+def source_documents(t):
     """Each turn as a source document: its lines are paragraphs, each with a question."""
     paragraphs = F.split("text", "\n")
     answers = lambda p, i: F.transform(
@@ -259,7 +259,7 @@ flat AS (SELECT row || '_' || i AS id, conv_id AS "index", role, context, role |
      CASE WHEN NOT broken THEN i::INT END AS para FROM flat"""
 )
 def flatten_questions(t):
-    flat = flatten.flatten_questions(_source_documents(t))
+    flat = flatten.flatten_questions(source_documents(t))
     places = F.col("position_labels")
     return flat.select(
         "id", "index", "role", "context", "question", "label",
@@ -268,12 +268,15 @@ def flatten_questions(t):
     )
 
 
-@query(
+ANNOTATION_TEXT_SQL = (
     FLAT_SQL
     + "SELECT id, context || chr(10) || repeat('=', 50) || chr(10) || chr(10) || chr(10) || '.' || question AS text FROM flat"
 )
+
+
+@query(ANNOTATION_TEXT_SQL)
 def annotation_texts(t):
-    return flatten.annotation_texts(_source_documents(t))
+    return flatten.annotation_texts(source_documents(t))
 
 
 REDUCE_SQL = """, it AS (SELECT id, context, concat_ws(' ; ', concat_ws(' ', p[-2], p[-1]), p[1]) AS label

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe import schemas
 from tallyframe.functions.matching import label_entries
 from tallyframe.operators.flatten import annotation_texts, parse_question_pairs
+from tallyframe.operators.sampling import hash_bucket
 from tallyframe.session import materialise
 
 
@@ -32,10 +33,20 @@ def read_json_array(spark: SparkSession, path: str | list[str], schema: str) ->
 
 
 def read_json_folder(
-    spark: SparkSession, path: str, schema: str, key: str = "dataset", arrays: bool = False
+    spark: SparkSession, path: str, schema: str, key: str = "dataset", arrays: bool = False,
+    folders: bool = False,
 ) -> DataFrame:
-    """All JSON files of a folder as one table, keyed by file name without its ending."""
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    """All JSON files of a folder as one table, keyed by file name without its ending.
+
+    With ``folders`` the key is the name of the folder a file lies in, without a ``column=`` before
+    it, as partitioned writes leave them.
+    """
+    if folders:
+        own = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+        name = F.url_decode(F.url_decode(F.regexp_replace(own, "^[^=]*=", "")))
+        path = f"{path}/*"
+    else:
+        name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     return (
         spark.read.schema(schema)
         .json(path, multiLine=arrays, pathGlobFilter="*.json")
@@ -43,6 +54,59 @@ def read_json_folder(
     )
 
 
+FILE, BROKEN = "source_file", "broken_record"
+
+
+def read_json_checked(
+    spark: SparkSession, path: str | list[str], schema: str, arrays: bool = False
+) -> DataFrame:
+    """JSON lines, or one array per file, with the file of each record and what is no JSON.
+
+    ``broken_record`` holds the text of a line, or of a whole file of an array, that cannot be read;
+    such a record has NULL in every other column and costs neither the job nor its neighbours.
+    """
+    lines = spark.read.text(path, wholetext=arrays).select(
+        F.col("_metadata.file_path").alias(FILE), F.col("value")
+    )
+    lines = lines.where(F.rlike("value", F.lit(r"\S")))
+    if not arrays:
+        fields = f"{schema}, {BROKEN} string"
+        options = {"columnNameOfCorruptRecord": BROKEN}
+        return lines.select(F.from_json("value", fields, options).alias("r"), FILE).select("r.*", FILE)
+    records = F.from_json("value", f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})
+    # a text that ends too early is no array, whatever could be read of it
+    whole = records.isNotNull() & F.rlike("value", F.lit(r"\]\s*$"))
+    parsed = lines.select(FILE, F.when(whole, records).alias("records"), "value")
+    good = parsed.select(F.explode("records").alias("r"), FILE).select(
+        "r.*", F.lit(None).cast("string").alias(BROKEN), FILE
+    )
+    bad = parsed.where(F.col("records").isNull()).select(F.col("value").alias(BROKEN), FILE)
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
+def sound_records(checked: DataFrame) -> DataFrame:
+    """Records that could be read, without the columns of the check."""
+    return checked.where(F.col(BROKEN).isNull()).drop(BROKEN, FILE)
+
+
+def file_report(checked: DataFrame) -> DataFrame:
+    """``(file, records, broken)`` of every file that holds anything but blanks."""
+    return checked.groupBy(F.col(FILE).alias("file")).agg(
+        F.count_if(F.col(BROKEN).isNull()).alias("records"),
+        F.count_if(F.col(BROKEN).isNotNull()).alias("broken"),
+    )
+
+
+def write_json_arrays(df: DataFrame, path: str, files: int, key: str = "id") -> None:
+    """One array of records per file, in so many files by a hash of the key; each should be small
+    enough for a reader to take it whole."""
+    group = hash_bucket(F.coalesce(F.col(key).cast("string"), F.lit("")), files)
+    arrays = df.select(group.alias("part"), F.struct(*df.columns).alias("record")).groupBy("part").agg(
+        F.to_json(F.collect_list("record"), {"ignoreNullFields": "false"}).alias("value")
+    )
+    arrays.write.partitionBy("part").text(path)
+
+
 def list_datasets(folder: DataFrame, key: str = "dataset") -> DataFrame:
     return folder.select(key).distinct()
 

@@ -164,3 +164,33 @@ def test_verdicts_from_wide_file(spark, tmp_path):
     assert {r.id: (r.majority_vote, r.unanimous_vote, r.percentage_vote) for r in rows.collect()} == {
         "1": (False, None, 0.5), "2": (True, None, 0.75),
     }
+
+
+def test_broken_lines_and_files_are_rows(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "1", "n": 2}\n{"id": "2", "n": \n{"id": "3"}\n')
+    (tmp_path / "b.json").write_text("")
+    checked = tables.read_json_checked(spark, str(tmp_path), "id string, n int")
+    assert sorted((r.id or "", r.n, r.broken_record) for r in checked.collect()) == [
+        ("", None, '{"id": "2", "n": '), ("1", 2, None), ("3", None, None),
+    ]
+    assert tables.sound_records(checked).columns == ["id", "n"] and tables.sound_records(checked).count() == 2
+    report = {r.file.rsplit("/", 1)[1]: (r.records, r.broken) for r in tables.file_report(checked).collect()}
+    assert report == {"a.json": (2, 1)}  # the other one is empty
+
+
+def test_truncated_array_costs_its_own_file_only(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), None if i % 3 else i) for i in range(20)], "id string, n int")
+    tables.write_json_arrays(rows, f"{tmp_path}/arrays", files=3)
+    (tmp_path / "arrays" / "part=9").mkdir()
+    (tmp_path / "arrays" / "part=9" / "cut.txt").write_text('[{"id": "x", "n": 1}, {"id": "y"')
+    checked = tables.read_json_checked(spark, f"{tmp_path}/arrays/*", "id string, n int", arrays=True)
+    assert sorted(tables.sound_records(checked).collect()) == sorted(rows.collect())
+    report = tables.file_report(checked).collect()
+    assert len(report) == 4 and [r.broken for r in report if r.file.endswith("cut.txt")] == [1]
+
+
+def test_folder_names_as_keys(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b"), (2, "c=d/e"), (3, "a b")], "n int, source string")
+    rows.write.partitionBy("source").json(f"{tmp_path}/out")
+    read = tables.read_json_folder(spark, f"{tmp_path}/out", "n int", folders=True)
+    assert sorted(map(tuple, read.collect())) == [(1, "a b"), (2, "c=d/e"), (3, "a b")]
