@@ -49,6 +49,8 @@ SHORT_LIST = 32
 ASKED = 32
 # Hubs up to which facts of some numbers each are sent to every task (some 10 MB).
 BROADCAST_HUBS = 100_000
+# Shingles of all hubs and references, in bytes, up to which they are sent to every task.
+BROADCAST_BYTES = 32 << 20
 
 
 def sketches(documents: DataFrame, words: int, k: int) -> DataFrame:
@@ -225,7 +227,12 @@ def _differences(
         return work
 
     own = shingles.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b"))
-    hubs = references.join(shingles.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a")), "a")
+    hubs = materialise(
+        references.join(shingles.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a")), "a")
+    )
+    size = hubs.agg(F.sum(F.length("hashes_a") + F.length("reference")).alias("bytes")).first()
+    if (size.bytes or 0) <= BROADCAST_BYTES:  # a hub may have most of the sets
+        hubs = F.broadcast(hubs)
     return map_rows(
         stars.join(own, "b").join(hubs, "a").select("a", "b", "hashes_a", "hashes_b", "reference"),
         "a bigint, b bigint, linked boolean, w bigint, elements array<bigint>",
