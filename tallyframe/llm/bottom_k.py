@@ -260,14 +260,16 @@ def _pairs_by_difference(differences: DataFrame, labels: DataFrame, percent: int
         labels.select(F.col("node").alias("b"), F.col("component").alias("label")), "b", "left"
     )
     named = materialise(named.withColumn("label", F.coalesce("label", "b")))
-    sizes = named.groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("w"))
+    sizes = materialise(
+        named.groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("w"))
+    )
     mains = sizes.groupBy("a").agg(
         F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.count(F.lit(1)).alias("labels")
     )
     # hubs whose sets are all in one group are done
     mains = mains.where("labels > 1").select("a", "main")
     least = (
-        sizes.join(mains, "a")
+        _by_hub(sizes, materialise(mains))
         .groupBy("a", "main")
         .agg(
             F.min(F.when(F.col("label") == F.col("main"), F.col("w"))).alias("w_main"),
