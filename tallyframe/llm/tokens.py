@@ -24,8 +24,10 @@ def byte_encoder(
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
     encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    if not special:
+        return lambda text: array.array("I", encoding.encode_ordinary(text)).tobytes()
     names = set(special)
-    return lambda text: array.array("I", encoding.encode(text, allowed_special=names, disallowed_special=())).tobytes()
+    return lambda text: array.array("I", encoding.encode(text, allowed_special=names)).tobytes()
 
 
 class TokenSide:
