@@ -410,14 +410,10 @@ def score_names(t):
 def outputs_from_files(t):
     """Outputs written as JSON lines with one column per model, and read back as rows."""
     folder = _scratch(t)
-    labels = t.items.select("id", "label")
-    read = []
-    for prompt in PROMPTS:
-        texts = t.outputs.where(F.col("prompt") == prompt.name)
-        of = lambda m: F.max(F.when(F.col("model") == m, F.col("output"))).alias(m)
-        wide = texts.groupBy("id").agg(*[of(m) for m in MODELS]).join(labels, "id")
-        tables.write_json_lines(wide, f"{folder}/{prompt.name}")
-        read.append(tables.read_outputs(t.spark, f"{folder}/{prompt.name}", prompt.name, MODELS))
+    tables.write_outputs(t.outputs, t.items.select("id", "label"), MODELS, folder)
+    read = [
+        tables.read_outputs(t.spark, f"{folder}/prompt={p.name}", p.name, MODELS) for p in PROMPTS
+    ]
     return relational.union_all(read).select(
         "id", "prompt", "model",
         F.length("output").cast("long").alias("n_chars"), F.md5("output").alias("digest"),

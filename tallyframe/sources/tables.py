@@ -121,6 +121,20 @@ def read_outputs(
     )
 
 
+def write_outputs(
+    outputs: DataFrame, labels: DataFrame, models: Sequence[str], path: str
+) -> None:
+    """``(id, prompt, model, output)`` rows as files that ``read_outputs`` takes, one folder
+    ``prompt=<name>`` for each prompt.
+
+    All prompts are dealt out by id at once and meet their labels (id, label) where they lie. Texts of
+    several models on one line are much alike, so the files are compressed.
+    """
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col("output"))).alias(m)
+    wide = outputs.repartition("id").groupBy("id", "prompt").agg(*[of(m) for m in models])
+    write_json_lines(wide.join(labels, "id"), path, partition=["prompt"], compression="gzip")
+
+
 def read_relabeled(spark: SparkSession, path: str, annotator: str | None = None) -> DataFrame:
     """Re-annotated labels with ordered entries, as the matching operators take them."""
     return read_json_array(spark, path, schemas.RELABELED).select(
@@ -141,9 +155,13 @@ def read_source_documents(spark: SparkSession, path: str, schema: str = schemas.
     )
 
 
-def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One record per line, with explicit nulls."""
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+def write_json_lines(
+    df: DataFrame, path: str, mode: str = "errorifexists", partition: Sequence[str] = (),
+    compression: str = "none",
+) -> None:
+    """One record per line, with explicit nulls; ``partition`` columns become folders."""
+    writer = df.write.mode(mode).option("ignoreNullFields", "false").partitionBy(*partition)
+    writer.json(path, compression=compression)
 
 
 def write_samples(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:

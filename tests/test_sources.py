@@ -194,3 +194,21 @@ def test_folder_names_as_keys(spark, tmp_path):
     rows.write.partitionBy("source").json(f"{tmp_path}/out")
     read = tables.read_json_folder(spark, f"{tmp_path}/out", "n int", folders=True)
     assert sorted(map(tuple, read.collect())) == [(1, "a b"), (2, "c=d/e"), (3, "a b")]
+
+
+def test_output_files_are_compressed_and_dealt_out_once(spark, tmp_path):
+    text = F.concat(F.lit("thinking "), F.repeat(F.md5(F.col("id").cast("string")), 50), "model")
+    cells = spark.range(40).select(
+        F.col("id").cast("string").alias("id"),
+        F.explode(F.array(F.lit("p"), F.lit("q"))).alias("prompt"),
+    ).select("*", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model"))
+    rows = cells.withColumn("output", F.when(F.expr("id % 7 > 0 OR model = 'a'"), text))
+    labels = rows.where("id % 10 > 0").select("id", F.lit("x").alias("label")).distinct()
+    tables.write_outputs(rows, labels, ["a", "b"], f"{tmp_path}/out")
+    back = [tables.read_outputs(spark, f"{tmp_path}/out/prompt={p}", p, ["a", "b"]) for p in "pq"]
+    columns = ["id", "prompt", "model", "output"]
+    got = back[0].unionByName(back[1]).select(columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, rows.where("id % 10 > 0").select(columns).collect()))
+    files = [f for f in (tmp_path / "out").rglob("part-*") if f.is_file()]
+    whole = sum(len(r.output or "") for r in got)
+    assert all(f.name.endswith(".gz") for f in files) and sum(f.stat().st_size for f in files) < whole / 4
