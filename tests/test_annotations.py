@@ -272,3 +272,27 @@ def test_written_folders_read_back(spark, tmp_path):
     folders.write_annotation_files(df, f"{tmp_path}/out")
     back = folders.read_annotation_files(spark, f"{tmp_path}/out", partitioned=True)
     assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_tasks_write_the_folders_that_spark_would(spark, tmp_path):
+    schema = f"document string, annotator string, features {schemas.ANNOTATION_FEATURES.split(' ', 1)[1]}"
+    names = [*"\"#%'*/:=?\\{[]^\x7f\x01\n }é", "a%2Fb", "..", None, "", "twice", "twice"]
+    features = [(1, "uima.cas.Sofa", None, None, None, None, None, "a\r\nb")]
+    df = spark.createDataFrame([(n, n, features) for n in names], schema).coalesce(1)
+    folders.write_annotation_files(df, f"{tmp_path}/own")
+    folders.write_annotation_files(df, f"{tmp_path}/spark", mode="append")
+    found = [
+        sorted((str(f.relative_to(root).parent), f.read_bytes()) for f in root.rglob("part-*"))
+        for root in (tmp_path / "own", tmp_path / "spark")
+    ]
+    assert found[0] == found[1] and len(found[0]) == len(set(names)) - 1
+    with pytest.raises(Exception, match="already exists"):
+        folders.write_annotation_files(df, f"{tmp_path}/own")
+    folders.write_annotation_files(df.limit(0), f"{tmp_path}/none")
+    assert folders.read_annotation_files(spark, f"{tmp_path}/none", partitioned=True).count() == 0
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:  # a task for every file, but not a part of the table
+        back = folders.read_annotation_files(spark, f"{tmp_path}/own", partitioned=True)
+        assert folders.opened_once(back).count() == len(found[0])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
