@@ -6,10 +6,11 @@ partitions they produce, so a score or a prompt can be computed again on its own
 
 import hashlib
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -50,6 +51,14 @@ VOTE_METHODS = (
 # Tables that can be dealt out by id, and how they are partitioned below the dataset.
 BUCKETED = {"items": (), "outputs": ("prompt", "model")}
 
+# Texts of these tables are packed more tightly than by default.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
+
+# Files a task keeps open at once, each with a row group of so many bytes: up to so many partitions,
+# rows are written as they come and not sorted by partition first, which would spill long texts.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+OPEN_FILES, ROW_GROUP = 32, 16 << 20
+
 # Steps a prompt may name; items go through them before its messages are rendered.
 STEPS: dict[str, relational.Step] = {
     "reduce_context": textjobs.reduce_contexts,
@@ -90,8 +99,9 @@ class Workspace:
             last = ["dataset", *BUCKETED[table]]
             fields = [f for f in schema if f.name not in last] + [schema[c] for c in last]
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+            packed = ", ".join(f"'{k}' '{v}'" for k, v in PACKED.items())
             self.spark.sql(
-                f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY ({', '.join(last)}) "
+                f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS ({packed}) PARTITIONED BY ({', '.join(last)}) "
                 f"CLUSTERED BY (id) SORTED BY (id) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{table}'"
             )
             if stored:
@@ -101,14 +111,23 @@ class Workspace:
     def _overwrite_buckets(self, table: str, rows: DataFrame) -> None:
         stored = bool(self._listed(f"{self.root}/{table}/dataset=*"))
         name = self._registered(table, None if stored else rows.schema)
-        mode = "spark.sql.sources.partitionOverwriteMode"
-        before = self.spark.conf.get(mode)
-        self.spark.conf.set(mode, "dynamic")
+        dealt = rows.repartition(self.buckets, "id").select(self.spark.table(name).columns)
+        with self._set("spark.sql.sources.partitionOverwriteMode", "dynamic"):
+            dealt.write.insertInto(name, overwrite=True)
+
+    @contextmanager
+    def _set(self, setting: str, value: str | int) -> Iterator[None]:
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, value)
         try:
-            dealt = rows.repartition(self.buckets, "id")
-            dealt.select(self.spark.table(name).columns).write.insertInto(name, overwrite=True)
+            yield
         finally:
-            self.spark.conf.set(mode, before)
+            self.spark.conf.set(setting, before)
+
+    def _write(self, table: str, writer: DataFrameWriter, path: str) -> None:
+        options = {"parquet.block.size": ROW_GROUP} | (PACKED if table in BUCKETED else {})
+        with self._set(WRITERS, OPEN_FILES):
+            writer.options(**options).parquet(path)
 
     def store(
         self, table: str, rows: DataFrame, dataset: str | None, *partition: str, staged: bool = False
@@ -127,7 +146,7 @@ class Workspace:
             rows = rows.withColumn("dataset", F.lit(dataset))
         if staged:
             folder = f"{self.root}/_staged/{table}/{uuid.uuid4().hex}"
-            rows.write.partitionBy("dataset", *partition).parquet(folder)
+            self._write(table, rows.write.partitionBy("dataset", *partition), folder)
             self._switch(table, folder)
             return
         bucketed = self.buckets is not None and table in BUCKETED
@@ -139,12 +158,8 @@ class Workspace:
         if self.buckets is not None and table in BUCKETED:
             self._overwrite_buckets(table, rows)
             return
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*partition)
-            .parquet(f"{self.root}/{table}")
-        )
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        self._write(table, writer.partitionBy(*partition), f"{self.root}/{table}")
 
     def _files(self, path: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(path)

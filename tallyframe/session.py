@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.checkpoint.compress": "true",
+    # long texts that are much alike are packed across rows when they are shuffled
+    "spark.io.compression.codec": "zstd",
 }
 
 

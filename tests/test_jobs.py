@@ -1,5 +1,6 @@
 """A small project from raw outputs to evaluation, through the stored tables."""
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,3 +309,17 @@ def test_prompts_are_found_by_name(ws, tmp_path):
     jobs.build_finetuning(project, "train", None, "check")
     tuned = {r.id: r.input for r in project.read("finetune", "train").collect()}
     assert len(tuned) == 59 and tuned["7"] == "ctx 7? who"
+
+
+def test_stored_texts_are_packed_and_not_sorted_by_partition(ws, tmp_path):
+    rows = ws.read("outputs", "train").where("model IN ('a', 'b')").orderBy("id", "model", "prompt").coalesce(1)
+    for name, buckets in (("plain", None), ("dealt", 2)):
+        stored = jobs.Workspace(ws.spark, str(tmp_path / name), MODELS, PROMPTS, buckets)
+        before = ws.spark.conf.get(jobs.WRITERS)
+        stored.store("outputs", rows, "train", "prompt", "model")
+        assert ws.spark.conf.get(jobs.WRITERS) == before
+        files = list((tmp_path / name / "outputs").rglob("*.parquet"))
+        kinds = {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files}
+        assert kinds == {"ZSTD"} and (buckets or len(files) == 4)
+        got = stored.read("outputs", "train")
+        assert sorted(got.select(rows.columns).collect()) == sorted(rows.collect())
