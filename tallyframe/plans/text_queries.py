@@ -440,7 +440,7 @@ def stream_votes(t):
         (stamped.where(number % 2 == 0), items.where(number % 3 == 0)),
     ]
     for arriving, known in waves:
-        arriving.write.mode("append").json(f"{base}/in")
+        arriving.write.mode("append").json(f"{base}/in", compression="gzip")
         known.write.mode("append").json(f"{base}/items")
         start_votes(
             read_stream(t.spark, f"{base}/in"),

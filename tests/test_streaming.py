@@ -1,6 +1,12 @@
+from pathlib import Path
+from urllib.parse import urlparse
+
 from pyspark.sql import functions as F
 
 from tallyframe.operators import votes
+from tallyframe.operators.votes import prompt_votes
+from tallyframe.plans.catalog import QUERIES, Tables
+from tallyframe.session import ensure_checkpoint_dir
 from tallyframe.sources import registry
 from tallyframe.streaming.votes import ITEM_STREAM, VoteTable, read_stream, start_votes
 
@@ -117,3 +123,18 @@ def test_unfinished_folders_are_not_read(spark, tmp_path):
     assert table.votes(spark).collect() == before
     table.compact(spark)
     assert table.votes(spark).collect() == before
+
+
+def test_files_that_arrive_are_compressed(spark, tmp_path):
+    rows = [(k, f"text {k} " * 50, "en", "web", 350) for k in range(24)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    ensure_checkpoint_dir(spark)
+    root = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+    before = set(root.glob("stream-*"))
+    votes = QUERIES["stream_votes"](Tables(spark, str(tmp_path)))
+    wanted = prompt_votes(Tables(spark, str(tmp_path)).verdicts).withColumn("percentage_vote", F.round("percentage_vote", 9))
+    assert sorted(votes.collect()) == sorted(wanted.select(votes.columns).collect())
+    (own,) = set(root.glob("stream-*")) - before
+    files = [f.name for f in (own / "in").glob("part-*")]
+    assert files and all(name.endswith(".json.gz") for name in files)
