@@ -2,6 +2,7 @@ import json
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyframe.operators import generation, textjobs
@@ -230,3 +231,15 @@ def test_retry_messages_start_from_the_original(spark):
          ("user", "Please Format your response as specified in the prompt!")],
         [("user", "q")],
     ]
+
+
+def test_few_rows_at_a_time_become_python_objects():
+    texts, labels = pa.array(["A cat. A dog."] * 200), pa.array(["dog", None] * 100)
+    parts = list(textjobs._reduced.func(iter([(texts, labels)])))
+    assert [len(p) for p in parts] == [64, 64, 64, 8]
+    assert parts[0][0].as_py() == {"context": "A cat. A dog.", "n_sentences": 2, "n_kept": 2}
+    assert parts[0][1].as_py() == {"context": "A cat. A dog.", "n_sentences": None, "n_kept": None}
+    batch = pa.RecordBatch.from_arrays([pa.array(map(str, range(200))), texts, labels], ["id", "context", "label"])
+    tagged = list(textjobs._tag_batches(iter([batch, batch.slice(0, 0)])))
+    assert [b.num_rows for b in tagged] == [64, 64, 64, 8]
+    assert [t["tag"] for t in tagged[0].column("tokens")[0].as_py()] == [0, 0, 0, 1]
