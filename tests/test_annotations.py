@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import pyarrow as pa
 import pytest
 
 from tallyframe import schemas
@@ -296,3 +297,11 @@ def test_tasks_write_the_folders_that_spark_would(spark, tmp_path):
         assert folders.opened_once(back).count() == len(found[0])
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_groups_of_parts_are_sought_for_few_documents_at_a_time():
+    spans = [{"label": "label", "span": "a", "begin": 0}, {"label": "alternative_label_part", "span": "b", "begin": 2}]
+    links = pa.array([[]] * 150, pa.list_(pa.struct([("source", pa.string())])))
+    found = list(annotations.part_groups.func(iter([(pa.array([spans] * 150), links)])))
+    assert [len(f) for f in found] == [64, 64, 22]
+    assert found[2].to_pylist() == [[("a", ["b"])]] * 22
