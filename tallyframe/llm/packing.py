@@ -77,17 +77,22 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
         while left:
             gap = next((g for g in range(length, capacity + 1) if gaps[g]), None)
             if gap is None:
-                gap, fresh = capacity, max(left // (capacity // length), 1)
+                gap = capacity
+                fresh = max(left // (capacity // length), 1)
                 gaps[gap].append((opened, fresh))
                 opened += fresh
             first, held = gaps[gap].pop()
-            taken = min(held, left)
+            # a gap that was taken is the smallest that still holds one, so it is filled up first
+            deep = min(gap // length, left)
+            taken = min(held, left // deep)
             if taken < held:
                 gaps[gap].append((first + taken, held - taken))
-            if gap > length:
-                gaps[gap - length].append((first, taken))
-            runs.append((length, rank, taken, first, capacity - gap))
-            rank, left = rank + taken, left - taken
+            if gap > deep * length:
+                gaps[gap - deep * length].append((first, taken))
+            for level in range(deep):
+                runs.append((length, rank, taken, first, capacity - gap + level * length))
+                rank += taken
+            left -= deep * taken
     return runs
 
 

@@ -163,3 +163,8 @@ def test_token_counts(spark):
         (i, len(plain_ids(t)), len(t or "")) for i, _, _, t in texts
     )
     assert token_rollup.count_tokens(df.limit(0), {"v": vocabulary("byte_bpe_50k")}).collect() == []
+
+
+def test_a_gap_is_filled_up_before_the_next_of_its_size():
+    runs = packing.best_fit({4: 15, 5: 16, 22: 11}, 64)
+    assert len({s for _, _, n, first, _ in runs for s in range(first, first + n)}) == 6
