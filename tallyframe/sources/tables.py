@@ -132,7 +132,13 @@ def write_outputs(
     """
     of = lambda m: F.max(F.when(F.col("model") == m, F.col("output"))).alias(m)
     wide = outputs.repartition("id").groupBy("id", "prompt").agg(*[of(m) for m in models])
-    write_json_lines(wide.join(labels, "id"), path, partition=["prompt"], compression="gzip")
+    conf, writers = outputs.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(writers)
+    conf.set(writers, 32)  # so many prompts are written as they come, and not sorted by prompt first
+    try:
+        write_json_lines(wide.join(labels, "id"), path, partition=["prompt"], compression="gzip")
+    finally:
+        conf.set(writers, before)
 
 
 def read_relabeled(spark: SparkSession, path: str, annotator: str | None = None) -> DataFrame:
