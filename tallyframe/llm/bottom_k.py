@@ -19,11 +19,14 @@ only compared with one of them, the hub (the set with most entries), and every s
 difference from a reference: the shingles that most of some 32 of the hub's sets hold, which in a
 group of copies is close to the common original even if every copy, the hub included, is changed.
 Which sets are asked for the reference changes no result, only the size of the differences.
+The lists of one group may have several hubs. A hub that a larger one much like it lists gives it all
+its sets, so that a set is compared once, not once for each list; a list's sets stay together.
 
 With p percent, set size A and difference size d(A), let w(A) = (100 + p) d(A) - (100 - p) A. Two
 sets whose differences have c elements in common are similar if and only if
 2 (100 + p) c >= w(A) + w(B). So sets with w(A) + w(B) <= 0 are linked as they are, each such one to
-the set of the lowest w, and all others need common elements, the more the farther they are.
+the set of the lowest w, and all others need common elements, the more the farther they are. Whatever
+the partner, it differs from A in at most A (100 - p) / p elements, so c >= d(A) - A (100 - p) / p.
 
 Only groups are asked for, so sets that already are in one group are not compared: the links found so
 far give labels, the label that most sets of a hub have is its main one, and only sets of other labels
@@ -45,6 +48,8 @@ from tallyframe.session import materialise
 
 # Members of an inverted list that meet one another; longer lists go by their hub.
 SHORT_LIST = 32
+# Percent of similarity that the sketches of two hubs must not rule out for one to take the other's sets.
+ALIKE = 50
 # Sets of a hub that are asked, expectedly, for its reference.
 ASKED = 32
 # Hubs up to which facts of some numbers each are sent to every task (some 10 MB).
@@ -183,6 +188,28 @@ def _by_hub(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(facts) if facts.count() <= BROADCAST_HUBS else facts, "a")
 
 
+def _fewer_hubs(stars: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """The stars, with the sets of a hub under the largest hub that lists it, is much like it and
+    stays one itself. What shared a hub still shares one, so every pair is compared as before."""
+    ranks = materialise(
+        stars.groupBy("a")
+        .agg(F.count(F.lit(1)).alias("members"))
+        .select("a", F.struct("members", (-F.col("a")).alias("minus")).alias("rank"))
+    )
+    sketches_of = materialise(
+        _by_hub(sets.select(F.col("id").alias("a"), "sketch"), ranks).select(F.col("a").alias("id"), "sketch")
+    )
+    inner = _by_hub(stars.select(F.col("b").alias("a"), F.col("a").alias("larger")), ranks)
+    inner = inner.select(F.col("a").alias("b"), F.col("larger").alias("a"), F.col("rank").alias("rank_b"))
+    pairs = _by_hub(inner, ranks).where(F.col("rank") > F.col("rank_b")).select("a", "b")
+    alike = materialise(_estimated(pairs, sketches_of, ALIKE, k))
+    staying = ranks.join(alike.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+    into = alike.join(staying, "a").groupBy("b").agg(F.max("rank").alias("rank"))
+    into = into.select(F.col("b").alias("a"), (-F.col("rank.minus")).alias("into"))
+    goes = materialise(ranks.join(into, "a", "left").select("a", F.coalesce("into", "a").alias("into")))
+    return _by_hub(stars, goes).select(F.col("into").alias("a"), "b").distinct()
+
+
 def _references(stars: DataFrame, shingles: DataFrame) -> DataFrame:
     """Per hub a the shingles that more than half of some ``ASKED`` of its sets hold."""
     sizes = materialise(stars.groupBy("a").agg(F.count(F.lit(1)).alias("members")))
@@ -210,16 +237,17 @@ def _references(stars: DataFrame, shingles: DataFrame) -> DataFrame:
 def _differences(
     stars: DataFrame, references: DataFrame, shingles: DataFrame, percent: int
 ) -> DataFrame:
-    """Hub a and set b: whether they are similar, w of the set, and its difference."""
+    """Hub a and set b: whether they are similar, size and w of the set, and its difference."""
 
     def make():
         def work(batch):
-            out = {"a": batch["a"], "b": batch["b"], "linked": [], "w": [], "elements": []}
+            out = {"a": batch["a"], "b": batch["b"], "linked": [], "n": [], "w": [], "elements": []}
             for hub, own, common in zip(batch["hashes_a"], batch["hashes_b"], batch["reference"]):
                 hub, own, common = (np.frombuffer(x.as_buffer(), np.uint64) for x in (hub, own, common))
                 shared = len(np.intersect1d(hub, own, assume_unique=True))
                 out["linked"].append(100 * shared >= percent * (len(hub) + len(own) - shared))
                 apart = np.setxor1d(own, common, assume_unique=True)
+                out["n"].append(len(own))
                 out["w"].append((100 + percent) * len(apart) - (100 - percent) * len(own))
                 out["elements"].append(apart.view(np.int64))
             return out
@@ -235,7 +263,7 @@ def _differences(
         hubs = F.broadcast(hubs)
     return map_rows(
         stars.join(own, "b").join(hubs, "a").select("a", "b", "hashes_a", "hashes_b", "reference"),
-        "a bigint, b bigint, linked boolean, w bigint, elements array<bigint>",
+        "a bigint, b bigint, linked boolean, n bigint, w bigint, elements array<bigint>",
         make,
     )
 
@@ -256,7 +284,7 @@ def _near_links(differences: DataFrame) -> DataFrame:
 def _pairs_by_difference(differences: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets of one hub in different groups whose differences may share enough."""
     whole = 2 * (100 + percent)
-    named = differences.select("a", "b", "w", "elements").join(
+    named = differences.select("a", "b", "n", "w", "elements").join(
         labels.select(F.col("node").alias("b"), F.col("component").alias("label")), "b", "left"
     )
     named = materialise(named.withColumn("label", F.coalesce("label", "b")))
@@ -277,7 +305,10 @@ def _pairs_by_difference(differences: DataFrame, labels: DataFrame, percent: int
         )
     )
     sets = _by_hub(named, materialise(least)).withColumn("other", F.col("label") != F.col("main"))
-    columns = ["a", "b", "w", "w_main", "w_other", "other", "label"]
+    # a partner lacks at most n (100 - p) / p of a set's elements
+    apart = F.floor(F.col("n") * (100 - percent) / percent)
+    sets = sets.withColumn("least", F.size("elements") - apart)
+    columns = ["a", "b", "n", "w", "least", "w_main", "w_other", "other", "label"]
     # an element matters if a set of another label than the main one holds it, and two labels do
     single = materialise(sets.select(*columns, F.explode("elements").alias("element")))
     often = (
@@ -297,21 +328,22 @@ def _pairs_by_difference(differences: DataFrame, labels: DataFrame, percent: int
     def entries(side: str, other: bool, partner: str) -> DataFrame:
         """Listed elements of sets that meet partners of at least the w in the column ``partner``;
         ``left`` counts a set's elements from the listed one on."""
-        must = F.greatest(F.ceil((F.col("w") + F.col(partner)) / whole), F.lit(1))
+        must = F.greatest(F.ceil((F.col("w") + F.col(partner)) / whole), "least", F.lit(1))
         room = (F.size("shared") - must + 1).cast("int")
         rows = listed.where("other" if other else "NOT other").withColumn("room", room)
         return rows.where(F.col("room") > 0).select(
-            "a", F.col("b").alias(f"id_{side}"), F.col("w").alias(f"w_{side}"),
+            "a", F.col("b").alias(f"id_{side}"), F.col("n").alias(f"n_{side}"), F.col("w").alias(f"w_{side}"),
             F.col("label").alias(f"label_{side}"), F.size("shared").alias("size"),
             F.posexplode(F.slice("shared", F.lit(1), F.col("room"))).alias("place", "entry"),
         ).select(
-            "a", F.col("entry.element").alias("element"), f"id_{side}", f"w_{side}", f"label_{side}",
+            "a", F.col("entry.element").alias("element"), f"id_{side}", f"n_{side}", f"w_{side}", f"label_{side}",
             (F.col("size") - F.col("place")).alias(f"left_{side}"),
         )
 
     # At their first common element, as many elements must be left as the two have to share.
     enough = F.least("left_x", "left_y") * whole >= F.col("w_x") + F.col("w_y")
     enough = enough & (F.col("label_x") != F.col("label_y"))
+    enough = enough & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
     on = ["a", "element"]
     both = entries("x", True, "w_other").join(entries("y", True, "w_other"), on)
     mixed = entries("x", True, "w_main").join(entries("y", False, "w_other"), on)
@@ -390,6 +422,7 @@ def near_duplicates(
         .select(F.col("hub").alias("a"), F.col("id").alias("b"))
         .distinct()
     )
+    stars = materialise(_fewer_hubs(stars, sets, k))
     references = _references(stars, shingles)
     differences = materialise(_differences(stars, references, shingles, percent))
     found = materialise(

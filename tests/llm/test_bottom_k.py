@@ -106,6 +106,43 @@ def test_links_inside_large_groups(spark, monkeypatch, seed):
         assert sorted(tuple(r) for r in rows) == plain(texts, width)
 
 
+def changed_copies(size, seed):
+    """Copies of one text changed at so many places, by words of a few, that hardly two are linked."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    texts = [[w if rng.random() > 0.05 else f"v{rng.randrange(3)}{w}" for w in base] for _ in range(size)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_sets_of_many_lists_are_compared_once(spark, monkeypatch):
+    """A group's lists have several hubs; its elements are listed for one of them, not for each."""
+    monkeypatch.setattr(bottom_k, "SHORT_LIST", 8)
+    listed = []
+
+    def materialise(df, kept=bottom_k.materialise):
+        df = kept(df)
+        if "element" in df.columns:
+            listed.append(df.count())
+        return df
+
+    monkeypatch.setattr(bottom_k, "materialise", materialise)
+    texts = changed_copies(size=60, seed=1)
+    rows = bottom_k.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    expected = plain(texts, 5)
+    assert sorted(tuple(r) for r in rows) == expected
+    assert len(listed) == 1 and listed[0] <= sum(n for _, n, _, _ in expected)
+
+
+def test_hubs_unlike_each_other_stay(spark):
+    """Hubs 1 and 2 are alike; 3 shares a list with both, but no shingles to speak of."""
+    values = {1: range(64), 2: range(10, 74), 3: range(500, 564)}
+    sets = spark.createDataFrame([(i, list(v)) for i, v in values.items()], "id bigint, sketch array<bigint>")
+    under = {1: [1, 2, 3, 4, 5], 2: [1, 2, 6], 3: [3, 7]}
+    stars = spark.createDataFrame([(a, b) for a, bs in under.items() for b in bs], "a bigint, b bigint")
+    found = sorted(tuple(r) for r in bottom_k._fewer_hubs(stars, sets, 64).collect())
+    assert found == [(1, b) for b in (1, 2, 3, 4, 5, 6)] + [(3, 3), (3, 7)]
+
+
 def test_long_texts(spark):
     rng = random.Random(1)
     base = [f"w{rng.randrange(9000)}" for _ in range(20000)]
