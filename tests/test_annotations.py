@@ -299,6 +299,31 @@ def test_tasks_write_the_folders_that_spark_would(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_the_driver_holds_no_list_of_written_files(spark, tmp_path, monkeypatch):
+    schema = f"document string, annotator string, features {schemas.ANNOTATION_FEATURES.split(' ', 1)[1]}"
+    features = [(1, "uima.cas.Sofa", None, None, None, None, None, "a+b é")]
+    rows = [(f"{k} + %.txt", who, features) for k in range(9) for who in ("ann", "bob/x")] + [(None, "ann", None)]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    folder = tmp_path / "a b"
+    folders.write_annotation_files(df, f"{folder}")
+    home = next(folder.glob("document=0*")) / "annotator=ann"
+    for name, text in ((".hidden.txt", "{}"), ("_hidden.txt", "{}"), ("blank.txt", " \n")):
+        (home / name).write_text(text)
+    (home / "second.txt").write_text('{"%FEATURE_STRUCTURES": [{"%ID": 2}], "more": 1}\n{"%FEATURE_STRUCTURES": []}')
+    (home / "broken.txt").write_text('{"%FEATURE_STRUCTURES": [')
+    monkeypatch.setattr(folders, "LISTERS_PER_CORE", 0)
+    monkeypatch.setattr(folders, "DOCUMENTS_IN_PART", 5)
+    by_name = lambda rows: sorted(rows, key=lambda r: (r[0], r[1], str(r[2])))
+    other = (2, None, None, None, None, None, None, None)
+    want = [tuple(r) for r in rows[:-1]] + [("__HIVE_DEFAULT_PARTITION__", "ann", None)]
+    want += [("0 + %.txt", "ann", [other]), ("0 + %.txt", "ann", None)]
+    for path in (f"{folder}", folder.as_uri()):
+        back = folders.read_annotation_files(spark, path, partitioned=True)
+        assert back.inputFiles() == [] and back.rdd.getNumPartitions() == 2
+        found = [(r.document, r.annotator, r.features and [tuple(f) for f in r.features]) for r in back.collect()]
+        assert by_name(found) == by_name(want)
+
+
 def test_groups_of_parts_are_sought_for_few_documents_at_a_time():
     spans = [{"label": "label", "span": "a", "begin": 0}, {"label": "alternative_label_part", "span": "b", "begin": 2}]
     links = pa.array([[]] * 150, pa.list_(pa.struct([("source", pa.string())])))
