@@ -78,11 +78,14 @@ def finetune_rows(
         rows = items if kept is None else restrict_to(items, kept)
         return rows.select("id", source, F.col("label").alias("output"))
     verdicts, outputs, preference = reasoning
+    # by the packed size of stored tables Spark takes many rows for few, and would broadcast them
+    stored = lambda rows: rows if buckets is None else rows.hint("merge")
     if kept is not None:  # before the texts are met, only the ids of confident items are left
-        verdicts = restrict_to(verdicts.where("vote"), kept)
+        verdicts = restrict_to(verdicts.where("vote"), stored(kept))
     chosen = first_correct_model(verdicts, preference)
     if buckets is not None:
         chosen = chosen.repartition(buckets, "id")
+    outputs = stored(outputs)
     return texts_of(items, outputs, chosen).select("id", source, "output")
 
 

@@ -8,6 +8,7 @@ from tallyframe.functions.matching import ENTRY_TYPE
 from tallyframe.functions.prompts import MessageTemplate
 from tallyframe.operators import generation
 from tallyframe.plans import jobs
+from tallyframe.sources import dealt
 from tallyframe.sources.registry import Model, Prompt, PromptRecord
 
 MODELS = [Model("a", ("all", "pair")), Model("b", ("all", "pair")), Model("c", ("all",))]
@@ -323,3 +324,80 @@ def test_stored_texts_are_packed_and_not_sorted_by_partition(ws, tmp_path):
         assert kinds == {"ZSTD"} and (buckets or len(files) == 4)
         got = stored.read("outputs", "train")
         assert sorted(got.select(rows.columns).collect()) == sorted(rows.collect())
+
+
+def test_alike_texts_of_an_id_are_stored_and_dealt_out_once(ws, tmp_path):
+    stored = jobs.Workspace(ws.spark, str(tmp_path / "alike"), MODELS, PROMPTS, buckets=2)
+    digits = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.sha2(F.concat("id", k.cast("string")), 256)), "")
+    names = F.explode(F.array(*[F.struct(F.lit(p).alias("prompt"), F.lit(m).alias("model")) for p in ("check", "answer") for m in "abcdefgh"]))
+    rows = ws.spark.range(200).select(F.col("id").cast("string").alias("id"), digits.alias("text"), names.alias("n")).select(
+        "id", "n.prompt", "n.model", F.concat("n.model", "text").alias("output")
+    )
+    before = ws.spark.conf.get(jobs.CLEANUP)
+    stored.store("outputs", rows, "train", "prompt", "model")
+    assert ws.spark.conf.get(jobs.CLEANUP) == before
+    # 1.3 MB of digits, half of it once packed, and 16 times as many in all outputs
+    assert sum(f.stat().st_size for f in (tmp_path / "alike" / "outputs").rglob("*.parquet")) < 1.5e6
+    got = stored.by_id("outputs", "train").select(rows.columns)
+    assert got.exceptAll(rows).isEmpty() and got.count() == rows.count()
+
+
+def test_rows_are_dealt_out_as_by_repartition(spark, monkeypatch):
+    monkeypatch.setattr(dealt, "GATHERED", 1)
+    rows = spark.range(500).select(
+        F.when(F.col("id") % 50 > 0, F.col("id").cast("string")).alias("id"),
+        F.when(F.col("id") % 3 > 0, F.repeat(F.lit("\u00e9"), F.col("id").cast("int"))).alias("text"),
+        F.array(F.struct(F.col("id").alias("a"))).alias("list"),
+    )
+    place = lambda df: sorted(map(str, df.withColumn("p", F.spark_partition_id()).collect()))
+    assert place(dealt.dealt_out(rows, 7, "id")) == place(rows.repartition(7, "id"))
+    assert dealt.dealt_out(rows.limit(0), 7, "id").count() == 0
+
+
+def test_later_calls_replace_what_they_store(ws, tmp_path, monkeypatch):
+    root = tmp_path / "calls"
+    stored = jobs.Workspace(ws.spark, str(root), MODELS, PROMPTS, buckets=2)
+    rows = ws.read("outputs", "train").where("model IN ('a', 'b')")
+    now = lambda text, where: stored.store(
+        "outputs", rows.where(where).withColumn("output", F.lit(text)), "7", "prompt", "model"
+    )
+    texts = lambda found: sorted((r.prompt, r.model, r.output, r.n) for r in found.groupBy("prompt", "model", "output").agg(F.count("*").alias("n")).collect())
+    stored.store("outputs", rows, "other", "prompt", "model")
+    now("first", "true")
+    now("second", "model = 'a' AND prompt = 'check'")
+    now("third", "model = 'a' AND prompt = 'check' AND CAST(id AS INT) < 9")
+    want = [("answer", "a", "first", 60), ("answer", "b", "first", 60), ("check", "a", "third", 9), ("check", "b", "first", 60)]
+    for again in (False, True):
+        if again:  # a call that broke off before it was noted, and a session of its own
+            ws.spark.sql(f"DROP TABLE {stored._registered('outputs')}")
+            with monkeypatch.context() as patched:
+                patched.setattr(jobs.Workspace, "_replace", lambda *_: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    now("broken off", "true")
+        for found in (stored.by_id("outputs", "7"), stored.read("outputs", "7")):
+            assert set(found.columns) == {"id", "prompt", "model", "output"} and texts(found) == want
+        assert stored.read("outputs", "other").count() == 240
+    assert len(list((root / "outputs" / "dataset=7").glob("store_call=*"))) == 3  # the second went
+    assert texts(stored.outputs("7", ["a"], PROMPTS)) == [want[0], want[2]]
+    with pytest.raises(ValueError, match="'c'"):
+        stored.outputs("7", ["a", "c"], PROMPTS)
+    stored.store("outputs", stored.read("outputs", "7").where("model = 'b'").withColumn("output", F.lit("own")), "7", "prompt", "model", staged=True)
+    assert texts(stored.read("outputs", "7"))[1::2] == [("answer", "b", "own", 60), ("check", "b", "own", 60)]
+    with pytest.raises(ValueError, match="buckets"):
+        jobs.Workspace(ws.spark, str(root), MODELS, PROMPTS).store("outputs", rows, "7", "prompt", "model")
+    stored.drop("outputs", "7")
+    with pytest.raises(ValueError, match="no outputs"):
+        stored.outputs("7", ["a"], PROMPTS)
+
+
+def test_buckets_in_a_folder_for_each_partition_are_kept_up(ws, tmp_path, monkeypatch):
+    stored = jobs.Workspace(ws.spark, str(tmp_path / "older"), MODELS, PROMPTS, buckets=2)
+    rows = ws.read("outputs", "train")
+    with monkeypatch.context() as patched:
+        patched.setattr(jobs.Workspace, "_by_call", lambda *_: False)
+        stored.store("outputs", rows, "train", "prompt", "model")
+    stored.store("outputs", rows.where("model = 'a'").withColumn("output", F.lit("new")), "train", "prompt", "model")
+    for found in (stored.by_id("outputs", "train"), stored.read("outputs", "train")):
+        assert found.count() == rows.count()
+        assert found.where("output = 'new'").select("model").distinct().collect() == [("a",)]
+    assert stored.outputs("train", ["a", "b"], PROMPTS).count() == rows.where("model IN ('a', 'b')").count()
